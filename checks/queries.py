@@ -47,10 +47,8 @@ def publish(df: DataFrame, digits: dict[str, int] | None = None) -> DataFrame:
             c = F.round(c + TIE_BREAK, digits.get(field.name, 6))
         elif isinstance(field.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
-        elif isinstance(field.dataType, T.DateType):
-            c = F.date_format(c, "yyyy-MM-dd")
-        elif isinstance(field.dataType, (T.TimestampNTZType, T.TimestampType)):
-            c = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
+        elif isinstance(field.dataType, (T.DateType, T.TimestampNTZType)):
+            c = c.cast("string")
         return c.alias(field.name)
 
     return df.select(*[plain(f) for f in df.schema.fields])
@@ -401,7 +399,7 @@ def gamma_fit(spark, sf):
 @query
 def gamma_fit_bounded(spark, sf):
     wet = observations.month_wet(v.obs_hist(spark, sf))
-    return fitting.gamma_fit(wet, "location", "month", lower=4.0)
+    return fitting.gamma_fit(wet, "location", "month", lower=3.3)
 
 
 @query
@@ -528,10 +526,11 @@ def basin_mask(spark, sf):
 @query
 def idw_grid(spark, sf):
     grid, points = grid_and_mask(spark, sf)
-    located = v.obs_recent(spark, sf).join(v.stations(spark, sf), "location").select(
+    stations = v.stations(spark, sf)
+    located = v.obs_recent(spark, sf).join(stations, "location").select(
         "location", "lon", "lat", F.col("obs_date").alias("valid_date"), "mm"
     )
-    return interpolation.idw(located, points, grid)
+    return interpolation.idw(located, points, grid, n_stations=stations.count())
 
 
 @query

@@ -39,7 +39,7 @@ def from_events(events: DataFrame) -> DataFrame:
     )
     lon = F.element_at(F.array(*[F.lit(v) for v in GRID_LON360]), F.col("lon_idx"))
     lat = F.element_at(F.array(*[F.lit(v) for v in GRID_LAT]), F.col("lat_idx"))
-    stamp = F.date_format("issue_ts", "yyyy-MM-dd HH:mm:ss")
+    stamp = F.col("issue_ts").cast("string")
     return (
         rows.withColumn("lon", units.signed_longitude(lon))
         .withColumn("lat", lat)

@@ -13,7 +13,13 @@ ISSUE_FORMAT = "yyyyMMddHH"
 
 
 def issue_id(ts: Column) -> Column:
-    return F.date_format(ts, ISSUE_FORMAT)
+    """``YYYYMMDDHH`` of a time. Cut from its text, as ``date_format`` would use the zone."""
+    return F.translate(ts.cast("string"), "-: ", "").substr(1, 10)
+
+
+def month_label(ts: Column) -> Column:
+    """``YYYY-MM`` of a time."""
+    return ts.cast("string").substr(1, 7)
 
 
 def parse_issue(text: Column) -> Column:
@@ -70,9 +76,9 @@ def issue_hour_date(issue_ts: Column, base: Column, valid: Column, shift_hours:
 
 
 def days_between(first: Column, last: Column) -> Column:
-    """Span of two times in whole days, rounded."""
-    seconds = F.timestamp_diff("SECOND", first, last)
-    return F.round(seconds / 86400.0).cast("int")
+    """Span of two times (whole hours) in days, rounded."""
+    days = F.datediff(F.to_date(last), F.to_date(first))
+    return F.round(days + (F.hour(last) - F.hour(first)) / 24.0).cast("int")
 
 
 def explode_issue_calendar(
@@ -87,7 +93,7 @@ def explode_issue_calendar(
     ids = span.select(F.explode(days).alias("issue_date")).select(
         "issue_date", F.explode(F.array(*[F.lit(h) for h in hours])).alias("hour")
     )
-    ids = ids.select(F.concat(F.date_format("issue_date", "yyyyMMdd"), "hour").alias("issue_id"))
+    ids = ids.select(F.concat(F.translate(F.col("issue_date").cast("string"), "-", ""), "hour").alias("issue_id"))
     return ids.select("issue_id", parse_issue(F.col("issue_id")).alias("issue_ts"))
 
 

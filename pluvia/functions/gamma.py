@@ -1,6 +1,6 @@
 """Gamma distribution: fit from three averages, distribution function, quantile, quantile map.
 
-Fits are column arithmetic over one row per key. The distribution function and its
+Fits are SQL arithmetic over one row per key. The distribution function and its
 inverse need a loop per value; they run on whole Arrow batches with numpy.
 """
 
@@ -23,102 +23,64 @@ _SHIFT = 8  # arguments are raised by this before an asymptotic series is used
 _NEWTON_STEPS = 6
 
 
-# ---- column arithmetic -------------------------------------------------------------------
+# ---- SQL text over named columns ---------------------------------------------------------
+# Text, as one parsed expression is far quicker to build than hundreds of Column calls.
 
 
-def _terms(z: Column, *coefficients: float) -> Column:
+def _series(z: str, *coefficients: float) -> str:
     """c0 + c1/z^2 + c2/z^4 + ..."""
-    inv = 1.0 / (z * z)
-    total = F.lit(coefficients[-1])
+    text = f"{coefficients[-1]!r}D"
     for c in reversed(coefficients[:-1]):
-        total = F.lit(c) + inv * total
-    return total
+        text = f"({c!r}D + {text} / ({z} * {z}))"
+    return text
 
 
-def _raised(k: Column, term) -> Column:
-    total = term(k)
-    for i in range(1, _SHIFT):
-        total = total + term(k + float(i))
-    return total
+def _raised(k: str, term: str) -> str:
+    """Sum of ``term`` over k, k + 1, ..., the values below the raised argument."""
+    return " + ".join(term.format(f"({k} + {i})") for i in range(_SHIFT))
 
 
-def digamma(k: Column) -> Column:
-    z = k + float(_SHIFT)
-    tail = _terms(z, 1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132) / (z * z)
-    return F.ln(z) - 0.5 / z - tail - _raised(k, lambda v: 1.0 / v)
+def digamma(k: str) -> str:
+    z = f"({k} + {_SHIFT})"
+    tail = _series(z, 1 / 12, -1 / 120, 1 / 252, -1 / 240, 1 / 132)
+    return f"(ln({z}) - 0.5D / {z} - {tail} / ({z} * {z}) - ({_raised(k, '1D / {0}')}))"
 
 
-def trigamma(k: Column) -> Column:
-    z = k + float(_SHIFT)
-    tail = _terms(z, 1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66) / (z * z * z)
-    return 1.0 / z + 0.5 / (z * z) + tail + _raised(k, lambda v: 1.0 / (v * v))
+def trigamma(k: str) -> str:
+    z = f"({k} + {_SHIFT})"
+    tail = _series(z, 1 / 6, -1 / 30, 1 / 42, -1 / 30, 5 / 66)
+    squares = _raised(k, "1D / ({0} * {0})")
+    return f"(1D / {z} + 0.5D / ({z} * {z}) + {tail} / ({z} * {z} * {z}) + {squares})"
 
 
-def log_gamma(k: Column) -> Column:
-    z = k + float(_SHIFT)
-    tail = _terms(z, 1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188) / z
-    half_log_2pi = 0.5 * math.log(2 * math.pi)
-    return (z - 0.5) * F.ln(z) - z + half_log_2pi + tail - _raised(k, F.ln)
+def log_gamma(k: str) -> str:
+    z = f"({k} + {_SHIFT})"
+    tail = _series(z, 1 / 12, -1 / 360, 1 / 1260, -1 / 1680, 1 / 1188)
+    head = f"({z} - 0.5D) * ln({z}) - {z} + {0.5 * math.log(2 * math.pi)!r}D"
+    return f"({head} + {tail} / {z} - ({_raised(k, 'ln({0})')}))"
 
 
-def _newton(start: Column, step) -> Column:
-    """``start`` after a fixed number of steps; a fold keeps the plan small."""
-    return F.aggregate(
-        F.sequence(F.lit(1), F.lit(_NEWTON_STEPS)), start, lambda k, _: step(k)
-    )
-
-
-def mle_shape(mean: Column, mean_log: Column) -> Column:
-    """Shape with ln k - digamma(k) = ln mean - mean_log."""
-    s = F.ln(mean) - mean_log
-    start = (3.0 - s + F.sqrt((s - 3.0) * (s - 3.0) + 24.0 * s)) / (12.0 * s)
-    return _newton(
-        start, lambda k: k - (F.ln(k) - digamma(k) - s) / (1.0 / k - trigamma(k))
-    )
-
+def _newton(start: str, step: str) -> Column:
+    """``start`` after a fixed number of steps from k to ``step``."""
+    return F.expr(f"aggregate(sequence(1, {_NEWTON_STEPS}), {start}, (k, i) -> {step})")
 
-def inverse_digamma(y: Column) -> Column:
-    start = F.when(y >= -2.22, F.exp(y) + 0.5).otherwise(-1.0 / (y + 0.5772156649015329))
-    return _newton(start, lambda k: k - (digamma(k) - y) / trigamma(k))
 
+def mle_shape(s: str) -> Column:
+    """Maximum likelihood shape: the k with ln k - digamma(k) = s, for s = ln mean - mean log."""
+    start = f"(3D - {s} + sqrt(({s} - 3D) * ({s} - 3D) + 24D * {s})) / (12D * {s})"
+    return _newton(start, f"k - (ln(k) - {digamma('k')} - {s}) / (1D / k - {trigamma('k')})")
 
-def mean_log_likelihood(shape: Column, scale: Column, mean: Column, mean_log: Column) -> Column:
-    return (shape - 1.0) * mean_log - mean / scale - shape * F.ln(scale) - log_gamma(shape)
 
+def inverse_digamma(y: str) -> Column:
+    """The k with digamma(k) = y."""
+    start = f"if({y} >= -2.22D, exp({y}) + 0.5D, -1D / ({y} + 0.5772156649015329D))"
+    return _newton(start, f"k - ({digamma('k')} - {y}) / {trigamma('k')}")
 
-def _params(shape: Column, scale: Column) -> Column:
-    return F.struct(shape.alias("shape"), scale.alias("scale"))
 
-
-def mle_params(n: Column, mean: Column, mean_log: Column) -> Column:
-    """struct(shape, scale) of the maximum likelihood; NULL below two values or if all are equal."""
-    shape = mle_shape(mean, mean_log)
-    spread = F.ln(mean) - mean_log > 1e-12
-    return F.when((n >= 2) & spread, _params(shape, mean / shape))
-
-
-def bounded_params(free: Column, mean: Column, mean_log: Column, lower: float) -> Column:
-    """The maximum with shape and scale at or above ``lower``, from the free maximum.
-
-    The likelihood is concave in (shape, 1/scale): if the free maximum is outside the box,
-    the best point lies on one of its two faces.
-    """
-    if lower <= 0:
-        return free
-    b = F.lit(float(lower))
-    shape_face = _params(b, F.greatest(b, mean / b))
-    scale_face = _params(F.greatest(b, inverse_digamma(mean_log - math.log(lower))), b)
-
-    def likelihood(face: Column) -> Column:
-        return mean_log_likelihood(face["shape"], face["scale"], mean, mean_log)
-
-    inside = (free["shape"] >= b) & (free["scale"] >= b)
-    shape_wins = likelihood(shape_face) >= likelihood(scale_face)
-    return (
-        F.when(free.isNull(), None)
-        .when(inside, free)
-        .when(shape_wins, shape_face)
-        .otherwise(scale_face)
+def mean_log_likelihood(shape: str, scale: str, mean: str, mean_log: str) -> Column:
+    return F.expr(
+        f"({shape} - 1) * {mean_log} - {mean} / {scale} - {shape} * ln({scale})"
+        f" - {log_gamma(shape)}"
     )
 
 

@@ -40,39 +40,47 @@ def vote(last: DataFrame, product: Product) -> DataFrame:
 
 
 def cell_days(
-    daily: DataFrame, product: Product, start: dt.date | None = None, end: dt.date | None = None
+    daily: DataFrame,
+    product: Product,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
-    """Every cell of the forecasts times every day of the product's range.
+    """Every cell times every day of the product's range.
 
     Without a fixed range it runs from the first issue's date over the horizon, or to the
-    last valid day where the product has no horizon.
+    last valid day where the product has no horizon. A ``cells`` table (``cell_id``) saves
+    the pass over the forecasts that finds their cells.
     """
-    cells = daily.groupBy("product", "cell_id").agg(
-        F.min("issue_ts").alias("issue"), F.max("valid_date").alias("last")
-    )
-    ends = daily.groupBy("product").agg(
+    cells = (daily if cells is None else cells).select(
+        F.lit(product.name).alias("product"), "cell_id"
+    ).distinct()
+    start, end = start or product.start, end or product.end
+    if start and end:
+        return dates.explode_days(cells, F.lit(start), F.lit(end))
+    ends = daily.agg(
         F.to_date(F.min("issue_ts")).alias("first"), F.max("valid_date").alias("last")
     )
-    start, end = start or product.start, end or product.end
-    first = F.lit(start) if start else F.col("first")
+    first = F.lit(start) if start else ends.select("first").scalar()
     if end:
         last = F.lit(end)
     elif product.horizon_days:
         last = F.date_add(first, product.horizon_days - 1)
     else:
-        last = F.col("last")
-    if start and end:
-        return dates.explode_days(cells, first, last).select(*KEYS)
-    spans = cells.select("product", "cell_id").join(ends, "product")
-    return dates.explode_days(spans, first, last).select(*KEYS)
+        last = ends.select("last").scalar()
+    return dates.explode_days(cells, first, last)
 
 
 def consensus(
-    daily: DataFrame, product: Product, start: dt.date | None = None, end: dt.date | None = None
+    daily: DataFrame,
+    product: Product,
+    start: dt.date | None = None,
+    end: dt.date | None = None,
+    cells: DataFrame | None = None,
 ) -> DataFrame:
     """The vote for every cell and day of the range; a day nobody forecast is 0."""
     start, end = start or product.start, end or product.end
-    spine = cell_days(daily, product, start, end)
+    spine = cell_days(daily, product, start, end, cells)
     if start:
         daily = daily.filter(F.col("valid_date") >= F.lit(start))
     if end:

@@ -106,12 +106,13 @@ def day_spine(daily: DataFrame) -> DataFrame:
 
 
 def brick(daily: DataFrame) -> DataFrame:
-    """Daily totals with the brick's column name and the row each day takes on the common axis."""
-    axis = F.broadcast(day_axis(daily).select("product", "first_day"))  # a row per product
+    """One product's daily totals with the brick's column name and each day's row (from 1) on
+    the common axis."""
+    first_day = daily.agg(F.min("valid_date").alias("day")).scalar()
     parts = dates.issue_parts(dates.issue_id(F.col("issue_ts")))
-    return daily.join(axis, "product").select(
+    return daily.select(
         "product", "cell_id", parts["column_name"].alias("issue_column"), "valid_date",
-        (F.datediff("valid_date", "first_day") + 1).alias("day_index"), "mm",
+        (F.datediff("valid_date", first_day) + 1).alias("day_index"), "mm",
     )
 
 

@@ -13,14 +13,48 @@ def gamma_fit(sample: DataFrame, *keys: str, lower: float = 0.0) -> DataFrame:
     """Maximum likelihood shape and scale of ``mm`` (> 0) per key, both at or above ``lower``.
 
     The sample is reduced to three averages per key before any shuffle; the iteration then
-    runs on one row per key.
+    runs on one row per key. Below two values, or if all are equal, both are NULL.
     """
-    n, mean, mean_log = F.col("n"), F.col("mean"), F.col("mean_log")
-    stats = climatology.stats(sample, *keys).withColumn(
-        "free", gamma.mle_params(n, mean, mean_log)
+    gap = F.ln("mean") - F.col("mean_log")
+    fit = (
+        climatology.stats(sample, *keys)
+        .withColumn("gap", F.when((F.col("n") >= 2) & (gap > 1e-12), gap))
+        .withColumn("shape", gamma.mle_shape("gap"))
+        .withColumn("scale", F.col("mean") / F.col("shape"))
+    )
+    if lower > 0:
+        fit = _into_box(fit, float(lower))
+    return fit.select(*keys, "n", "shape", "scale")
+
+
+def _into_box(fit: DataFrame, lower: float) -> DataFrame:
+    """The best shape and scale at or above ``lower``, from the free maximum.
+
+    The likelihood is concave in (shape, 1/scale): if the free maximum is outside the box,
+    the best point lies on one of its two faces. Each step is a column of its own, so none
+    is computed twice.
+    """
+    outside = (F.col("shape") < lower) | (F.col("scale") < lower)
+    faces = (
+        fit.withColumn("bound", F.when(outside, F.lit(lower)))
+        .withColumn("face_scale", F.greatest(F.lit(lower), F.col("mean") / F.col("bound")))
+        .withColumn("target", F.col("mean_log") - F.ln("bound"))
+        .withColumn("root", gamma.inverse_digamma("target"))
+        .withColumn("face_shape", F.greatest(F.lit(lower), F.col("root")))
+    )
+    at_shape = gamma.mean_log_likelihood("bound", "face_scale", "mean", "mean_log")
+    at_scale = gamma.mean_log_likelihood("face_shape", "bound", "mean", "mean_log")
+    wins = F.col("shape_wins")
+    return faces.withColumn("shape_wins", at_shape >= at_scale).withColumns(
+        {
+            "shape": F.when(F.col("bound").isNull(), F.col("shape"))
+            .when(wins, F.col("bound"))
+            .otherwise(F.col("face_shape")),
+            "scale": F.when(F.col("bound").isNull(), F.col("scale"))
+            .when(wins, F.col("face_scale"))
+            .otherwise(F.col("bound")),
+        }
     )
-    fit = gamma.bounded_params(F.col("free"), mean, mean_log, lower)
-    return stats.withColumn("fit", fit).select(*keys, "n", "fit.shape", "fit.scale")
 
 
 def params_table(observed: DataFrame, model: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TILE_SIDE = 32  # grid points along one side of a tile
 STATIONS_PER_BLOCK = 512
 DAYS_PER_BLOCK = 32
+BROADCAST_POINTS = 500_000  # grid points (16 bytes each) that may go to every executor
 
 
 @dataclass(frozen=True)
@@ -146,29 +147,39 @@ def idw(
     grid: Grid,
     power: float = IDW_POWER,
     metric: str = "ellipsoid",
+    n_stations: int | None = None,
     stations_per_block: int = STATIONS_PER_BLOCK,
 ) -> DataFrame:
     """Inverse-distance weighted mean of all stations with a value, per day and point.
 
-    ``station_days`` has ``location, lon, lat, valid_date, mm``. A tile of at most 32 x 32
-    points meets a block of about ``stations_per_block`` stations and 32 days as one row, and
-    the weights are applied as a matrix product. Blocks of the same day add up, so no task
-    needs all stations. A point on a station takes that station's value.
+    ``station_days`` has ``location, lon, lat, valid_date, mm``; ``n_stations`` saves counting
+    its stations. A tile of at most 32 x 32 points meets a block of about
+    ``stations_per_block`` stations and 32 days as one row, and the weights are applied as a
+    matrix product. Blocks of the same day add up, so no task needs all stations. A point on
+    a station takes that station's value.
     """
+    spark = station_days.sparkSession
     known = station_days.filter(F.col("mm").isNotNull())
-    blocks = max(1, -(-known.select("location").distinct().count() // stations_per_block))
+    if n_stations is None:
+        n_stations = known.select("location").distinct().count()
+    blocks = max(1, -(-n_stations // stations_per_block))
     day = F.unix_date("valid_date")
     stations = known.groupBy(
         F.floor(day / DAYS_PER_BLOCK).alias("day_block"),
         F.pmod(F.xxhash64("location"), F.lit(blocks)).alias("station_block"),
     ).agg(F.collect_list(F.struct("lon", "lat", day.alias("day"), "mm")).alias("stations"))
-    # the block's rows are spread before they are copied to every tile
-    spread = stations.repartition("day_block", "station_block").withColumn(
-        "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(grid.tiles - 1).cast("bigint")))
+    last_tile = F.lit(grid.tiles - 1).cast("bigint")
+    work = stations.withColumn(
+        "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), last_tile))
     )
     tiles = points.groupBy("tile").agg(F.collect_list(F.struct("x", "y")).alias("points"))
+    if grid.nx * grid.ny <= BROADCAST_POINTS:
+        # few tiles: spread by tile and block, as a fixed count that AQE does not merge
+        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        work = work.repartition(tasks, "tile", "day_block", "station_block")
+        tiles = F.broadcast(tiles)
     partial = (
-        spread.join(tiles, "tile")
+        work.join(tiles, "tile")
         .select("points", "stations")
         .mapInArrow(
             _partial_weights(power, metric),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,74 +43,90 @@ def _nearest_in_array(stations: DataFrame, cells: DataFrame) -> DataFrame:
     )
 
 
-def _axis_tile(value: Column, low: Column, high: Column, count: int) -> Column:
-    share = F.coalesce(F.try_divide(value - low, high - low), F.lit(0.0))
-    return F.least(F.floor(share * count), F.lit(count - 1))
+def _axis_tile(value: Column, low: float, high: float, count: int) -> Column:
+    if high == low:
+        return F.lit(0).cast("bigint")
+    share = F.floor((value - low) / (high - low) * count)
+    return F.least(share, F.lit(count - 1).cast("bigint"))
+
+
+def _tile_levels(places: DataFrame) -> list[DataFrame]:
+    """Tiles with cells and their tight boxes, coarsest level first.
+
+    A level is grouped from the next finer one, so the cells are grouped only once.
+    """
+    low_x, high_x, low_y, high_y = places.agg(
+        F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")
+    ).first()
+    side = TREE_SPLIT**TREE_LEVELS
+    tiles = places.select(
+        "cell_id", "lon", "lat",
+        _axis_tile(F.col("lon"), low_x, high_x, side).alias("tx"),
+        _axis_tile(F.col("lat"), low_y, high_y, side).alias("ty"),
+    )
+    levels = [tiles]
+    box = {"w": F.min("lon"), "e": F.max("lon"), "s": F.min("lat"), "n": F.max("lat")}
+    for _ in range(TREE_LEVELS):
+        grouped = tiles.groupBy("tx", "ty").agg(*[c.alias(name) for name, c in box.items()])
+        levels.insert(0, grouped)
+        tiles = grouped.withColumn("tx", F.floor(F.col("tx") / TREE_SPLIT)).withColumn(
+            "ty", F.floor(F.col("ty") / TREE_SPLIT)
+        )
+        box = {"w": F.min("w"), "e": F.max("e"), "s": F.min("s"), "n": F.max("n")}
+    return levels
+
+
+def _least_distance() -> Column:
+    """Squared distance from a place to a box, 0 inside."""
+    x = F.greatest(F.col("w") - F.col("lon"), F.col("lon") - F.col("e"), F.lit(0.0))
+    y = F.greatest(F.col("s") - F.col("lat"), F.col("lat") - F.col("n"), F.lit(0.0))
+    return x * x + y * y
 
 
-def _gap(value: str, low: str, high: str) -> Column:
-    return F.greatest(F.col(low) - F.col(value), F.col(value) - F.col(high), F.lit(0.0))
+def _sure_distance() -> Column:
+    """Squared distance within which a tight box surely has a cell: each side touches one."""
 
+    def sides(value: str, low: str, high: str) -> tuple[Column, Column]:
+        ends = F.abs(F.col(value) - F.col(low)), F.abs(F.col(value) - F.col(high))
+        return F.least(*ends), F.greatest(*ends)
 
-def _surely_within(value: str, low: str, high: str) -> tuple[Column, Column]:
-    """Along one axis of a tight box: distance to the nearer and to the farther side."""
-    to_low, to_high = F.abs(F.col(value) - F.col(low)), F.abs(F.col(value) - F.col(high))
-    return F.least(to_low, to_high), F.greatest(to_low, to_high)
+    (near_x, far_x), (near_y, far_y) = sides("lon", "w", "e"), sides("lat", "s", "n")
+    return F.least(near_x * near_x + far_y * far_y, far_x * far_x + near_y * near_y)
 
 
 def _nearest_in_tree(stations: DataFrame, cells: DataFrame) -> DataFrame:
     """Descend a tree of tiles, keeping per station the tiles that can hold its nearest cell.
 
-    Every side of a tile's tight box touches a cell, which bounds the nearest distance from
-    above; a tile farther than the best such bound is dropped. Cells at one place count once.
+    A tile farther than the distance that is sure at some other tile is dropped. Cells at
+    one place count once.
     """
     places = cells.groupBy("lon", "lat").agg(F.min("cell_id").alias("cell_id"))
-    ends = cells.agg(
-        F.min("lon").alias("x0"), F.max("lon").alias("x1"),
-        F.min("lat").alias("y0"), F.max("lat").alias("y1"),
-    )
-    x0, x1, y0, y1 = (ends.select(c).scalar() for c in ("x0", "x1", "y0", "y1"))
-    side = TREE_SPLIT**TREE_LEVELS
-    places = places.withColumn("ix", _axis_tile(F.col("lon"), x0, x1, side)).withColumn(
-        "iy", _axis_tile(F.col("lat"), y0, y1, side)
-    )
-
-    def tile(level: int) -> Column:
-        shrink = TREE_SPLIT ** (TREE_LEVELS - level)
-        per_axis = TREE_SPLIT**level
-        return F.floor(F.col("ix") / shrink) * per_axis + F.floor(F.col("iy") / shrink)
-
-    def box(level: int) -> DataFrame:
-        parent = F.lit(0).cast("bigint") if level == 1 else tile(level - 1)
-        return places.groupBy(parent.alias("parent"), tile(level).alias("tile")).agg(
-            F.min("lon").alias("w"), F.max("lon").alias("e"),
-            F.min("lat").alias("s"), F.max("lat").alias("n"),
-        )
-
-    near_x, far_x = _surely_within("lon", "w", "e")
-    near_y, far_y = _surely_within("lat", "s", "n")
-    bound = F.least(near_x * near_x + far_y * far_y, far_x * far_x + near_y * near_y)
-    gap_x, gap_y = _gap("lon", "w", "e"), _gap("lat", "s", "n")
+    *levels, leaves = _tile_levels(places)
     slack = 1.0 + 1e-12  # rounding must not drop a tile that ties
-
-    open_tiles = stations.select(
-        "location", "lon", "lat", F.lit(0).cast("bigint").alias("parent")
-    )
-    for level in range(1, TREE_LEVELS + 1):
-        best = F.min("bound").over(Window.partitionBy("location"))
-        open_tiles = (
-            open_tiles.join(box(level), "parent")
-            .withColumn("bound", bound)
-            .withColumn("best", best)
-            .filter(gap_x * gap_x + gap_y * gap_y <= F.col("best") * slack)
-            .select("location", "lon", "lat", F.col("tile").alias("parent"))
+    parent = [F.floor(F.col(c) / TREE_SPLIT).alias(f"p{c}") for c in ("tx", "ty")]
+
+    # the top level has at most 16 tiles and travels as one array
+    top = levels[0].agg(F.collect_list(F.struct("tx", "ty", "w", "e", "s", "n"))).scalar()
+    candidates = stations.select("location", "lon", "lat", F.explode(top).alias("tile"))
+    candidates = candidates.select("location", "lon", "lat", "tile.*")
+    for i, level in enumerate(levels):
+        if i:
+            boxes = level.select(*parent, "*")
+            if i < 3:  # at most 4096 tiles
+                boxes = F.broadcast(boxes)
+            candidates = candidates.join(boxes, ["ptx", "pty"])
+        sure = F.min(_sure_distance()).over(Window.partitionBy("location"))
+        candidates = (
+            candidates.withColumn("sure", sure)
+            .filter(_least_distance() <= F.col("sure") * slack)
+            .select("location", "lon", "lat", F.col("tx").alias("ptx"), F.col("ty").alias("pty"))
         )
-    leaves = places.select(
-        tile(TREE_LEVELS).alias("parent"), "cell_id", F.col("lon").alias("cx"),
-        F.col("lat").alias("cy"),
+    leaves = leaves.select(
+        F.col("tx").alias("ptx"), F.col("ty").alias("pty"), "cell_id",
+        F.col("lon").alias("cx"), F.col("lat").alias("cy"),
     )
     d2 = squared_degrees(F.col("lon"), F.col("lat"), F.col("cx"), F.col("cy"))
-    found = open_tiles.join(leaves, "parent").groupBy("location").agg(
+    found = candidates.join(leaves, ["ptx", "pty"]).groupBy("location").agg(
         F.min(F.struct(d2.alias("d2"), "cell_id")).alias("best")
     )
     return stations.join(found.select("location", F.col("best.cell_id")), "location")
@@ -128,7 +142,7 @@ def station_series(stations: DataFrame, consensus: DataFrame) -> DataFrame:
 def forecast_export(corrected: DataFrame, stations: DataFrame, days: list) -> DataFrame:
     """One row per station, one column per named day, then lat, lon and alt."""
     columns = [str(d) for d in days]
-    by_day = corrected.withColumn("day", F.date_format("valid_date", "yyyy-MM-dd"))
+    by_day = corrected.withColumn("day", F.col("valid_date").cast("string"))
     wide = by_day.groupBy("location").pivot("day", columns).agg(F.first("mm_corrected"))
     return wide.join(stations.select("location", "lat", "lon", "alt"), "location")
 

@@ -103,7 +103,7 @@ def corrected_grids(
     located = corrected.join(stations.select("location", "lat", "lon"), "location").select(
         "location", "lon", "lat", "valid_date", F.col("mm_corrected").alias("mm")
     )
-    return interpolation.idw(located, points, grid)
+    return interpolation.idw(located, points, grid, n_stations=stations.count())
 
 
 def build_brick(

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pluvia.functions import dates
+
 
 def stage(df: DataFrame, path: str, *partition_by: str, mode: str = "overwrite") -> None:
     """A stage output as Parquet; only the partitions present in ``df`` are replaced."""
@@ -22,14 +24,14 @@ def stage(df: DataFrame, path: str, *partition_by: str, mode: str = "overwrite")
 def daily(df: DataFrame, path: str) -> None:
     """Daily totals in folders by product and issue month."""
     stage(
-        df.withColumn("issue_month", F.date_format("issue_ts", "yyyy-MM")),
+        df.withColumn("issue_month", dates.month_label(F.col("issue_ts"))),
         path, "product", "issue_month",
     )
 
 
 def forecast(df: DataFrame, path: str) -> None:
     """6-hourly forecasts in folders by product and issue month, ordered for cell slices."""
-    by_month = df.withColumn("issue_month", F.date_format("issue_ts", "yyyy-MM"))
+    by_month = df.withColumn("issue_month", dates.month_label(F.col("issue_ts")))
     (
         by_month.hint("rebalance", "product", "issue_month")
         .sortWithinPartitions("product", "issue_month", "lat_idx", "lon_idx", "issue_ts", "step")

@@ -14,6 +14,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from pluvia.config import Product
+from pluvia.functions import dates, units
 from pluvia.operators import consensus as vote
 from pluvia.operators.daily import daily_totals
 from pluvia.sources import writers
@@ -91,20 +92,16 @@ def daily_within(steps: DataFrame, product: Product, delay: str = "2 days") -> D
     every later issue, as each issue reaches months ahead. Issues later than ``delay`` are
     dropped; use ``start_daily`` where they must count.
     """
-    from pluvia.functions import dates, units
-
     base = dates.parse_units(F.col("units")) if "units" in steps.columns else F.col("issue_ts")
     valid = dates.valid_date(base, F.col("step"), product.shift_hours)
-    # event time needs a zoned timestamp; the session zone only labels it
+    # event time must be a zoned timestamp; the issue keeps its zone-free one beside it
     rows = steps.select(
-        F.col("issue_ts").cast("timestamp").alias("issue_time"), "cell_id",
+        F.col("issue_ts").cast("timestamp").alias("issue_time"), "issue_ts", "cell_id",
         valid.alias("valid_date"), units.rate_to_mm(F.col("prate")).alias("mm"),
     )
     totals = rows.withWatermark("issue_time", delay).groupBy(
-        F.window("issue_time", "6 hours").alias("issue"), "cell_id", "valid_date"
+        "issue_time", "issue_ts", "cell_id", "valid_date"
     )
     return totals.agg(F.sum("mm").alias("mm")).select(
-        F.lit(product.name).alias("product"),
-        F.col("issue.start").cast("timestamp_ntz").alias("issue_ts"),
-        "cell_id", "valid_date", "mm",
+        F.lit(product.name).alias("product"), "issue_ts", "cell_id", "valid_date", "mm"
     )

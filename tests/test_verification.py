@@ -1,0 +1,83 @@
+import datetime as dt
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from pluvia.operators import verification
+
+
+def pairs(spark, rows):
+    return spark.createDataFrame(
+        [("A", f, o) for f, o in rows], "location string, operational double, registro double"
+    )
+
+
+def test_table_and_scores(spark):
+    rows = [(1.0, 2.0)] * 3 + [(0.2, 2.0)] * 2 + [(1.0, 0.0)] + [(0.5, 0.0), (0.0, 0.0)]
+    rows += [(0.5, 1.0), (None, 1.0), (1.0, None)]
+    table = verification.contingency(pairs(spark, rows), "location")
+    assert tuple(table.first())[1:] == (3, 2, 1, 2, 2)
+    got = verification.skill_scores(table, "location").first()
+    assert tuple(got)[1:] == pytest.approx((5 / 8, 4 / 5, 3 / 5, 1 / 4, 1 / 3, 3 / 4))
+
+
+def test_scores_without_divisor_are_null(spark):
+    table = verification.contingency(pairs(spark, [(0.0, 0.0)]), "location")
+    got = verification.skill_scores(table, "location").first()
+    assert tuple(got)[1:] == (1.0, None, None, None, 0.0, None)
+
+
+def test_continuous(spark):
+    got = verification.continuous_scores(
+        pairs(spark, [(1.0, 2.0), (4.0, 2.0), (3.0, 0.0)]), "location"
+    ).first()
+    assert (got.me, got.mae) == pytest.approx((-4 / 3, 2.0))
+    assert got.rmse == pytest.approx((14 / 3) ** 0.5)
+    assert (got.mpe, got.mape) == pytest.approx((-25.0, 75.0))
+
+
+def test_series_meet_by_key_and_not_by_row(spark):
+    D = dt.date
+    forecast = spark.createDataFrame(
+        [("A", D(2012, 7, 2), 5.0), ("A", D(2012, 7, 1), 4.0), ("B", D(2012, 7, 1), 1.0)],
+        "location string, valid_date date, mm double",
+    )
+    obs = spark.createDataFrame(
+        [("A", D(2012, 7, 1), 7.0), ("A", D(2012, 7, 3), 8.0)],
+        "location string, obs_date date, mm double",
+    )
+    got = verification.pairs(forecast, obs).collect()
+    assert [(r.operational, r.registro) for r in got] == [(4.0, 7.0)]
+    outer = verification.compare_outer(forecast, obs, "location", "valid_date").collect()
+    assert {(r.location, r.valid_date.day, r.forecast, r.observed) for r in outer} == {
+        ("A", 1, 4.0, 7.0), ("A", 2, 5.0, None), ("A", 3, None, 8.0), ("B", 1, 1.0, None)
+    }
+
+
+def test_ecdf_of_a_hot_key_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    hot = np.round(rng.gamma(0.7, 8, 5000), 1)
+    rows = [("hot", float(v)) for v in hot] + [("b", 1.0), ("b", 1.0), ("b", 2.0), ("b", None)]
+    df = spark.createDataFrame(rows, "location string, mm double").repartition(6)
+    got = {(r.location, r.mm): r.f for r in verification.ecdf(df, "location").collect()}
+    assert got[("b", 1.0)] == pytest.approx(2 / 3) and got[("b", 2.0)] == 1.0
+    values = np.unique(hot)
+    assert len(got) == len(values) + 2
+    for v in values:
+        assert got[("hot", float(v))] == pytest.approx(np.mean(hot <= v), abs=1e-12)
+
+
+def test_ecdf_without_keys(spark):
+    df = spark.createDataFrame([(3.0,), (1.0,), (1.0,), (2.0,)], "mm double")
+    got = [tuple(r) for r in verification.ecdf(df).orderBy("mm").collect()]
+    assert got == [(1.0, 0.5), (2.0, 0.75), (3.0, 1.0)]
+
+
+def test_counts_cover_at_most_the_pairs(spark):
+    df = spark.range(500).select(
+        F.lit("A").alias("location"), (F.rand(1) * 2).alias("operational"),
+        F.greatest(F.rand(2) - 0.5, F.lit(0.0)).alias("registro"),
+    )
+    row = verification.contingency(df, "location").first()
+    assert row.n_hit + row.n_miss + row.n_fa + row.n_cn <= 500
