@@ -1,0 +1,125 @@
+import datetime as dt
+import math
+
+import numpy as np
+import pytest
+
+from pluvia import schemas
+from pluvia.functions.spatial import np_distance
+from pluvia.operators import interpolation as ip
+
+D = dt.date
+
+
+def station_days(spark, n=40, days=40, seed=4):
+    rng = np.random.default_rng(seed)
+    places = [(f"s{i}", float(rng.uniform(-74, -68)), float(rng.uniform(-35, -31))) for i in range(n)]
+    rows = []
+    for i, (name, lon, lat) in enumerate(places):
+        for d in range(days):
+            if (i + d) % 7:
+                mm = None if (i * d) % 11 == 5 else float(rng.gamma(1, 10))
+                rows.append((name, lon, lat, D(2024, 1, 20) + dt.timedelta(days=d), mm))
+    schema = "location string, lon double, lat double, valid_date date, mm double"
+    return spark.createDataFrame(rows, schema), rows
+
+
+def brute(rows, x, y, day, metric):
+    known = [(lo, la, mm) for _, lo, la, d, mm in rows if d == day and mm is not None]
+    lon, lat, mm = map(np.array, zip(*known))
+    w = 1 / np_distance(x, y, lon, lat, metric) ** 2
+    return float((w * mm).sum() / w.sum())
+
+
+def small_grid():
+    return ip.Grid.over((-74.0, -68.0, -35.0, -31.0), n=150)
+
+
+@pytest.mark.parametrize("metric", ["ellipsoid", "haversine", "euclidean"])
+@pytest.mark.parametrize("block", [512, 7])
+def test_idw_equals_brute_force_for_any_block_size(spark, metric, block):
+    df, rows = station_days(spark)
+    grid = small_grid()
+    points = ip.regular_grid(spark, grid)
+    got = ip.idw(df, points, grid, metric=metric, stations_per_block=block).collect()
+    assert len(got) == grid.nx * grid.ny * 40
+    mm = [r[4] for r in rows if r[4] is not None]
+    assert min(mm) - 1e-9 <= min(r.mm for r in got) <= max(r.mm for r in got) <= max(mm) + 1e-9
+    for r in got[:: len(got) // 60]:
+        assert r.mm == pytest.approx(brute(rows, r.x, r.y, r.valid_date, metric), rel=1e-9)
+
+
+def test_large_grids_join_tiles_without_broadcast(spark, monkeypatch):
+    df, _ = station_days(spark, n=12, days=3)
+    grid = ip.Grid.over((-74.0, -68.0, -35.0, -31.0), n=3000)
+    points = ip.regular_grid(spark, grid)
+    few = {(r.valid_date, r.x, r.y): r.mm for r in ip.idw(df, points, grid).collect()}
+    monkeypatch.setattr(ip, "BROADCAST_POINTS", 0)
+    many = {(r.valid_date, r.x, r.y): r.mm for r in ip.idw(df, points, grid).collect()}
+    assert few.keys() == many.keys() and len(few) == 3 * grid.nx * grid.ny
+    assert all(few[k] == pytest.approx(many[k], rel=1e-12) for k in few)
+
+
+def test_point_on_a_station_takes_its_value(spark):
+    grid = ip.Grid(west=0.0, south=0.0, step=1.0, nx=3, ny=3)
+    rows = [("A", 1.5, 1.5, D(2024, 1, 1), 7.0), ("B", 0.2, 0.3, D(2024, 1, 1), 1.0)]
+    df = spark.createDataFrame(rows, "location string, lon double, lat double, valid_date date, mm double")
+    for block in (512, 1):
+        got = ip.idw(df, ip.regular_grid(spark, grid), grid, stations_per_block=block)
+        by_point = {(r.x, r.y): r.mm for r in got.collect()}
+        assert by_point[(1.5, 1.5)] == 7.0 and by_point[(0.5, 0.5)] < 7.0
+
+
+def test_distances():
+    # one degree along the equator and along a meridian on the ellipsoid
+    along = np_distance(np.array([0.0]), np.array([0.0]), 1.0, 0.0, "ellipsoid")[0]
+    assert along == pytest.approx(111.3195, abs=1e-3)
+    up = np_distance(np.array([0.0]), np.array([0.0]), 0.0, 1.0, "ellipsoid")[0]
+    assert up == pytest.approx(110.574, abs=2e-2)
+    ball = np_distance(np.array([0.0]), np.array([0.0]), 0.0, 1.0, "haversine")[0]
+    assert ball == pytest.approx(6371 * math.pi / 180)
+    assert np_distance(np.array([5.0]), np.array([5.0]), 5.0, 5.0, "ellipsoid")[0] == 0.0
+    with pytest.raises(ValueError):
+        np_distance(np.array([5.0]), np.array([5.0]), 5.0, 5.0, "other")
+
+
+def test_grid_covers_the_box(spark):
+    grid = ip.Grid.over((-74.0, -68.0, -35.0, -31.0), n=50_000)
+    assert abs(grid.nx * grid.ny - 50_000) < 600
+    points = ip.regular_grid(spark, grid)
+    assert points.count() == grid.nx * grid.ny
+    row = points.agg({"x": "min", "y": "max"}).first()
+    assert row["min(x)"] == pytest.approx(-74 + grid.step / 2)
+    assert -31 - grid.step * 1.5 <= row["max(y)"] <= -31
+    tiles = points.groupBy("tile").count().collect()
+    assert len(tiles) == grid.tiles and max(r["count"] for r in tiles) <= ip.TILE_SIDE**2
+
+
+def ray(ring, x, y):
+    odd = False
+    for (x1, y1), (x2, y2) in zip(ring, ring[1:] + ring[:1]):
+        if (y1 > y) != (y2 > y) and x < (x2 - x1) * (y - y1) / (y2 - y1) + x1:
+            odd = not odd
+    return odd
+
+
+def test_mask_equals_brute_force(spark):
+    star = [
+        (-71 + r * math.cos(a), -33 + r * math.sin(a))
+        for a, r in ((2 * math.pi * i / 14, 1.8 if i % 2 else 0.7) for i in range(14))
+    ]
+    square = [(-73.9, -34.9), (-73.0, -34.9), (-73.0, -34.0), (-73.9, -34.0)]
+    far = [(10.0, 10.0), (11.0, 10.0), (11.0, 11.0)]
+    closed = square[:] + square[:1]  # first point repeated at the end
+    rings = {"star": star, "square": closed, "far": far}
+    basins = spark.createDataFrame(
+        [(n, [{"x": x, "y": y} for x, y in ring]) for n, ring in rings.items()], schemas.BASIN
+    )
+    grid = ip.Grid.over((-74.0, -68.0, -35.0, -31.0), n=8000)
+    points = ip.regular_grid(spark, grid)
+    kept = {(r.ix, r.iy) for r in ip.basin_mask(points, basins, grid).collect()}
+    expected = {
+        (r.ix, r.iy) for r in points.collect() if any(ray(g, r.x, r.y) for g in rings.values())
+    }
+    assert kept == expected and 0 < len(kept) < grid.nx * grid.ny
+    assert ip.ring_box(basins)[0] == -73.9 and ip.ring_box(basins)[3] == 11.0
