@@ -215,10 +215,17 @@ _STEPS = {
       PARTITION BY s.location ORDER BY (s.lon - c.lon) * (s.lon - c.lon)
         + (s.lat - c.lat) * (s.lat - c.lat), c.cell_id) AS r
       FROM stations s CROSS JOIN cells c) WHERE r = 1""",
-    "near_many": f"""SELECT location, cell_id FROM (SELECT CAST(s.vec_id AS VARCHAR) AS location,
-      c.vec_id + 1 AS cell_id, row_number() OVER (PARTITION BY s.vec_id
-      ORDER BY (s.lon - c.lon) * (s.lon - c.lon) + (s.lat - c.lat) * (s.lat - c.lat), c.vec_id)
-      AS r FROM places s CROSS JOIN ({_located(3)}) c) WHERE r = 1""",
+    "near_many": f"""SELECT location, cell_id, sqrt(d2) AS distance FROM (
+      SELECT *, row_number() OVER (PARTITION BY location ORDER BY d2, cell_id) AS r FROM (
+        SELECT CAST(s.vec_id AS VARCHAR) AS location, c.vec_id + 1 AS cell_id,
+        (s.lon - c.lon) * (s.lon - c.lon) + (s.lat - c.lat) * (s.lat - c.lat) AS d2
+        FROM places s CROSS JOIN ({_located(3)}) c)) WHERE r = 1""",
+    "recent_stats": """SELECT month, count(*) AS n, avg(mm) AS mean, avg(ln(mm)) AS g FROM (
+      SELECT month(obs_date) AS month, mm FROM obs_recent WHERE mm > 0) GROUP BY month""",
+    "recent_fit": _free_fit("recent_stats", "month"),
+    "draws": """SELECT month, draw, shape, scale, (CAST('0x' || substr(md5(
+      '0|' || month || '|' || draw), 1, 13) AS BIGINT) + 0.5) / 4503599627370496 AS u
+      FROM recent_fit, range(1, 10001) t(draw)""",
     "obs_hist": """SELECT replace(s_name, '#', ' ') AS location, obs_date, mm FROM (
       SELECT l_suppkey, CAST(l_shipdate AS DATE) AS obs_date, sum(l_extendedprice) / 5000 AS mm
       FROM lineitem GROUP BY ALL) JOIN supplier ON l_suppkey = s_suppkey""",
@@ -431,8 +438,8 @@ def statements() -> dict[str, str]:
           ON o.obs_date = d.obs_date AND o.location = l.location)"""),
         "station_lookup": s("location lat:6 lon:6",
                             "stations WHERE location = 'Supplier 000000007'"),
-        "nearest_cell": s("location cell_id:int", "near_many"),
-        "nearest_cell_tree": s("location cell_id:int", "near_many"),
+        "nearest_cell": s("location cell_id:int distance:6", "near_many"),
+        "nearest_cell_tree": s("location cell_id:int distance:6", "near_many"),
         "station_forecast": s("location cell_id:int valid_date:day mm:6", "series_operational"),
         # fits and correction
         "gamma_fit": s("location month:int n:int shape:6 scale:6", "obs_free"),
@@ -449,6 +456,8 @@ def statements() -> dict[str, str]:
         "gamma_quantile": s("location month:int p:6 mm:4", "(SELECT *, p0 AS p, x AS mm FROM ("
           + _quantile("(SELECT * FROM obs_free, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), "
                       "(0.9::DOUBLE)) t(p0))", "location, month, p0", "p0") + "))"),
+        "gamma_sample": s("month:int draw:int mm:4", "(SELECT month, draw, x AS mm FROM ("
+                          + _quantile("draws", "month, draw", "u") + "))"),
         "quantile_map": s("location valid_date:day mm:6 mm_corrected:4", "corrected_realtime"),
         "valid_days": s("valid_date:day", "(SELECT DISTINCT valid_date FROM series_realtime)"),
         "forecast_export": s(

@@ -371,14 +371,14 @@ def _places(spark, sf) -> DataFrame:
 @query
 def nearest_cell(spark, sf):
     return st.nearest_cell(_places(spark, sf), v.many_cells(spark, sf)).select(
-        "location", "cell_id"
+        "location", "cell_id", "distance"
     )
 
 
 @query
 def nearest_cell_tree(spark, sf):
     found = st.nearest_cell(_places(spark, sf), v.many_cells(spark, sf), max_array_cells=0)
-    return found.select("location", "cell_id")
+    return found.select("location", "cell_id", "distance")
 
 
 @query
@@ -441,7 +441,7 @@ def gamma_quantile(spark, sf):
     return rows.select("location", "month", "p", mm.alias("mm"))
 
 
-@query
+@query(mm=4)
 def gamma_sample(spark, sf):
     wet = observations.month_wet(v.obs_recent(spark, sf))
     return fitting.gamma_sample(fitting.gamma_fit(wet, "month"), "month")

@@ -39,8 +39,8 @@ def parse_mdy(text: Column) -> Column:
 
 def parse_units(units: Column) -> Column:
     """Base time of ``hours since DATE TIME``; the time may come as H:M or H:M:S."""
-    words = F.split(units, " ")
-    return F.concat_ws(" ", words[2], words[3]).cast("timestamp_ntz")
+    four_words = F.substring_index(units, " ", 4)
+    return F.substring_index(four_words, " ", -2).cast("timestamp_ntz")
 
 
 def issue_parts(text: Column) -> dict[str, Column]:
@@ -60,7 +60,9 @@ def valid_ts(base: Column, step: Column, shift_hours: int) -> Column:
 
 
 def valid_date(base: Column, step: Column, shift_hours: int) -> Column:
-    return F.to_date(valid_ts(base, step, shift_hours))
+    """Local day of a step: the date of ``valid_ts``, in whole hours as intervals cost more."""
+    hours = F.hour(base) + step * STEP_HOURS - shift_hours
+    return F.date_add(F.to_date(base), F.floor(hours / 24).cast("int"))
 
 
 def issue_hour_start(issue_ts: Column) -> Column:

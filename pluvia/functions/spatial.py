@@ -23,10 +23,6 @@ def squared_degrees(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
     return dx * dx + dy * dy
 
 
-def distance(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
-    return F.sqrt(squared_degrees(x1, y1, x2, y2))
-
-
 def np_distance(x1, y1, x2, y2, metric: str) -> np.ndarray:
     """Distances between numpy arrays of points (degrees for euclidean, else km)."""
     if metric == "euclidean":

@@ -39,6 +39,13 @@ def of_variable(forecast: DataFrame, variable: str) -> DataFrame:
     return forecast.filter(F.col("variable") == variable)
 
 
+def base_time(steps: DataFrame) -> Column:
+    """Time of step 0: stored, else from ``units``, else the issue time."""
+    if "base_ts" in steps.columns:
+        return F.col("base_ts")
+    return dates.parse_units(F.col("units")) if "units" in steps.columns else F.col("issue_ts")
+
+
 def daily_totals(
     steps: DataFrame, product: Product, placement: str = "valid_time"
 ) -> DataFrame:
@@ -48,7 +55,7 @@ def daily_totals(
     ``placement='issue_hour'`` starts an issue on the day its hour names instead of the day
     its times name.
     """
-    base = dates.parse_units(F.col("units")) if "units" in steps.columns else F.col("issue_ts")
+    base = base_time(steps)
     valid = dates.valid_date(base, F.col("step"), product.shift_hours)
     if placement == "issue_hour":
         valid = dates.issue_hour_date(F.col("issue_ts"), base, valid, product.shift_hours)

@@ -71,8 +71,10 @@ def gamma_sample(params: DataFrame, *keys: str, n: int = 10_000, seed: int = 0)
     draws the same values.
     """
     draws = params.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n))))
-    bits = F.shiftrightunsigned(F.xxhash64(F.lit(seed), *keys, "draw"), 11)
-    uniform = (bits.cast("double") + 0.5) / float(2**53)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys],
+                               F.col("draw").cast("string")))
+    bits = F.conv(digest.substr(1, 13), 16, 10).cast("double")  # 13 hex digits, 52 bits
+    uniform = (bits + 0.5) / float(2**52)
     mm = gamma.gamma_quantile(uniform, F.col("shape"), F.col("scale"))
     return draws.select(*keys, "draw", mm.alias("mm"))
 

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.config import IDW_POINTS, IDW_POWER
@@ -73,7 +73,8 @@ def regular_grid(spark: SparkSession, grid: Grid) -> DataFrame:
 def basin_mask(points: DataFrame, basins: DataFrame, grid: Grid) -> DataFrame:
     """The points inside at least one basin.
 
-    Each basin goes to the tiles its box touches, so a point meets only the basins near it.
+    Each basin goes to the tiles its box touches, with only the edges an eastward ray from
+    there can cross, so a point meets neither far basins nor the whole of a long outline.
     """
     xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
     boxed = basins.select(
@@ -83,18 +84,30 @@ def basin_mask(points: DataFrame, basins: DataFrame, grid: Grid) -> DataFrame:
     )
     width = grid.step * TILE_SIDE
 
-    def tile_span(low: str, high: str, origin: float, count: int):
-        def index(edge: str):
+    def tile_span(low: str, high: str, origin: float, count: int) -> Column:
+        def index(edge: str) -> Column:
             at = F.floor((F.col(edge) - origin) / width)
             return F.greatest(F.least(at, F.lit(count - 1)), F.lit(0))
 
         return F.sequence(index(low), index(high))
 
+    def crossable(edge: Column) -> Column:
+        south = grid.south + F.col("ty") * width - grid.step  # a step more than the tile
+        north = south + width + 2 * grid.step
+        west = grid.west + F.col("tx") * width - grid.step
+        return (
+            (F.greatest(edge["y1"], edge["y2"]) >= south)
+            & (F.least(edge["y1"], edge["y2"]) <= north)
+            & (F.greatest(edge["x1"], edge["x2"]) >= west)
+        )
+
     across, down = grid.tiles_across, grid.tiles // grid.tiles_across
     by_tile = (
         boxed.withColumn("tx", F.explode(tile_span("w", "e", grid.west, across)))
         .withColumn("ty", F.explode(tile_span("s", "n", grid.south, down)))
         .withColumn("basin_tile", F.col("ty") * across + F.col("tx"))
+        .withColumn("edges", F.filter("edges", crossable))
+        .filter(F.size("edges") > 0)
     )
     x, y = F.col("x"), F.col("y")
     hit = (
@@ -117,13 +130,12 @@ def _partial_weights(power: float, metric: str):
                 px, py = (points.field(c).to_numpy() for c in ("x", "y"))
                 place = np.stack([block.field(c).to_numpy() for c in ("lon", "lat")])
                 day = block.field("day").to_numpy()
-                mm = block.field("mm").to_numpy()
                 place, station = np.unique(place, axis=1, return_inverse=True)
                 days, column = np.unique(day, return_inverse=True)
                 total = np.zeros((place.shape[1], len(days)))
                 count = np.zeros_like(total)
-                np.add.at(total, (station.ravel(), column), mm)
-                np.add.at(count, (station.ravel(), column), 1.0)
+                total[station.ravel(), column] = block.field("mm").to_numpy()
+                count[station.ravel(), column] = block.field("n").to_numpy()
                 d = np_distance(px[:, None], py[:, None], place[0], place[1], metric)
                 hit = (d == 0).astype(float)
                 weight = np.where(d == 0, 0.0, 1.0 / np.where(d == 0, 1.0, d) ** power)
@@ -163,11 +175,14 @@ def idw(
     if n_stations is None:
         n_stations = known.select("location").distinct().count()
     blocks = max(1, -(-n_stations // stations_per_block))
-    day = F.unix_date("valid_date")
-    stations = known.groupBy(
-        F.floor(day / DAYS_PER_BLOCK).alias("day_block"),
-        F.pmod(F.xxhash64("location"), F.lit(blocks)).alias("station_block"),
-    ).agg(F.collect_list(F.struct("lon", "lat", day.alias("day"), "mm")).alias("stations"))
+    # one row per place and day, which bounds a block's array
+    place_days = known.groupBy("lon", "lat", F.unix_date("valid_date").alias("day")).agg(
+        F.sum("mm").alias("mm"), F.count("mm").cast("double").alias("n")
+    )
+    stations = place_days.groupBy(
+        F.floor(F.col("day") / DAYS_PER_BLOCK).alias("day_block"),
+        F.pmod(F.xxhash64("lon", "lat"), F.lit(blocks)).alias("station_block"),
+    ).agg(F.collect_list(F.struct("lon", "lat", "day", "mm", "n")).alias("stations"))
     last_tile = F.lit(grid.tiles - 1).cast("bigint")
     work = stations.withColumn(
         "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), last_tile))

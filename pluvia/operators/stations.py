@@ -16,7 +16,9 @@ TREE_LEVELS = 6
 def nearest_cell(
     stations: DataFrame, cells: DataFrame, max_array_cells: int = CELLS_AS_ARRAY
 ) -> DataFrame:
-    """``cell_id`` of the nearest cell by planar degrees; the lowest id wins a tie.
+    """``cell_id`` of the nearest cell and its ``distance`` in planar degrees.
+
+    The lowest id wins a tie.
 
     A counted, small set of cells is searched as one array per station. A larger set is
     searched through a tree of tiles. Both are exact and neither pairs all rows.
@@ -38,8 +40,8 @@ def _nearest_in_array(stations: DataFrame, cells: DataFrame) -> DataFrame:
     best = F.array_min(F.transform("all_cells", candidate))
     return (
         stations.withColumn("all_cells", all_cells)
-        .withColumn("cell_id", best["cell_id"])
-        .drop("all_cells")
+        .withColumn("best", best)
+        .select(stations["*"], "best.cell_id", F.sqrt("best.d2").alias("distance"))
     )
 
 
@@ -129,7 +131,8 @@ def _nearest_in_tree(stations: DataFrame, cells: DataFrame) -> DataFrame:
     found = candidates.join(leaves, ["ptx", "pty"]).groupBy("location").agg(
         F.min(F.struct(d2.alias("d2"), "cell_id")).alias("best")
     )
-    return stations.join(found.select("location", F.col("best.cell_id")), "location")
+    found = found.select("location", "best.cell_id", F.sqrt("best.d2").alias("distance"))
+    return stations.join(found, "location")
 
 
 def station_series(stations: DataFrame, consensus: DataFrame) -> DataFrame:

@@ -17,6 +17,8 @@ FORECAST_6H = _schema(
     product=_S, variable=_S, issue_ts=_TS, units=_S, lat_idx=_I, lon_idx=_I,
     lat=_D, lon=_D, step=_I, prate=_D,
 )
+# as stored by writers.forecast: the base time of ``units`` is parsed once, on the way in
+FORECAST_STORED = T.StructType([*FORECAST_6H.fields, T.StructField("base_ts", _TS)])
 FORECAST_DAILY = _schema(product=_S, issue_ts=_TS, cell_id=_I, valid_date=_DATE, mm=_D)
 CLIMATOLOGY = _schema(cell_id=_I, month=_I, mm=_D)
 CONSENSUS = _schema(

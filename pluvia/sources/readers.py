@@ -43,11 +43,11 @@ def forecast(
     first_issue: dt.datetime | None = None,
     last_issue: dt.datetime | None = None,
 ) -> DataFrame:
-    """6-hourly gridded forecasts in folders by product and issue month.
+    """6-hourly gridded forecasts written by ``writers.forecast``.
 
     With a product or a range of issues only their folders are read.
     """
-    df = spark.read.schema(schemas.FORECAST_6H).parquet(path)
+    df = spark.read.schema(schemas.FORECAST_STORED).parquet(path)
     if product is not None:
         df = df.filter(F.col("product") == product)
     if first_issue is not None:
@@ -110,6 +110,11 @@ def index_pages(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def grid_days(spark: SparkSession, path: str) -> DataFrame:
+    """The days there is a grid for, from the folder names alone."""
+    return spark.read.parquet(path).select("valid_date").distinct().orderBy("valid_date")
+
+
 def stage(spark: SparkSession, path: str) -> DataFrame:
     """A stage output written by ``writers.stage``."""
     return spark.read.parquet(path)

@@ -30,8 +30,13 @@ def daily(df: DataFrame, path: str) -> None:
 
 
 def forecast(df: DataFrame, path: str) -> None:
-    """6-hourly forecasts in folders by product and issue month, ordered for cell slices."""
-    by_month = df.withColumn("issue_month", dates.month_label(F.col("issue_ts")))
+    """6-hourly forecasts in folders by product and issue month, ordered for cell slices.
+
+    The base time is parsed from ``units`` here, so that no later pass over the steps does.
+    """
+    by_month = df.withColumn("issue_month", dates.month_label(F.col("issue_ts"))).withColumn(
+        "base_ts", dates.parse_units(F.col("units"))
+    )
     (
         by_month.hint("rebalance", "product", "issue_month")
         .sortWithinPartitions("product", "issue_month", "lat_idx", "lon_idx", "issue_ts", "step")

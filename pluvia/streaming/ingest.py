@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from pluvia.config import Product
 from pluvia.functions import dates, units
 from pluvia.operators import consensus as vote
-from pluvia.operators.daily import daily_totals
+from pluvia.operators.daily import base_time, daily_totals
 from pluvia.sources import writers
 
 
@@ -92,8 +92,7 @@ def daily_within(steps: DataFrame, product: Product, delay: str = "2 days") -> D
     every later issue, as each issue reaches months ahead. Issues later than ``delay`` are
     dropped; use ``start_daily`` where they must count.
     """
-    base = dates.parse_units(F.col("units")) if "units" in steps.columns else F.col("issue_ts")
-    valid = dates.valid_date(base, F.col("step"), product.shift_hours)
+    valid = dates.valid_date(base_time(steps), F.col("step"), product.shift_hours)
     # event time must be a zoned timestamp; the issue keeps its zone-free one beside it
     rows = steps.select(
         F.col("issue_ts").cast("timestamp").alias("issue_time"), "issue_ts", "cell_id",

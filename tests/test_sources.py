@@ -90,6 +90,10 @@ def test_grids_replace_only_their_days(spark, tmp_path):
     writers.daily_grids(grid(D(2024, 1, 2), 9.0), path)
     got = {r.valid_date: r.mm for r in readers.stage(spark, path).collect()}
     assert got == {D(2024, 1, 1): 1.0, D(2024, 1, 2): 9.0}
+    days = readers.grid_days(spark, path)
+    assert [r[0] for r in days.collect()] == [D(2024, 1, 1), D(2024, 1, 2)]
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<>" in plan
     assert sorted(d for d in os.listdir(path) if d.startswith("valid")) == [
         "valid_date=2024-01-01", "valid_date=2024-01-02"
     ]
