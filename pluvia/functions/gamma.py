@@ -169,7 +169,8 @@ def _invert(a: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
         with np.errstate(all="ignore"):
             gap = sign * (np.log(tail) - log_tail[todo])
             slope = np.exp(ai * ti - x - _np_log_gamma(ai)) / tail
-            move = gap / slope
+            bend = slope * (ai - x - sign * slope)
+            move = 2.0 * gap * slope / (2.0 * slope * slope - gap * bend)
         high[todo] = np.where(gap > 0, np.minimum(high[todo], ti), high[todo])
         low[todo] = np.where(gap < 0, np.maximum(low[todo], ti), low[todo])
         target = ti - move
@@ -180,8 +181,8 @@ def _invert(a: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
         bad = ~np.isfinite(target) | (target < lo) | (target > hi)
         target = np.where(bad, middle, target)
         t[todo] = target
-        moving = np.abs(target - ti) > 2e-15 * np.maximum(1.0, np.abs(ti))
-        todo = todo[moving & (gap != 0)]
+        # a step cubes the error, so after one below 1e-6 nothing is left to gain
+        todo = todo[(bad | (np.abs(target - ti) > 1e-6)) & (gap != 0)]
     return np.exp(t)
 
 

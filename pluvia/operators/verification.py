@@ -82,15 +82,13 @@ def ecdf(sample: DataFrame, *keys: str, bin_width: float = 0.1) -> DataFrame:
     Equal values are counted before the shuffle. Counts run within (key, value bin) and are
     shifted by the sum of the bins below, so even one key with most rows spreads over tasks.
     """
-    counts = (
-        sample.filter(F.col("mm").isNotNull())
-        .groupBy(*keys, "mm")
-        .agg(F.count("*").alias("n"))
-        .withColumn("bin", F.floor(F.col("mm") / bin_width))
+    known = sample.filter(F.col("mm").isNotNull()).withColumn(
+        "bin", F.floor(F.col("mm") / bin_width)
     )
+    counts = known.groupBy(*keys, "bin", "mm").agg(F.count("*").alias("n"))
     up_to = Window.unboundedPreceding, Window.currentRow
     by_bin = Window.partitionBy(*keys).orderBy("bin")
-    bins = counts.groupBy(*keys, "bin").agg(F.sum("n").alias("in_bin"))
+    bins = known.groupBy(*keys, "bin").agg(F.count("*").alias("in_bin"))
     bins = bins.select(
         *keys, "bin",
         (F.sum("in_bin").over(by_bin.rowsBetween(*up_to)) - F.col("in_bin")).alias("below"),
