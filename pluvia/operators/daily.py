@@ -46,6 +46,11 @@ def base_time(steps: DataFrame) -> Column:
     return dates.parse_units(F.col("units")) if "units" in steps.columns else F.col("issue_ts")
 
 
+def whole_sum(column: str) -> Column:
+    """Sum of a group; NULL if any of its values is."""
+    return F.when(F.count(column) == F.count("*"), F.sum(column))
+
+
 def daily_totals(
     steps: DataFrame, product: Product, placement: str = "valid_time"
 ) -> DataFrame:
@@ -63,13 +68,9 @@ def daily_totals(
         raise ValueError(f"unknown placement: {placement}")
     mm = units.rate_to_mm(F.col("prate"))
     rows = steps.select("issue_ts", "cell_id", valid.alias("valid_date"), mm.alias("mm"))
-    totals = rows.groupBy("issue_ts", "cell_id", "valid_date").agg(
-        F.sum("mm").alias("mm"), F.count_if(F.col("mm").isNull()).alias("gaps")
-    )
-    whole = F.when(F.col("gaps") == 0, F.col("mm"))
+    totals = rows.groupBy("issue_ts", "cell_id", "valid_date").agg(whole_sum("mm").alias("mm"))
     return totals.select(
-        F.lit(product.name).alias("product"), "issue_ts", "cell_id", "valid_date",
-        whole.alias("mm"),
+        F.lit(product.name).alias("product"), "issue_ts", "cell_id", "valid_date", "mm"
     )
 
 

@@ -8,6 +8,8 @@ partitions named after the batch or the day, so a batch that runs again leaves t
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +18,7 @@ from pyspark.sql.types import StructType
 from pluvia.config import Product
 from pluvia.functions import dates, units
 from pluvia.operators import consensus as vote
-from pluvia.operators.daily import base_time, daily_totals
+from pluvia.operators.daily import base_time, daily_totals, whole_sum
 from pluvia.sources import writers
 
 
@@ -62,8 +64,9 @@ def start_daily(
         parts = _partials(batch, product)
         writers.stage(parts, part, "valid_date")
         if consensus_path is not None:
-            touched = spark.read.parquet(part).select("valid_date").distinct()
-            update_consensus(spark, product, daily_path, consensus_path, touched)
+            touched = spark.read.parquet(part).select("valid_date").distinct().collect()
+            days = [row.valid_date for row in touched]  # some hundred: the reach of an issue
+            update_consensus(spark, product, daily_path, consensus_path, days)
 
     return (
         steps.writeStream.foreachBatch(write)
@@ -74,13 +77,14 @@ def start_daily(
 
 
 def update_consensus(
-    spark: SparkSession, product: Product, daily_path: str, consensus_path: str, days: DataFrame
+    spark: SparkSession, product: Product, daily_path: str, consensus_path: str,
+    days: list[dt.date],
 ) -> None:
     """Recompute the consensus of the given days from all their issues.
 
     Both tables are in folders by day: only the days' folders are read and replaced.
     """
-    parts = spark.read.parquet(daily_path).join(days, "valid_date", "left_semi")
+    parts = spark.read.parquet(daily_path).filter(F.col("valid_date").isin(days))
     last = vote.last_issues(_added_up(parts), product.last_n)
     writers.stage(vote.vote(last, product), consensus_path, "valid_date")
 
@@ -101,6 +105,6 @@ def daily_within(steps: DataFrame, product: Product, delay: str = "2 days") -> D
     totals = rows.withWatermark("issue_time", delay).groupBy(
         "issue_time", "issue_ts", "cell_id", "valid_date"
     )
-    return totals.agg(F.sum("mm").alias("mm")).select(
+    return totals.agg(whole_sum("mm").alias("mm")).select(
         F.lit(product.name).alias("product"), "issue_ts", "cell_id", "valid_date", "mm"
     )
