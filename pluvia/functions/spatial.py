@@ -63,13 +63,3 @@ def ring_edges(ring: Column) -> Column:
             a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")
         ),
     )
-
-
-def inside(edges: Column, x: Column, y: Column) -> Column:
-    """Whether a point is in a polygon: an eastward ray crosses its edges an odd number of times."""
-    crossed = F.filter(
-        edges,
-        lambda e: ((e["y1"] > y) != (e["y2"] > y))
-        & (x < (e["x2"] - e["x1"]) * (y - e["y1"]) / (e["y2"] - e["y1"]) + e["x1"]),
-    )
-    return F.size(crossed) % 2 == 1

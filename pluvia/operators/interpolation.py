@@ -10,11 +10,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvia.config import IDW_POINTS, IDW_POWER
-from pluvia.functions.spatial import inside, np_distance, ring_edges
+from pluvia.functions.spatial import np_distance, ring_edges
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -70,53 +70,60 @@ def regular_grid(spark: SparkSession, grid: Grid) -> DataFrame:
     )
 
 
-def basin_mask(points: DataFrame, basins: DataFrame, grid: Grid) -> DataFrame:
-    """The points inside at least one basin.
+def _row_at(y: Column, grid: Grid) -> Column:
+    return F.floor((y - grid.south) / grid.step - 0.5)
+
+
+def inside_points(basins: DataFrame, grid: Grid) -> DataFrame:
+    """Column and row of every grid point inside at least one basin.
 
-    Each basin goes to the tiles its box touches, with only the edges an eastward ray from
-    there can cross, so a point meets neither far basins nor the whole of a long outline.
+    Each outline edge goes to the grid rows it spans and gives the place it crosses there.
+    Between an odd crossing of a row and the next one the row is inside. The work follows
+    the outlines and the points inside, not the points times the edges.
     """
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = basins.select(
-        ring_edges(F.col("ring")).alias("edges"),
-        F.array_min(xs).alias("w"), F.array_max(xs).alias("e"),
-        F.array_min(ys).alias("s"), F.array_max(ys).alias("n"),
+    edge = basins.select(
+        F.monotonically_increasing_id().alias("basin"), ring_edges(F.col("ring")).alias("edges")
+    ).select("basin", F.explode("edges").alias("edge")).select("basin", "edge.*")
+    last_row, last_column = F.lit(grid.ny - 1), F.lit(grid.nx - 1)
+    first = F.greatest(_row_at(F.least("y1", "y2"), grid), F.lit(0))
+    last = F.least(_row_at(F.greatest("y1", "y2"), grid) + 1, last_row)
+    y = F.lit(grid.south) + (F.col("iy") + 0.5) * grid.step
+    crossing = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / (
+        F.col("y2") - F.col("y1")
+    ) + F.col("x1")
+    crossings = (
+        edge.withColumns({"first": first, "last": last})
+        .filter("first <= last")
+        .withColumn("iy", F.explode(F.sequence("first", "last")))
+        .filter((F.col("y1") > y) != (F.col("y2") > y))
+        .select("basin", "iy", crossing.alias("from"))
     )
-    width = grid.step * TILE_SIDE
-
-    def tile_span(low: str, high: str, origin: float, count: int) -> Column:
-        def index(edge: str) -> Column:
-            at = F.floor((F.col(edge) - origin) / width)
-            return F.greatest(F.least(at, F.lit(count - 1)), F.lit(0))
-
-        return F.sequence(index(low), index(high))
-
-    def crossable(edge: Column) -> Column:
-        south = grid.south + F.col("ty") * width - grid.step  # a step more than the tile
-        north = south + width + 2 * grid.step
-        west = grid.west + F.col("tx") * width - grid.step
-        return (
-            (F.greatest(edge["y1"], edge["y2"]) >= south)
-            & (F.least(edge["y1"], edge["y2"]) <= north)
-            & (F.greatest(edge["x1"], edge["x2"]) >= west)
-        )
-
-    across, down = grid.tiles_across, grid.tiles // grid.tiles_across
-    by_tile = (
-        boxed.withColumn("tx", F.explode(tile_span("w", "e", grid.west, across)))
-        .withColumn("ty", F.explode(tile_span("s", "n", grid.south, down)))
-        .withColumn("basin_tile", F.col("ty") * across + F.col("tx"))
-        .withColumn("edges", F.filter("edges", crossable))
-        .filter(F.size("edges") > 0)
+    along = Window.partitionBy("basin", "iy").orderBy("from")
+    spans = (
+        crossings.withColumn("to", F.lead("from").over(along))
+        .withColumn("rank", F.row_number().over(along))
+        .filter(F.col("rank") % 2 == 1)
     )
-    x, y = F.col("x"), F.col("y")
-    hit = (
-        (F.col("tile") == F.col("basin_tile"))
-        & x.between(F.col("w"), F.col("e"))
-        & y.between(F.col("s"), F.col("n"))
-        & inside(F.col("edges"), x, y)
+
+    def column_at(x: Column) -> Column:
+        return F.floor((x - grid.west) / grid.step - 0.5)
+
+    x = F.lit(grid.west) + (F.col("ix") + 0.5) * grid.step
+    start = F.greatest(column_at(F.col("from")), F.lit(0))
+    stop = F.least(column_at(F.col("to")) + 1, last_column)
+    return (
+        spans.withColumns({"start": start, "stop": stop})
+        .filter("start <= stop")
+        .withColumn("ix", F.explode(F.sequence("start", "stop")))
+        .filter((x >= F.col("from")) & (x < F.col("to")))
+        .select("ix", "iy")
+        .distinct()
     )
-    return points.join(by_tile, hit, "left_semi")
+
+
+def basin_mask(points: DataFrame, basins: DataFrame, grid: Grid) -> DataFrame:
+    """The grid points inside at least one basin."""
+    return points.join(inside_points(basins, grid), ["ix", "iy"], "left_semi")
 
 
 def _partial_weights(power: float, metric: str):

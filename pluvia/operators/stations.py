@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.spatial import squared_degrees
-from pluvia.session import fits
+from pluvia.session import fits, shared_dir
 
-CELLS_AS_ARRAY = 4096  # up to this many cells travel as one array value
-TREE_SPLIT = 4  # a tile splits into this many along each axis
-TREE_LEVELS = 6
+CELLS_AS_ARRAY = 4096  # up to this many cells travel as one array
+LEAF_BITS = 6  # a leaf of the tree has 2^6 cells
+CHILD_BITS = 4  # and a node 2^4 children
 
 
 def nearest_cell(
@@ -20,117 +22,168 @@ def nearest_cell(
 
     The lowest id wins a tie.
 
-    A counted, small set of cells is searched as one array per station. A larger set is
-    searched through a tree of tiles. Both are exact and neither pairs all rows.
+    A counted, small set of cells is searched as one array by batches of stations. A larger
+    set is searched through a tree of boxes. Both are exact and neither pairs rows. A station
+    without coordinates has no cell and is left out.
     """
     if fits(cells, max_array_cells):
         return _nearest_in_array(stations, cells)
     return _nearest_in_tree(stations, cells)
 
 
-def _nearest_in_array(stations: DataFrame, cells: DataFrame) -> DataFrame:
-    all_cells = cells.agg(F.collect_list(F.struct("cell_id", "lon", "lat"))).scalar()
+def _best(cells: Column) -> Column:
+    """(squared distance, cell_id) of the nearest cell of an array, for the row's place."""
 
     def candidate(c: Column) -> Column:
-        return F.struct(
-            squared_degrees(F.col("lon"), F.col("lat"), c["lon"], c["lat"]).alias("d2"),
-            c["cell_id"].alias("cell_id"),
-        )
+        d2 = squared_degrees(F.col("lon"), F.col("lat"), c["lon"], c["lat"])
+        return F.struct(d2.alias("d2"), c["cell_id"].alias("cell_id"))
+
+    return F.array_min(F.transform(cells, candidate))
 
-    best = F.array_min(F.transform("all_cells", candidate))
-    return (
-        stations.withColumn("all_cells", all_cells)
-        .withColumn("best", best)
-        .select(stations["*"], "best.cell_id", F.sqrt("best.d2").alias("distance"))
+
+def _nearest_in_array(stations: DataFrame, cells: DataFrame) -> DataFrame:
+    """Batches of stations against all of the few cells, which travel with the function."""
+    rows = sorted(cells.select("cell_id", "lon", "lat").collect())
+    ids, lon, lat = (np.array(c) for c in zip(*rows)) if rows else (np.empty(0),) * 3
+
+    @F.pandas_udf(f"cell_id {cells.schema['cell_id'].dataType.simpleString()}, distance double")
+    def search(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        found = np.empty(len(x), dtype=np.int64)
+        distance = np.empty(len(x))
+        for i in range(0, len(x), 512):
+            dx = x.to_numpy()[i : i + 512, None] - lon
+            dy = y.to_numpy()[i : i + 512, None] - lat
+            d2 = dx * dx + dy * dy
+            best = d2.argmin(axis=1)  # the first of equals has the lowest id
+            found[i : i + 512] = ids[best]
+            distance[i : i + 512] = np.sqrt(d2[np.arange(len(best)), best])
+        return pd.DataFrame({"cell_id": found, "distance": distance})
+
+    if not rows:
+        return stations.limit(0).select("*", F.lit(None).cast("int").alias("cell_id"),
+                                        F.lit(None).cast("double").alias("distance"))
+    placed = stations.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
+    return placed.withColumn("best", search("lon", "lat")).select(
+        stations["*"], "best.cell_id", "best.distance"
     )
 
 
-def _axis_tile(value: Column, low: float, high: float, count: int) -> Column:
+def _interleaved(x: Column, y: Column) -> Column:
+    """One number from the bits of two 31-bit numbers in turn, so that near places sort near."""
+
+    def spread(v: Column) -> Column:
+        for shift, mask in (
+            (16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F),
+            (2, 0x3333333333333333), (1, 0x5555555555555555),
+        ):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return F.shiftleft(spread(x), 1).bitwiseOR(spread(y))
+
+
+def _axis_step(value: str, low: float, high: float) -> Column:
+    """Position between two ends as a 31-bit number."""
     if high == low:
         return F.lit(0).cast("bigint")
-    share = F.floor((value - low) / (high - low) * count)
-    return F.least(share, F.lit(count - 1).cast("bigint"))
+    return F.floor((F.col(value) - low) / (high - low) * float(2**31 - 1))
 
 
-def _tile_levels(places: DataFrame) -> list[DataFrame]:
-    """Tiles with cells and their tight boxes, coarsest level first.
+def _packed(cells: DataFrame) -> tuple[DataFrame, int]:
+    """Cells with a ``node`` number along a space-filling order, and the largest number.
 
-    A level is grouped from the next finer one, so the cells are grouped only once.
+    Numbers follow the sorted rows and not the map, so 64 numbers in a row are 64 cells
+    however dense a spot is. Cells at one place count once. The table is written, as a second
+    evaluation could number the rows differently.
     """
-    low_x, high_x, low_y, high_y = places.agg(
+    spark = cells.sparkSession
+    low_x, high_x, low_y, high_y = cells.agg(
         F.min("lon"), F.max("lon"), F.min("lat"), F.max("lat")
     ).first()
-    side = TREE_SPLIT**TREE_LEVELS
-    tiles = places.select(
-        "cell_id", "lon", "lat",
-        _axis_tile(F.col("lon"), low_x, high_x, side).alias("tx"),
-        _axis_tile(F.col("lat"), low_y, high_y, side).alias("ty"),
+    code = _interleaved(_axis_step("lon", low_x, high_x), _axis_step("lat", low_y, high_y))
+    places = cells.groupBy("lon", "lat").agg(F.min("cell_id").alias("cell_id"))
+    numbered = (
+        places.withColumn("code", code)
+        .repartitionByRange("code")
+        .sortWithinPartitions("code")
+        .withColumn("id", F.monotonically_increasing_id())
+        .drop("code")
     )
-    levels = [tiles]
-    box = {"w": F.min("lon"), "e": F.max("lon"), "s": F.min("lat"), "n": F.max("lat")}
-    for _ in range(TREE_LEVELS):
-        grouped = tiles.groupBy("tx", "ty").agg(*[c.alias(name) for name, c in box.items()])
-        levels.insert(0, grouped)
-        tiles = grouped.withColumn("tx", F.floor(F.col("tx") / TREE_SPLIT)).withColumn(
-            "ty", F.floor(F.col("ty") / TREE_SPLIT)
-        )
-        box = {"w": F.min("w"), "e": F.max("e"), "s": F.min("s"), "n": F.max("n")}
-    return levels
-
-
-def _least_distance() -> Column:
+    path = shared_dir(spark, "cells")
+    numbered.write.parquet(path)
+    numbered = spark.read.parquet(path)
+    # an id is (partition, row in partition) with 33 bits for the row: close the gap between
+    row, part = F.col("id").bitwiseAND(F.lit(2**33 - 1)), F.shiftright("id", 33)
+    last_row, last_part = numbered.agg(F.max(row), F.max(part)).first()
+    bits = last_row.bit_length()
+    node = F.shiftleft(part, bits) + row
+    return numbered.withColumn("node", node).drop("id"), (last_part << bits) + last_row
+
+
+def _least_distance(place: DataFrame, box: Column) -> Column:
     """Squared distance from a place to a box, 0 inside."""
-    x = F.greatest(F.col("w") - F.col("lon"), F.col("lon") - F.col("e"), F.lit(0.0))
-    y = F.greatest(F.col("s") - F.col("lat"), F.col("lat") - F.col("n"), F.lit(0.0))
+    lon, lat = place["lon"], place["lat"]
+    x = F.greatest(box["w"] - lon, lon - box["e"], F.lit(0.0))
+    y = F.greatest(box["s"] - lat, lat - box["n"], F.lit(0.0))
     return x * x + y * y
 
 
-def _sure_distance() -> Column:
+def _sure_distance(place: DataFrame, box: Column) -> Column:
     """Squared distance within which a tight box surely has a cell: each side touches one."""
 
-    def sides(value: str, low: str, high: str) -> tuple[Column, Column]:
-        ends = F.abs(F.col(value) - F.col(low)), F.abs(F.col(value) - F.col(high))
-        return F.least(*ends), F.greatest(*ends)
+    def sides(value: Column, low: Column, high: Column) -> tuple[Column, Column]:
+        return F.least(F.abs(value - low), F.abs(value - high)), F.greatest(
+            F.abs(value - low), F.abs(value - high)
+        )
 
-    (near_x, far_x), (near_y, far_y) = sides("lon", "w", "e"), sides("lat", "s", "n")
+    near_x, far_x = sides(place["lon"], box["w"], box["e"])
+    near_y, far_y = sides(place["lat"], box["s"], box["n"])
     return F.least(near_x * near_x + far_y * far_y, far_x * far_x + near_y * near_y)
 
 
 def _nearest_in_tree(stations: DataFrame, cells: DataFrame) -> DataFrame:
-    """Descend a tree of tiles, keeping per station the tiles that can hold its nearest cell.
+    """Descend a packed tree of boxes, keeping per station those that can hold its nearest cell.
 
-    A tile farther than the distance that is sure at some other tile is dropped. Cells at
-    one place count once.
+    A leaf has at most 64 cells and a node at most 16 children, each held as one array, so a
+    station meets a node in one row. A box farther than the distance that is sure at some
+    other box is dropped.
     """
-    places = cells.groupBy("lon", "lat").agg(F.min("cell_id").alias("cell_id"))
-    *levels, leaves = _tile_levels(places)
-    slack = 1.0 + 1e-12  # rounding must not drop a tile that ties
-    parent = [F.floor(F.col(c) / TREE_SPLIT).alias(f"p{c}") for c in ("tx", "ty")]
-
-    # the top level has at most 16 tiles and travels as one array
-    top = levels[0].agg(F.collect_list(F.struct("tx", "ty", "w", "e", "s", "n"))).scalar()
-    candidates = stations.select("location", "lon", "lat", F.explode(top).alias("tile"))
-    candidates = candidates.select("location", "lon", "lat", "tile.*")
-    for i, level in enumerate(levels):
-        if i:
-            boxes = level.select(*parent, "*")
-            if i < 3:  # at most 4096 tiles
-                boxes = F.broadcast(boxes)
-            candidates = candidates.join(boxes, ["ptx", "pty"])
-        sure = F.min(_sure_distance()).over(Window.partitionBy("location"))
-        candidates = (
-            candidates.withColumn("sure", sure)
-            .filter(_least_distance() <= F.col("sure") * slack)
-            .select("location", "lon", "lat", F.col("tx").alias("ptx"), F.col("ty").alias("pty"))
-        )
-    leaves = leaves.select(
-        F.col("tx").alias("ptx"), F.col("ty").alias("pty"), "cell_id",
-        F.col("lon").alias("cx"), F.col("lat").alias("cy"),
+    packed, last = _packed(cells)
+    boxes = packed.select(
+        "node", F.col("lon").alias("w"), F.col("lon").alias("e"),
+        F.col("lat").alias("s"), F.col("lat").alias("n"),
     )
-    d2 = squared_degrees(F.col("lon"), F.col("lat"), F.col("cx"), F.col("cy"))
-    found = candidates.join(leaves, ["ptx", "pty"]).groupBy("location").agg(
-        F.min(F.struct(d2.alias("d2"), "cell_id")).alias("best")
+    bounds = [F.min("w").alias("w"), F.max("e").alias("e"), F.min("s").alias("s"),
+              F.max("n").alias("n")]
+    families, shift = [], LEAF_BITS
+    boxes = boxes.groupBy(F.shiftright("node", LEAF_BITS).alias("node")).agg(*bounds)
+    while last >> shift >= 1 << CHILD_BITS:
+        parent = F.shiftright("node", CHILD_BITS).alias("parent")
+        family = F.collect_list(F.struct("node", "w", "e", "s", "n")).alias("boxes")
+        families.insert(0, boxes.groupBy(parent).agg(family))
+        boxes = boxes.groupBy(F.shiftright("node", CHILD_BITS).alias("node")).agg(*bounds)
+        shift += CHILD_BITS
+    top = boxes.agg(F.collect_list(F.struct("node", "w", "e", "s", "n"))).scalar()
+
+    slack = 1.0 + 1e-12  # rounding must not drop a box that ties
+    met = stations.select("location", "lon", "lat").withColumn("boxes", top)
+    for family in [None, *families]:
+        if family is not None:
+            met = met.join(family, "parent")
+        here = met
+        sure = F.array_min(F.transform("boxes", lambda box: _sure_distance(here, box)))
+        met = met.withColumn("sure", sure)
+        met = met.withColumn("sure", F.min("sure").over(Window.partitionBy("location")))
+        kept = F.filter(
+            "boxes", lambda box: _least_distance(here, box) <= F.col("sure") * slack
+        )
+        nodes = F.transform(kept, lambda box: box["node"])
+        met = met.select("location", "lon", "lat", F.explode(nodes).alias("parent"))
+    leaves = packed.groupBy(F.shiftright("node", LEAF_BITS).alias("parent")).agg(
+        F.collect_list(F.struct("cell_id", "lon", "lat")).alias("cells")
     )
+    found = met.join(leaves, "parent").select("location", _best(F.col("cells")).alias("best"))
+    found = found.groupBy("location").agg(F.min("best").alias("best"))
     found = found.select("location", "best.cell_id", F.sqrt("best.d2").alias("distance"))
     return stations.join(found, "location")
 

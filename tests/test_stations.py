@@ -42,8 +42,8 @@ def test_single_cell_and_single_line(spark, limit):
 def test_tree_is_exact_on_clusters_and_outliers(spark, seed):
     rng = np.random.default_rng(seed)
     # a third of the cells in one tiny spot, copies, a coarse lattice and far outliers
-    spot = rng.normal([-33.5, -71.1], 1e-4, (300, 2))
-    spread = rng.uniform([-36, -75], [-31, -68], (300, 2))
+    spot = rng.normal([-33.5, -71.1], 1e-4, (1200, 2))
+    spread = rng.uniform([-36, -75], [-31, -68], (2200, 2))
     lattice = [(la, lo) for la in range(-36, -30) for lo in range(-75, -67)]
     points = [tuple(map(float, p)) for p in [*spot, *spread, *lattice, (10.0, 40.0)]]
     points += points[:50]

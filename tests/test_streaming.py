@@ -30,11 +30,9 @@ def batch_tables(spark, issues):
 
 
 def rounded(df):
-    columns = sorted(df.columns)
-    return sorted((
-        tuple(round(v, 9) if isinstance(v, float) else v for v in r)
-        for r in df.select(*columns).collect()
-    ), key=str)
+    rows = df.select(*sorted(df.columns)).collect()
+    plain = [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows]
+    return sorted(plain, key=str)
 
 
 def land(spark, rows, path):
