@@ -31,16 +31,6 @@ def nearest_cell(
     return _nearest_in_tree(stations, cells)
 
 
-def _best(cells: Column) -> Column:
-    """(squared distance, cell_id) of the nearest cell of an array, for the row's place."""
-
-    def candidate(c: Column) -> Column:
-        d2 = squared_degrees(F.col("lon"), F.col("lat"), c["lon"], c["lat"])
-        return F.struct(d2.alias("d2"), c["cell_id"].alias("cell_id"))
-
-    return F.array_min(F.transform(cells, candidate))
-
-
 def _nearest_in_array(stations: DataFrame, cells: DataFrame) -> DataFrame:
     """Batches of stations against all of the few cells, which travel with the function."""
     rows = sorted(cells.select("cell_id", "lon", "lat").collect())
@@ -120,32 +110,29 @@ def _packed(cells: DataFrame) -> tuple[DataFrame, int]:
     return numbered.withColumn("node", node).drop("id"), (last_part << bits) + last_row
 
 
-def _least_distance(place: DataFrame, box: Column) -> Column:
+def _least_distance() -> Column:
     """Squared distance from a place to a box, 0 inside."""
-    lon, lat = place["lon"], place["lat"]
-    x = F.greatest(box["w"] - lon, lon - box["e"], F.lit(0.0))
-    y = F.greatest(box["s"] - lat, lat - box["n"], F.lit(0.0))
+    x = F.greatest(F.col("w") - F.col("lon"), F.col("lon") - F.col("e"), F.lit(0.0))
+    y = F.greatest(F.col("s") - F.col("lat"), F.col("lat") - F.col("n"), F.lit(0.0))
     return x * x + y * y
 
 
-def _sure_distance(place: DataFrame, box: Column) -> Column:
+def _sure_distance() -> Column:
     """Squared distance within which a tight box surely has a cell: each side touches one."""
 
-    def sides(value: Column, low: Column, high: Column) -> tuple[Column, Column]:
-        return F.least(F.abs(value - low), F.abs(value - high)), F.greatest(
-            F.abs(value - low), F.abs(value - high)
-        )
+    def sides(value: str, low: str, high: str) -> tuple[Column, Column]:
+        ends = F.abs(F.col(value) - F.col(low)), F.abs(F.col(value) - F.col(high))
+        return F.least(*ends), F.greatest(*ends)
 
-    near_x, far_x = sides(place["lon"], box["w"], box["e"])
-    near_y, far_y = sides(place["lat"], box["s"], box["n"])
+    (near_x, far_x), (near_y, far_y) = sides("lon", "w", "e"), sides("lat", "s", "n")
     return F.least(near_x * near_x + far_y * far_y, far_x * far_x + near_y * near_y)
 
 
 def _nearest_in_tree(stations: DataFrame, cells: DataFrame) -> DataFrame:
     """Descend a packed tree of boxes, keeping per station those that can hold its nearest cell.
 
-    A leaf has at most 64 cells and a node at most 16 children, each held as one array, so a
-    station meets a node in one row. A box farther than the distance that is sure at some
+    A leaf has at most 64 cells and a node at most 16 children, each stored as one array, so
+    a station meets a node in one row. A box farther than the distance that is sure at some
     other box is dropped.
     """
     packed, last = _packed(cells)
@@ -155,36 +142,45 @@ def _nearest_in_tree(stations: DataFrame, cells: DataFrame) -> DataFrame:
     )
     bounds = [F.min("w").alias("w"), F.max("e").alias("e"), F.min("s").alias("s"),
               F.max("n").alias("n")]
+    children = F.collect_list(F.struct("node", "w", "e", "s", "n")).alias("boxes")
     families, shift = [], LEAF_BITS
     boxes = boxes.groupBy(F.shiftright("node", LEAF_BITS).alias("node")).agg(*bounds)
     while last >> shift >= 1 << CHILD_BITS:
-        parent = F.shiftright("node", CHILD_BITS).alias("parent")
-        family = F.collect_list(F.struct("node", "w", "e", "s", "n")).alias("boxes")
-        families.insert(0, boxes.groupBy(parent).agg(family))
-        boxes = boxes.groupBy(F.shiftright("node", CHILD_BITS).alias("node")).agg(*bounds)
+        up = F.shiftright("node", CHILD_BITS)
+        families.insert(0, boxes.groupBy(up.alias("parent")).agg(children))
+        boxes = boxes.groupBy(up.alias("node")).agg(*bounds)
         shift += CHILD_BITS
-    top = boxes.agg(F.collect_list(F.struct("node", "w", "e", "s", "n"))).scalar()
 
     slack = 1.0 + 1e-12  # rounding must not drop a box that ties
-    met = stations.select("location", "lon", "lat").withColumn("boxes", top)
+    met = stations.select("location", "lon", "lat").withColumn(
+        "boxes", boxes.agg(children).scalar()
+    )
     for family in [None, *families]:
         if family is not None:
             met = met.join(family, "parent")
-        here = met
-        sure = F.array_min(F.transform("boxes", lambda box: _sure_distance(here, box)))
-        met = met.withColumn("sure", sure)
-        met = met.withColumn("sure", F.min("sure").over(Window.partitionBy("location")))
-        kept = F.filter(
-            "boxes", lambda box: _least_distance(here, box) <= F.col("sure") * slack
+        met = (
+            met.select("location", "lon", "lat", F.explode("boxes").alias("box"))
+            .select("location", "lon", "lat", "box.*")
+            .withColumn("sure", F.min(_sure_distance()).over(Window.partitionBy("location")))
+            .filter(_least_distance() <= F.col("sure") * slack)
+            .select("location", "lon", "lat", F.col("node").alias("parent"))
         )
-        nodes = F.transform(kept, lambda box: box["node"])
-        met = met.select("location", "lon", "lat", F.explode(nodes).alias("parent"))
     leaves = packed.groupBy(F.shiftright("node", LEAF_BITS).alias("parent")).agg(
         F.collect_list(F.struct("cell_id", "lon", "lat")).alias("cells")
     )
-    found = met.join(leaves, "parent").select("location", _best(F.col("cells")).alias("best"))
-    found = found.groupBy("location").agg(F.min("best").alias("best"))
-    found = found.select("location", "best.cell_id", F.sqrt("best.d2").alias("distance"))
+
+    def candidate(cell: Column) -> Column:
+        d2 = squared_degrees(F.col("lon"), F.col("lat"), cell["lon"], cell["lat"])
+        return F.struct(d2.alias("d2"), cell["cell_id"].alias("cell_id"))
+
+    best = F.array_min(F.transform("cells", candidate))
+    found = (
+        met.join(leaves, "parent")
+        .select("location", best.alias("best"))
+        .groupBy("location")
+        .agg(F.min("best").alias("best"))
+        .select("location", "best.cell_id", F.sqrt("best.d2").alias("distance"))
+    )
     return stations.join(found, "location")
 
 
