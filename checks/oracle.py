@@ -385,7 +385,7 @@ def statements() -> dict[str, str]:
         "name_norm": s("location dots back", """(SELECT location,
           replace(location, ' ', '.') AS dots, location AS back FROM stations)"""),
         # grid to days
-        "scan_forecast": s("issue_id step:int lat:6 lon:6 prate:6", f"""(SELECT {_ID}, * FROM fc6h
+        "scan_forecast": s("issue_id step:int lat:6 lon:6 prate:12", f"""(SELECT {_ID}, * FROM fc6h
           WHERE lat_idx = 2 AND lon_idx = 4)"""),
         "bbox_crop": s("vec_id lon:6 lat:6", """places WHERE lon BETWEEN -74.5 AND -68
           AND lat BETWEEN -35.433 AND -31.653"""),

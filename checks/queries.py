@@ -231,7 +231,7 @@ def name_norm(spark, sf):
 # ---- grid to days ------------------------------------------------------------------------
 
 
-@query
+@query(prate=12)
 def scan_forecast(spark, sf):
     cell = daily.slice_cell(v.forecast_6h(spark, sf), lat_idx=2, lon_idx=4)
     return with_id(cell.select("issue_ts", "step", "lat", "lon", "prate"))

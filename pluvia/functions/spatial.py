@@ -37,14 +37,14 @@ def np_distance(x1, y1, x2, y2, metric: str) -> np.ndarray:
     if metric != "ellipsoid":
         raise ValueError(f"unknown metric: {metric}")
     # first-order flattening correction of the great circle
-    mid, half, turn = (lat1 + lat2) / 2, (lat1 - lat2) / 2, (lon1 - lon2) / 2
-    sin2_mid, cos2_mid = np.sin(mid) ** 2, np.cos(mid) ** 2
-    sin2_half, cos2_half = np.sin(half) ** 2, np.cos(half) ** 2
-    sin2_turn, cos2_turn = np.sin(turn) ** 2, np.cos(turn) ** 2
+    cos_sum = np.cos(lat1) * np.cos(lat2) - np.sin(lat1) * np.sin(lat2)
+    sin2_mid, cos2_mid = (1 - cos_sum) / 2, (1 + cos_sum) / 2
+    sin2_half, sin2_turn = np.sin((lat1 - lat2) / 2) ** 2, np.sin((lon1 - lon2) / 2) ** 2
+    cos2_half, cos2_turn = 1 - sin2_half, 1 - sin2_turn
     s = sin2_half * cos2_turn + cos2_mid * sin2_turn
-    c = cos2_half * cos2_turn + sin2_mid * sin2_turn
+    c = 1 - s
     with np.errstate(all="ignore"):
-        w = np.arctan2(np.sqrt(s), np.sqrt(c))
+        w = np.arcsin(np.sqrt(s))
         r = np.sqrt(s * c) / w
         arc = 2 * w * WGS84_RADIUS
         bend = (3 * r - 1) / (2 * c) * sin2_mid * cos2_half - (3 * r + 1) / (

@@ -19,7 +19,7 @@ from pluvia.functions.spatial import np_distance, ring_edges
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 TILE_SIDE = 32  # grid points along one side of a tile
-STATIONS_PER_BLOCK = 512
+STATIONS_PER_BLOCK = 1024
 DAYS_PER_BLOCK = 32
 BROADCAST_POINTS = 500_000  # grid points (16 bytes each) that may go to every executor
 

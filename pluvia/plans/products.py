@@ -107,11 +107,15 @@ def corrected_grids(
 
 
 def build_brick(
-    spark: SparkSession, forecast_path: str, product: Product, out: str, **issues
+    spark: SparkSession, forecast_path: str, product: Product, out: str,
+    placement: str = "valid_time", **issues,
 ) -> DataFrame:
-    """Daily totals of one product, written and read back."""
+    """Daily totals of one product on the inner grid, written and read back.
+
+    ``issues`` may bound the issues read (``first_issue``, ``last_issue``).
+    """
     steps = daily.subgrid(readers.forecast(spark, forecast_path, product.name, **issues))
-    writers.daily(daily.daily_totals(steps, product), out)
+    writers.daily(daily.daily_totals(steps, product, placement), out)
     return readers.stage(spark, out)
 
 

@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +173,36 @@ def test_days_without_forecast_are_zero(spark):
     assert {r.cell_id: r.mm for r in got.collect()} == {1: 5.0, 2: 0.0}
 
 
+def test_consensus_of_a_hot_cell_equals_brute_force(spark):
+    rng = random.Random(8)
+    first = T(2012, 7, 1)
+    rows = []
+    for i in range(60):
+        for cell, days in ((1, 40), (2, 6), (3, 6), (4, 6)):  # most rows in one cell
+            for d in range(days):
+                mm = rng.choice([None, 0.0, 0.5, 0.6, rng.uniform(0, 20), rng.uniform(0, 2)])
+                issue = first + dt.timedelta(hours=6 * i)
+                rows.append(("realtime", issue, cell, issue.date() + dt.timedelta(days=d), mm))
+    df = spark.createDataFrame(rows, schemas.FORECAST_DAILY).repartition(7)
+    start, end = D(2012, 7, 1), D(2012, 9, 15)
+    for product in (config.REFORECAST, config.OPERATIONAL, config.REALTIME):
+        named = df.withColumn("product", F.lit(product.name))
+        got = {
+            (r.cell_id, r.valid_date): (r.mm, r.n_issues, r.n_wet)
+            for r in consensus.consensus(named, product, start, end).collect()
+        }
+        assert len(got) == 4 * 77
+        for (cell, day), (mm, n, n_wet) in got.items():
+            values = [
+                (r[1], r[4]) for r in rows if r[2] == cell and r[3] == day and r[4] is not None
+            ]
+            last = [v for _, v in sorted(values)[-12:]]
+            wet = [v for v in last if v > 0.5]
+            ratio = {"reforecast": 2, "operational": 5, "realtime": 3.33}[product.name]
+            expected = sum(wet) / len(wet) if wet and len(wet) / len(last) >= 1 / ratio else 0.0
+            assert (n, n_wet) == (len(last), len(wet)) and mm == pytest.approx(expected)
+
+
 def test_realtime_range_starts_at_first_issue(spark):
     df = forecasts(spark, [5.0], day=D(2012, 7, 3), product="realtime")
     days = sorted(r.valid_date for r in consensus.consensus(df, config.REALTIME).collect())
