@@ -52,6 +52,7 @@ def _nearest_in_array(stations: DataFrame, cells: DataFrame) -> DataFrame:
     if not rows:
         return stations.limit(0).select("*", F.lit(None).cast("int").alias("cell_id"),
                                         F.lit(None).cast("double").alias("distance"))
+    search = search.asNondeterministic()  # else a filter on its result runs it again
     placed = stations.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
     return placed.withColumn("best", search("lon", "lat")).select(
         stations["*"], "best.cell_id", "best.distance"
@@ -185,10 +186,14 @@ def _nearest_in_tree(stations: DataFrame, cells: DataFrame) -> DataFrame:
 
 
 def station_series(stations: DataFrame, consensus: DataFrame) -> DataFrame:
-    """The consensus series of each station's cell; ``stations`` carries ``cell_id``."""
-    return stations.select("location", "cell_id").join(
-        consensus.select("cell_id", "valid_date", "mm"), "cell_id"
-    )
+    """The consensus series of each station's cell; ``stations`` carries ``cell_id``.
+
+    Few cells may serve very many stations, and the result is far larger than either side, so
+    the stations are first spread over a fixed number of tasks, which AQE does not merge.
+    """
+    tasks = int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = stations.select("location", "cell_id").repartition(tasks, "location")
+    return spread.join(consensus.select("cell_id", "valid_date", "mm"), "cell_id")
 
 
 def forecast_export(corrected: DataFrame, stations: DataFrame, days: list) -> DataFrame:

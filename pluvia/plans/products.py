@@ -51,6 +51,16 @@ def fit_all(
     )
 
 
+def stage_fits(spark: SparkSession, fits: Fits, out: str) -> Fits:
+    """The fits, written and read back: Spark then knows how small they are and may broadcast
+    them, where a plan over the samples would shuffle the forecasts to meet them."""
+    writers.stage(fits.model, f"{out}/fits_model")
+    writers.stage(fits.observed, f"{out}/fits_observed")
+    return Fits(
+        readers.stage(spark, f"{out}/fits_model"), readers.stage(spark, f"{out}/fits_observed")
+    )
+
+
 def station_forecast(
     stations: DataFrame, cells: DataFrame, consensus: DataFrame, fits: Fits,
     month: int | None = None,
@@ -147,9 +157,8 @@ def build_realtime(
     """
     series = build_consensus(spark, forecast_path, REALTIME, out)
     pool = readers.stage(spark, f"{reforecast}/climatology")
-    corrected = station_forecast(
-        stations, cells, series, fit_all(pool, obs), month=as_of.month
-    )
+    fits = stage_fits(spark, fit_all(pool, obs), out)
+    corrected = station_forecast(stations, cells, series, fits, month=as_of.month)
     writers.series(corrected, f"{out}/stations")
     corrected = readers.stage(spark, f"{out}/stations")
     first = corrected.agg(F.min("valid_date")).first()[0]
