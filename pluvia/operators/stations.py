@@ -20,12 +20,12 @@ def nearest_cell(
 ) -> DataFrame:
     """``cell_id`` of the nearest cell and its ``distance`` in planar degrees.
 
-    The lowest id wins a tie.
+    The lowest id wins a tie. Stations and cells without coordinates are left out.
 
     A counted, small set of cells is searched as one array by batches of stations. A larger
-    set is searched through a tree of boxes. Both are exact and neither pairs rows. A station
-    without coordinates has no cell and is left out.
+    set is searched through a tree of boxes. Both are exact and neither pairs rows.
     """
+    stations, cells = (df.dropna(subset=["lon", "lat"]) for df in (stations, cells))
     if fits(cells, max_array_cells):
         return _nearest_in_array(stations, cells)
     return _nearest_in_tree(stations, cells)
@@ -53,10 +53,8 @@ def _nearest_in_array(stations: DataFrame, cells: DataFrame) -> DataFrame:
         return stations.limit(0).select("*", F.lit(None).cast("int").alias("cell_id"),
                                         F.lit(None).cast("double").alias("distance"))
     search = search.asNondeterministic()  # else a filter on its result runs it again
-    placed = stations.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
-    return placed.withColumn("best", search("lon", "lat")).select(
-        stations["*"], "best.cell_id", "best.distance"
-    )
+    found = stations.withColumn("best", search("lon", "lat"))
+    return found.select(stations["*"], "best.cell_id", "best.distance")
 
 
 def _interleaved(x: Column, y: Column) -> Column:
@@ -130,11 +128,11 @@ def _sure_distance() -> Column:
 
 
 def _nearest_in_tree(stations: DataFrame, cells: DataFrame) -> DataFrame:
-    """Descend a packed tree of boxes, keeping per station those that can hold its nearest cell.
+    """Descend a packed tree of boxes, keeping per place those that can hold its nearest cell.
 
     A leaf has at most 64 cells and a node at most 16 children, each stored as one array, so
-    a station meets a node in one row. A box farther than the distance that is sure at some
-    other box is dropped.
+    a place meets a node in one row. A box farther than the distance that is sure at some
+    other box is dropped. Stations at one place are searched once.
     """
     packed, last = _packed(cells)
     boxes = packed.select(
@@ -153,18 +151,17 @@ def _nearest_in_tree(stations: DataFrame, cells: DataFrame) -> DataFrame:
         shift += CHILD_BITS
 
     slack = 1.0 + 1e-12  # rounding must not drop a box that ties
-    met = stations.select("location", "lon", "lat").withColumn(
-        "boxes", boxes.agg(children).scalar()
-    )
+    place = ["lon", "lat"]
+    met = stations.select(*place).distinct().withColumn("boxes", boxes.agg(children).scalar())
     for family in [None, *families]:
         if family is not None:
             met = met.join(family, "parent")
         met = (
-            met.select("location", "lon", "lat", F.explode("boxes").alias("box"))
-            .select("location", "lon", "lat", "box.*")
-            .withColumn("sure", F.min(_sure_distance()).over(Window.partitionBy("location")))
+            met.select(*place, F.explode("boxes").alias("box"))
+            .select(*place, "box.*")
+            .withColumn("sure", F.min(_sure_distance()).over(Window.partitionBy(*place)))
             .filter(_least_distance() <= F.col("sure") * slack)
-            .select("location", "lon", "lat", F.col("node").alias("parent"))
+            .select(*place, F.col("node").alias("parent"))
         )
     leaves = packed.groupBy(F.shiftright("node", LEAF_BITS).alias("parent")).agg(
         F.collect_list(F.struct("cell_id", "lon", "lat")).alias("cells")
@@ -177,12 +174,12 @@ def _nearest_in_tree(stations: DataFrame, cells: DataFrame) -> DataFrame:
     best = F.array_min(F.transform("cells", candidate))
     found = (
         met.join(leaves, "parent")
-        .select("location", best.alias("best"))
-        .groupBy("location")
+        .select(*place, best.alias("best"))
+        .groupBy(*place)
         .agg(F.min("best").alias("best"))
-        .select("location", "best.cell_id", F.sqrt("best.d2").alias("distance"))
+        .select(*place, "best.cell_id", F.sqrt("best.d2").alias("distance"))
     )
-    return stations.join(found, "location")
+    return stations.join(found, place).select(stations["*"], "cell_id", "distance")
 
 
 def station_series(stations: DataFrame, consensus: DataFrame) -> DataFrame:

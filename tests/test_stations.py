@@ -60,6 +60,25 @@ def test_tree_is_exact_on_clusters_and_outliers(spark, seed):
     assert found(stations.nearest_cell(s, c, max_array_cells=0)) == expected
 
 
+@pytest.mark.parametrize("limit", [stations.CELLS_AS_ARRAY, 0])
+def test_copies_and_missing_coordinates(spark, limit):
+    s, c = frames(
+        spark, [("A", 0.0, 0.2), ("A", 0.0, 4.8), ("B", 0.0, 0.2), ("C", None, 1.0)],
+        [(i, 0.0, float(i)) for i in range(6)] + [(9, None, 0.0)],
+    )
+    got = stations.nearest_cell(s, c, limit)
+    assert got.columns == ["location", "lat", "lon", "cell_id", "distance"]
+    assert sorted((r.location, r.lon, r.cell_id, round(r.distance, 9)) for r in got.collect()) == [
+        ("A", 0.2, 0, 0.2), ("A", 4.8, 5, 0.2), ("B", 0.2, 0, 0.2)
+    ]
+
+
+@pytest.mark.parametrize("limit", [stations.CELLS_AS_ARRAY, 0])
+def test_no_cells(spark, limit):
+    s, c = frames(spark, [("A", 0.0, 0.2)], [(1, None, 0.0)])
+    assert stations.nearest_cell(s, c, limit).count() == 0
+
+
 def test_export_layout(spark):
     D = dt.date
     corrected = spark.createDataFrame(
