@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvia.llm import exact_dedup, mixing, quality_rules
+from pluvia.llm import bpe, exact_dedup, language_id, mixing, quality_rules, token_blocks
 from pluvia.llm.shared import table
 
+BYTE_VOCABULARY = "byte_bpe_50k.json"
+WORD_VOCABULARY = "word_bpe_49k.json"
+END_OF_TEXT = 2
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.plan(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -21,6 +30,17 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.cascade(table(spark, sf_dir, "documents"))
 
 
+def op7_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    path = public_tokenizers.path(BYTE_VOCABULARY)
+    return token_blocks.store_and_check(docs, path, END_OF_TEXT)
+
+
+def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return bpe.digests(docs, public_tokenizers.path(WORD_VOCABULARY))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -29,8 +49,11 @@ def registry() -> dict[str, Query]:
     return {
         f.__name__: f
         for f in (
+            op1_language,
             op3_source_mix,
             op6_quality_rules,
+            op7_token_blocks,
+            op8_bpe_round_trip,
             op10_exact_dedup,
         )
     }
