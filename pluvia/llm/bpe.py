@@ -17,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -166,28 +166,29 @@ def load(path: str) -> ForcedBoundaryBpe:
     return ForcedBoundaryBpe(path)
 
 
-def encoded(text: Column, path: str) -> Column:
-    """The ids of each text as ``array<int>``; null counts as empty and gives no ids."""
+def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
+    """``docs`` without its text, with ``n_tokens`` (long), ``ids`` (array of int) and ``decoded``.
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        bpe = load(path)
-        for texts in batches:
-            yield pd.Series([bpe.encode(t or "").astype("i4") for t in texts])
-
-    return encode(text)
-
-
-def decoded(ids: Column, path: str) -> Column:
-    """The text of each list of ids; null and empty lists give the empty text."""
+    Null texts count as empty: no ids, and an empty decoded text. Columns of ``docs`` with these
+    names are replaced; the others pass. Equal texts get equal ids. Long texts are encoded whole. An
+    empty table gives an empty one.
+    """
 
-    @F.pandas_udf("string")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("ids array<int>, decoded string")
+    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         bpe = load(path)
-        for lists in batches:
-            yield pd.Series(["" if x is None else bpe.decode(np.asarray(x)) for x in lists])
-
-    return decode(ids)
+        for texts in batches:
+            ids = [bpe.encode(t) for t in texts]
+            yield pd.DataFrame(
+                {"ids": [x.astype("i4") for x in ids], "decoded": [bpe.decode(x) for x in ids]}
+            )
+
+    new = ("n_tokens", "ids", "decoded")
+    others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *new)]
+    made = docs.select(F.struct(*others).alias("others"), both(text_of(text)).alias("made"))
+    return made.select(
+        "others.*", F.size("made.ids").cast("long").alias("n_tokens"), "made.ids", "made.decoded"
+    )
 
 
 def digests(

@@ -238,16 +238,38 @@ def near_duplicates(
     the smallest id that a document reaches by links, itself included, and that document is kept.
     A text of fewer than five words is one shingle; null texts and texts without words have none, are
     linked with nothing and kept. Null ids are never smallest; a component of null ids alone has a
-    null id and keeps all. Rows that repeat an id and its text are one document. Very long texts are
-    compared whole. An empty table gives an empty result; other columns are ignored.
+    null id and keeps all. Rows that repeat an id are kept together. Very long texts are compared
+    whole. An empty table gives an empty result; other columns are ignored.
     """
-    t = text_of(text)
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), t.alias("text")).withColumn(
-        "row", F.xxhash64("doc_id", "text")
+    return judged(docs, doc_id, text, pct).drop("row")
+
+
+def keep_one(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", pct: int = THRESHOLD_PCT
+) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
+    gone = judged(docs, doc_id, text, pct).filter("not kept").select("row").distinct()
+    keyed = docs.select(F.struct("*").alias("all"), row_key(doc_id, text).alias("row"))
+    return keyed.join(gone, "row", "left_anti").select("all.*")
+
+
+def row_key(doc_id: str, text: str) -> Column:
+    return F.struct(
+        F.xxhash64(F.col(f"`{doc_id}`"), text_of(text)).alias("one"),
+        F.hash(F.col(f"`{doc_id}`"), text_of(text)).alias("two"),
+    )
+
+
+def judged(docs: DataFrame, doc_id: str, text: str, pct: int) -> DataFrame:
+    """The result of ``near_duplicates`` with the key of each row."""
+    rows = docs.select(
+        F.struct(F.col(f"`{doc_id}`").alias("doc_id"), row_key(doc_id, text).alias("key")).alias(
+            "row"
+        ),
+        text_of(text).alias("text"),
     )
-    keyed = rows.select(F.struct("doc_id", F.col("row").alias("hash")).alias("row"), "text")
-    signs = stored(signed(keyed), "near-signatures").select(
-        F.col("row.doc_id").alias("doc_id"), F.col("row.hash").alias("row"),
+    signs = stored(signed(rows), "near-signatures").select(
+        F.col("row.doc_id").alias("doc_id"), F.col("row.key").alias("row"),
         "node", "n_shingles", "bands",
     )
     nodes = (
@@ -259,19 +281,21 @@ def near_duplicates(
         )
     )
     nodes = stored(nodes, "near-nodes")
-    labels = stored(classes(rows.select("row", "text"), nodes, pct), "near-classes")
+    texts = rows.select(F.col("row.key").alias("row"), "text")
+    labels = stored(classes(texts, nodes, pct), "near-classes")
     linked = nodes.select("node", "first").join(labels, "node")
     smallest = linked.groupBy("label").agg(F.min("first").alias("smallest"))
     of_node = linked.join(smallest, "label").select("node", "smallest")
-    alone = nodes.select("node", "first").join(of_node, "node", "left").select(
+    found = nodes.select("node", "first").join(of_node, "node", "left").select(
         "node", F.coalesce("smallest", "first").alias("smallest")
     )
-    found = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("smallest"))
+    alone = F.col("node").isNull()
+    component = F.when(alone, F.col("doc_id")).otherwise(F.col("smallest"))
     return (
-        signs.join(alone, "node", "left")
-        .withColumn("component_id", found)
+        signs.join(found, "node", "left")
+        .withColumn("component_id", component)
         .select(
-            "doc_id", "n_shingles", "component_id",
+            "doc_id", "row", "n_shingles", "component_id",
             F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
         )
     )

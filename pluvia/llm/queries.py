@@ -7,7 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pluvia.llm import bpe, exact_dedup, language_id, mixing, quality_rules, token_blocks
+from pluvia.llm import (
+    bpe,
+    exact_dedup,
+    language_id,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality_rules,
+    token_blocks,
+)
 from pluvia.llm.shared import table
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -21,6 +30,11 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.learn_and_identify(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_repeated_runs(docs, removed="removed_lines")
+
+
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = mixing.plan(table(spark, sf_dir, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -41,6 +55,10 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, public_tokenizers.path(WORD_VOCABULARY))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -50,10 +68,12 @@ def registry() -> dict[str, Query]:
         f.__name__: f
         for f in (
             op1_language,
+            op2_line_dedup,
             op3_source_mix,
             op6_quality_rules,
             op7_token_blocks,
             op8_bpe_round_trip,
+            op9_near_dedup,
             op10_exact_dedup,
         )
     }
