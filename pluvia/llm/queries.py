@@ -16,6 +16,7 @@ from pluvia.llm import (
     near_dedup,
     quality_rules,
     token_blocks,
+    warc,
 )
 from pluvia.llm.shared import table
 
@@ -40,6 +41,10 @@ def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.write_and_read(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.cascade(table(spark, sf_dir, "documents"))
 
@@ -70,6 +75,7 @@ def registry() -> dict[str, Query]:
             op1_language,
             op2_line_dedup,
             op3_source_mix,
+            op4_warc,
             op6_quality_rules,
             op7_token_blocks,
             op8_bpe_round_trip,

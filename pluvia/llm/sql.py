@@ -16,8 +16,21 @@ SELECT doc_id,
 FROM t
 """
 
+WARC = """
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p
+)
+SELECT page_id, url, n AS payload_bytes, sha256(html) AS payload_digest,
+       CASE WHEN n >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND page_id <> first THEN first END AS refers_to
+FROM f
+"""
+
 
 def statements() -> dict[str, str]:
     return {
+        "op4_warc": WARC,
         "op10_exact_dedup": EXACT_DEDUP,
     }
