@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pluvia.llm import (
     bpe,
     exact_dedup,
+    html_text,
     language_id,
     line_dedup,
     mixing,
@@ -45,6 +46,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.write_and_read(table(spark, sf_dir, "pages"))
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.cascade(table(spark, sf_dir, "documents"))
 
@@ -76,6 +82,7 @@ def registry() -> dict[str, Query]:
             op2_line_dedup,
             op3_source_mix,
             op4_warc,
+            op5_html_text,
             op6_quality_rules,
             op7_token_blocks,
             op8_bpe_round_trip,
