@@ -67,14 +67,11 @@ def apportioned(
     fair = F.col(seats) * F.col(votes) / F.nullif(F.sum(votes).over(group), F.lit(0))
     slack = F.count(F.lit(1)).over(group) / (2 * F.nullif(F.col(seats), F.lit(0)))
     shares = parties.withColumns({"fair_": fair, "slack_": slack, "limit_": limit})
-    low = F.least(F.floor(F.col("fair_") * (1 - F.col("slack_"))) - 1, F.col("limit_"))
-    high = F.least(F.ceil(F.col("fair_") * (1 + F.col("slack_"))) + 1, F.col("limit_"))
-    shares = shares.withColumns(
-        {
-            "low_": F.greatest(F.coalesce(low, F.lit(0)), F.lit(0)).cast("long"),
-            "high_": F.greatest(F.coalesce(high, F.lit(0)), F.lit(0)).cast("long"),
-        }
-    )
+    # Groups without seats or votes have null shares; least and greatest would skip the null.
+    low = F.coalesce(F.floor(F.col("fair_") * (1 - F.col("slack_"))) - 1, F.lit(0))
+    high = F.coalesce(F.ceil(F.col("fair_") * (1 + F.col("slack_"))) + 1, F.lit(0))
+    bounded = lambda k: F.greatest(F.least(k, F.col("limit_")), F.lit(0)).cast("long")
+    shares = shares.withColumns({"low_": bounded(low), "high_": bounded(high)})
     key = [*within, tie]
     contest = (
         shares.withColumn("left_", F.col(seats) - F.sum("low_").over(group))
