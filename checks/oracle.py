@@ -16,7 +16,7 @@ from checks import standins as v
 _LON = ", ".join(map(str, GRID_LON360))
 _LAT = ", ".join(map(str, GRID_LAT))
 _START, _END = (f"DATE '{d}'" for d in v.RANGE)
-_MONTH = v.AS_OF.month
+_MONTH = str(v.AS_OF.month)
 
 
 def _daily(shift: int) -> str:
@@ -110,30 +110,34 @@ def _quantile(source: str, keys: str, p: str) -> str:
       SELECT * FROM it WHERE i = 56)"""
 
 
-_SCORE_TABLE = """SELECT location, count(*) FILTER (f > 0.5 AND o > 0) AS n_hit,
+_SCORE_TABLE = """SELECT location, month, count(*) FILTER (f > 0.5 AND o > 0) AS n_hit,
   count(*) FILTER (f < 0.5 AND o > 0) AS n_miss, count(*) FILTER (f > 0.5 AND o <= 0) AS n_fa,
   count(*) FILTER (f <= 0.5 AND o <= 0) AS n_cn,
   count(*) FILTER (f IS NULL OR o IS NULL) AS n_excluded
-  FROM (SELECT location, mm_corrected AS f, registro AS o FROM pairs) GROUP BY location"""
+  FROM (SELECT location, month(valid_date) AS month, mm_corrected AS f, registro AS o
+    FROM pairs) GROUP BY ALL"""
 
 
-def _corrected(series: str) -> str:
-    """Distinct forecasts of a station are mapped once; dry days stay 0."""
+def _corrected(series: str, month: str, fit: str = "fit") -> str:
+    """Distinct forecasts of a station and month are mapped once; dry days stay 0."""
     return f"""SELECT s.location, s.valid_date, s.mm,
       CASE WHEN s.mm <= 0 AND o.shape IS NOT NULL AND m.shape IS NOT NULL THEN 0.0
         ELSE q.x END AS mm_corrected
-      FROM {series} s
-      LEFT JOIN (SELECT * FROM obs_fit WHERE month = {_MONTH}) o USING (location)
-      LEFT JOIN (SELECT * FROM model_fit WHERE month = {_MONTH}) m USING (cell_id)
-      LEFT JOIN mapped_{series} q ON q.location = s.location AND q.mm = s.mm"""
+      FROM (SELECT *, {month} AS month FROM {series}) s
+      LEFT JOIN obs_{fit} o ON o.location = s.location AND o.month = s.month
+      LEFT JOIN model_{fit} m ON m.cell_id = s.cell_id AND m.month = s.month
+      LEFT JOIN mapped_{series}_{fit} q
+        ON q.location = s.location AND q.mm = s.mm AND q.month = s.month"""
 
 
-def _mapped(series: str) -> str:
+def _mapped(series: str, month: str, fit: str = "fit") -> str:
     source = f"""(SELECT *, {_cdf('mm', 'mshape', 'mscale')} AS p0 FROM (
-      SELECT DISTINCT s.location, s.mm, o.shape, o.scale, m.shape AS mshape, m.scale AS mscale
-      FROM {series} s JOIN obs_fit o ON o.location = s.location AND o.month = {_MONTH}
-      JOIN model_fit m ON m.cell_id = s.cell_id AND m.month = {_MONTH} WHERE s.mm > 0))"""
-    return _quantile(source, "location, mm", "p0")
+      SELECT DISTINCT s.location, s.month, s.mm, o.shape, o.scale, m.shape AS mshape,
+        m.scale AS mscale
+      FROM (SELECT *, {month} AS month FROM {series}) s
+      JOIN obs_{fit} o ON o.location = s.location AND o.month = s.month
+      JOIN model_{fit} m ON m.cell_id = s.cell_id AND m.month = s.month WHERE s.mm > 0))"""
+    return _quantile(source, "location, month, mm", "p0")
 
 
 def _located(first: int) -> str:
@@ -147,12 +151,25 @@ def _series(product: str) -> str:
 
 
 _HEXAGON = [(-1.0, 0.0), (-0.5, 1.0), (0.5, 1.0), (1.0, 0.0), (0.5, -1.0), (-0.5, -1.0)]
-_CORNERS = " UNION ALL ".join(
-    f"""SELECT label, {i} AS i, cx + a * ({p}) AS x1, cy + b * ({q}) AS y1,
-      cx + a * ({_HEXAGON[(i + 1) % 6][0]}) AS x2, cy + b * ({_HEXAGON[(i + 1) % 6][1]}) AS y2
-      FROM label_box"""
-    for i, (p, q) in enumerate(_HEXAGON)
-)
+
+
+def _corners(scale: float) -> str:
+    def corner(i: int) -> str:
+        p, q = (scale * c for c in _HEXAGON[i % 6])
+        return f"cx + a * ({p}) AS x{{0}}, cy + b * ({q}) AS y{{0}}"
+
+    return " UNION ALL ".join(
+        f"SELECT label, {i} AS i, {corner(i).format(1)}, {corner(i + 1).format(2)} FROM label_box"
+        for i in range(6)
+    )
+
+
+def _inside(edges: str) -> str:
+    return f"""SELECT DISTINCT ix, iy, x, y FROM (SELECT ix, iy, x, y, label
+      FROM points CROSS JOIN {edges} WHERE (y1 > y) <> (y2 > y)
+        AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
+      GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
 
 # distance on the ellipsoid, first order in the flattening
 _ELLIPSOID = """SELECT ix, iy, location, CASE WHEN s = 0 THEN 0 ELSE 2 * w * 6378.137 * (1
@@ -202,6 +219,17 @@ _STEPS = {
         "(SELECT CAST(min(issue_ts) AS DATE) FROM fc6h)",
         "(SELECT CAST(min(issue_ts) AS DATE) + 14 FROM fc6h)",
     ),
+    "daily_rerun": f"""SELECT issue_ts, lat_idx - 1 + 3 * (lon_idx - 3) AS cell_id,
+      CAST(issue_ts + to_hours(6 * step - 6) AS DATE) AS valid_date, sum(prate * 21600.0) AS mm
+      FROM fc6h WHERE lat_idx BETWEEN 2 AND 4 AND lon_idx BETWEEN 3 AND 5
+      AND issue_ts >= TIMESTAMP '{v.RERUN}' GROUP BY ALL""",
+    "last_rerun": _last("daily_rerun"),
+    "vote_rerun": _vote("last_rerun", 100, 333),
+    "consensus_rerun": _filled(
+        "realtime", "daily_rerun", "vote_rerun",
+        "(SELECT CAST(min(issue_ts) AS DATE) FROM daily_rerun)",
+        "(SELECT CAST(min(issue_ts) AS DATE) + 14 FROM daily_rerun)",
+    ),
     "pool": """SELECT cell_id, month(valid_date) AS month, mm FROM daily_reforecast
       WHERE mm > 0.5 AND month(valid_date) = month(issue_ts)""",
     "pool_stats": """SELECT cell_id, month, count(*) AS n, avg(mm) AS mean, avg(ln(mm)) AS g,
@@ -226,6 +254,7 @@ _STEPS = {
     "draws": """SELECT month, draw, shape, scale, (CAST('0x' || substr(md5(
       '0|' || month || '|' || draw), 1, 13) AS BIGINT) + 0.5) / 4503599627370496 AS u
       FROM recent_fit, range(1, 10001) t(draw)""",
+    "drawn": _quantile("draws", "month, draw", "u"),
     "obs_hist": """SELECT replace(s_name, '#', ' ') AS location, obs_date, mm FROM (
       SELECT l_suppkey, CAST(l_shipdate AS DATE) AS obs_date, sum(l_extendedprice) / 5000 AS mm
       FROM lineitem GROUP BY ALL) JOIN supplier ON l_suppkey = s_suppkey""",
@@ -248,10 +277,12 @@ _STEPS = {
       FROM near JOIN model_fit USING (cell_id)""",
     "series_realtime": _series("realtime"),
     "series_operational": _series("operational"),
-    "mapped_series_realtime": _mapped("series_realtime"),
-    "mapped_series_operational": _mapped("series_operational"),
-    "corrected_realtime": _corrected("series_realtime"),
-    "corrected_operational": _corrected("series_operational"),
+    "mapped_series_realtime_fit": _mapped("series_realtime", _MONTH),
+    "mapped_series_realtime_free": _mapped("series_realtime", _MONTH, "free"),
+    "mapped_series_operational_fit": _mapped("series_operational", "month(valid_date)"),
+    "corrected_realtime": _corrected("series_realtime", _MONTH),
+    "corrected_free": _corrected("series_realtime", _MONTH, "free"),
+    "corrected_operational": _corrected("series_operational", "month(valid_date)"),
     "pairs": f"""SELECT c.location, c.valid_date, mm_corrected, o.mm AS registro
       FROM corrected_operational c JOIN obs_recent o
       ON c.location = o.location AND c.valid_date = o.obs_date
@@ -260,17 +291,16 @@ _STEPS = {
     "label_box": """SELECT label, (w + e) / 2 AS cx, (s + n) / 2 AS cy, (e - w) * 0.3 AS a,
       (n - s) * 0.2 AS b FROM (SELECT label, min(lon) AS w, max(lon) AS e, min(lat) AS s,
       max(lat) AS n FROM places GROUP BY label)""",
-    "edges": _CORNERS,
+    "edges": _corners(1.0),
     "grid": """SELECT *, CAST(floor((e - w) / step + 1e-9) AS BIGINT) AS nx,
       CAST(floor((n - s) / step + 1e-9) AS BIGINT) AS ny FROM (
       SELECT *, sqrt((e - w) * (n - s) / 50000) AS step FROM (
         SELECT min(x1) AS w, max(x1) AS e, min(y1) AS s, max(y1) AS n FROM edges))""",
     "points": """SELECT ix, iy, w + (ix + 0.5) * step AS x, s + (iy + 0.5) * step AS y
       FROM grid, range(0, (SELECT nx FROM grid)) a(ix), range(0, (SELECT ny FROM grid)) b(iy)""",
-    "inside": """SELECT DISTINCT ix, iy, x, y FROM (SELECT ix, iy, x, y, label
-      FROM points CROSS JOIN edges WHERE (y1 > y) <> (y2 > y)
-        AND x < (x2 - x1) * (y - y1) / (y2 - y1) + x1
-      GROUP BY ALL HAVING count(*) % 2 = 1)""",
+    "holed_edges": f"SELECT * FROM edges UNION ALL {_corners(v.HOLE)}",
+    "inside": _inside("edges"),
+    "inside_holed": _inside("holed_edges"),
     "distances": _ELLIPSOID,
     "interpolated": """SELECT obs_date AS valid_date, ix, iy,
       CASE WHEN count(*) FILTER (d = 0) > 0 THEN avg(mm) FILTER (d = 0)
@@ -417,6 +447,12 @@ def statements() -> dict[str, str]:
         "consensus_reforecast": s(cons, "consensus_reforecast"),
         "consensus_operational": s(cons, "consensus_operational"),
         "consensus_realtime": s(cons, "consensus_realtime"),
+        "realtime_rerun": s(cons, "consensus_rerun"),
+        "daily_with_nan": s("product issue_id cell_id:int valid_date:day mm:6", f"""(
+          SELECT 'operational' AS product, {_ID}, cell_id, valid_date,
+          CASE WHEN count(rate) = count(*) THEN sum(rate * 21600.0) END AS mm FROM (
+            SELECT *, CAST(issue_ts + to_hours(6 * step - 18) AS DATE) AS valid_date,
+            CASE WHEN step NOT IN (7, 11) THEN prate END AS rate FROM fc6h) GROUP BY ALL)"""),
         "union_products": s(cons, """(SELECT * FROM consensus_reforecast UNION ALL
           SELECT * FROM consensus_operational UNION ALL SELECT * FROM consensus_realtime)"""),
         # observations and stations
@@ -450,14 +486,14 @@ def statements() -> dict[str, str]:
           {_cdf('x', 'shape', 'scale')} AS f FROM (SELECT *, i * 0.1 AS x FROM (
             SELECT b.*, unnest(range(0, CAST(floor(max_mm / 0.1 + 1e-10) AS BIGINT) + 1)) AS i
             FROM both_fits b JOIN (SELECT location, month, max(mm) AS max_mm FROM wet
-            GROUP BY ALL) USING (location, month) WHERE month = {_MONTH})))"""),
+            GROUP BY ALL) USING (location, month))))"""),
         "gamma_cdf": s("location obs_date:day mm:6 f:6", f"""(SELECT *,
           {_cdf('mm', 'shape', 'scale')} AS f FROM wet JOIN obs_free USING (location, month))"""),
         "gamma_quantile": s("location month:int p:6 mm:4", "(SELECT *, p0 AS p, x AS mm FROM ("
           + _quantile("(SELECT * FROM obs_free, (VALUES (0.1::DOUBLE), (0.5::DOUBLE), "
                       "(0.9::DOUBLE)) t(p0))", "location, month, p0", "p0") + "))"),
-        "gamma_sample": s("month:int draw:int mm:4", "(SELECT month, draw, x AS mm FROM ("
-                          + _quantile("draws", "month, draw", "u") + "))"),
+        "gamma_sample": s("month:int draw:int mm:4", "(SELECT month, draw, x AS mm FROM drawn)"),
+        "quantile_map_free": s("location valid_date:day mm:6 mm_corrected:4", "corrected_free"),
         "quantile_map": s("location valid_date:day mm:6 mm_corrected:4", "corrected_realtime"),
         "valid_days": s("valid_date:day", "(SELECT DISTINCT valid_date FROM series_realtime)"),
         "forecast_export": s(
@@ -473,25 +509,31 @@ def statements() -> dict[str, str]:
           ON f.location = o.location AND f.valid_date = o.obs_date)"""),
         "verify_pairs": s("location valid_date:day operational:4 registro:6",
                           "(SELECT *, mm_corrected AS operational FROM pairs)"),
-        "contingency": s("location n_hit:int n_miss:int n_fa:int n_cn:int n_excluded:int",
+        "contingency": s("location month:int n_hit:int n_miss:int n_fa:int n_cn:int n_excluded:int",
                          "score_table"),
-        "skill_scores": s("location accuracy:6 bias_score:6 hit_rate:6 fa_ratio:6 fa_rate:6 "
-                          "success_ratio:6", """(SELECT location,
+        "skill_scores": s("location month:int accuracy:6 bias_score:6 hit_rate:6 fa_ratio:6 fa_rate:6 "
+                          "success_ratio:6", """(SELECT location, month,
           (n_hit + n_cn) / nullif(n_hit + n_miss + n_fa + n_cn, 0) AS accuracy,
           (n_hit + n_fa) / nullif(n_hit + n_miss, 0) AS bias_score,
           n_hit / nullif(n_hit + n_miss, 0) AS hit_rate,
           n_fa / nullif(n_hit + n_fa, 0) AS fa_ratio,
           n_fa / nullif(n_cn + n_fa, 0) AS fa_rate,
           n_hit / nullif(n_hit + n_fa, 0) AS success_ratio FROM score_table)"""),
-        "continuous_scores": s("location me:4 rmse:4 mae:4 mpe:2 mape:2", """(SELECT location,
+        "continuous_scores": s("location month:int me:4 rmse:4 mae:4 mpe:2 mape:2", """(SELECT
+          location, month(valid_date) AS month,
           avg(e) AS me, sqrt(avg(e * e)) AS rmse, avg(abs(e)) AS mae,
           avg(100 * e / nullif(registro, 0)) AS mpe, avg(abs(100 * e / nullif(registro, 0))) AS mape
-          FROM (SELECT *, registro - mm_corrected AS e FROM pairs) GROUP BY location)"""),
+          FROM (SELECT *, registro - mm_corrected AS e FROM pairs) GROUP BY location, month)"""),
+        "sample_ecdf": s("sample month:int mm:4 f:6", """(SELECT DISTINCT sample, month, mm,
+          cume_dist() OVER (PARTITION BY sample, month ORDER BY mm) AS f FROM (
+            SELECT 'observed' AS sample, month(obs_date) AS month, mm FROM obs_recent WHERE mm > 0
+            UNION ALL SELECT 'drawn', month, x FROM drawn))"""),
         "ecdf": s("location mm:6 f:6", """(SELECT DISTINCT location, mm, cume_dist() OVER (
           PARTITION BY location ORDER BY mm) AS f FROM obs_hist)"""),
         # grid
         "regular_grid": s("ix:int iy:int x:6 y:6", "points"),
         "basin_mask": s("ix:int iy:int", "inside"),
+        "basin_holes": s("ix:int iy:int", "inside_holed"),
         "idw_grid": s("valid_date:day x:6 y:6 mm:6",
                       "(SELECT * FROM interpolated JOIN points USING (ix, iy))"),
         "value_bins": s("location obs_date:day mm:6 class:int", """(SELECT *,
@@ -500,6 +542,5 @@ def statements() -> dict[str, str]:
         # streams
         "stream_daily": s("product issue_id cell_id:int valid_date:day mm:6", f"""(
           SELECT 'operational' AS product, {_ID}, * FROM daily_operational)"""),
-        "stream_consensus": s("product cell_id:int valid_date:day mm:6 n_issues:int n_wet:int",
-                              "(SELECT 'operational' AS product, * FROM vote_operational)"),
+        "stream_consensus": s(cons, "consensus_operational"),
     }

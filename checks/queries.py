@@ -6,6 +6,7 @@ whole numbers, doubles rounded. ``checks.oracle`` holds the same queries in SQL.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,14 @@ from pyspark.sql import types as T
 
 from checks import standins as v
 from pluvia import session
-from pluvia.config import BOUNDS_REALTIME, OPERATIONAL, REALTIME, REFORECAST, Product
+from pluvia.config import (
+    BOUNDS_DASHBOARD_REALTIME,
+    BOUNDS_REALTIME,
+    OPERATIONAL,
+    REALTIME,
+    REFORECAST,
+    Product,
+)
 from pluvia.functions import dates, gamma, text, units
 from pluvia.operators import (
     climatology,
@@ -29,6 +37,7 @@ from pluvia.operators import (
 from pluvia.operators import consensus as vote
 from pluvia.operators import stations as st
 from pluvia.plans import products
+from pluvia.sources import readers, writers
 from pluvia.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -84,30 +93,29 @@ def monthly_pool(spark, sf) -> DataFrame:
     return climatology.pool(totals(spark, sf, REFORECAST))
 
 
-def fits(spark, sf) -> products.Fits:
-    return products.fit_all(monthly_pool(spark, sf), v.obs_hist(spark, sf), BOUNDS_REALTIME)
+def fits(spark, sf, bounds: tuple[float, float] = BOUNDS_REALTIME) -> products.Fits:
+    return products.fit_all(monthly_pool(spark, sf), v.obs_hist(spark, sf), bounds)
 
 
-def corrected(spark, sf, product: Product) -> DataFrame:
+def corrected(spark, sf, product: Product, month: int | None = v.AS_OF.month, **bounds) -> DataFrame:
     return products.station_forecast(
-        v.stations(spark, sf), v.cells(spark), series(spark, sf, product), fits(spark, sf),
-        month=v.AS_OF.month,
+        v.stations(spark, sf), v.cells(spark), series(spark, sf, product),
+        fits(spark, sf, **bounds), month=month,
     )
 
 
-def paired(spark, sf) -> DataFrame:
-    forecast = corrected(spark, sf, OPERATIONAL).select(
-        "location", "valid_date", F.col("mm_corrected").alias("mm")
-    )
-    obs = observations.date_range(v.obs_recent(spark, sf), *v.RANGE)
-    return verification.pairs(forecast, obs)
+def scores(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Each day corrected with its own month's fits, and scored in that month."""
+    own_month = corrected(spark, sf, OPERATIONAL, month=None)
+    return products.station_scores(own_month, v.obs_recent(spark, sf), *v.RANGE)
 
 
-def grid_and_mask(spark, sf) -> tuple[interpolation.Grid, DataFrame]:
+def grid_and_mask(spark, sf, holes: bool = False) -> tuple[interpolation.Grid, DataFrame]:
     basins = v.basins(spark, sf)
     grid = interpolation.Grid.over(interpolation.ring_box(basins))
-    points = interpolation.regular_grid(spark, grid)
-    return grid, interpolation.basin_mask(points, basins, grid)
+    if holes:
+        basins = basins.unionByName(v.basins(spark, sf, v.HOLE))
+    return grid, interpolation.basin_mask(basins, grid)
 
 
 def with_id(df: DataFrame) -> DataFrame:
@@ -315,6 +323,23 @@ def consensus_realtime(spark, sf):
     return series(spark, sf, REALTIME)
 
 
+@query
+def realtime_rerun(spark, sf):
+    """Two runs into one folder, of the issues before a time and from it on: the second one's."""
+    out = session.shared_dir(spark, "rerun")
+    writers.forecast(v.stored_forecast(spark, sf, REALTIME.name), f"{out}/forecast")
+    before = v.RERUN - dt.timedelta(hours=6)
+    products.build_consensus(spark, f"{out}/forecast", REALTIME, out, last_issue=before)
+    return products.build_consensus(spark, f"{out}/forecast", REALTIME, out, first_issue=v.RERUN)
+
+
+@query
+def daily_with_nan(spark, sf):
+    """Steps without a number make their day missing, for both NaN and NULL."""
+    steps = v.with_nan(v.forecast_6h(spark, sf).drop("units"))
+    return with_id(daily.daily_totals(steps, OPERATIONAL))
+
+
 @query
 def union_products(spark, sf):
     return vote.union_products(*[series(spark, sf, p) for p in (REFORECAST, OPERATIONAL, REALTIME)])
@@ -411,17 +436,13 @@ def params_table(spark, sf):
     return params
 
 
-def _current(df: DataFrame) -> DataFrame:
-    return df.filter(F.col("month") == v.AS_OF.month)
-
-
 @query
 def cdf_curve(spark, sf):
     near = st.nearest_cell(v.stations(spark, sf), v.cells(spark))
     _, curve = products.station_report(
         monthly_pool(spark, sf), v.obs_hist(spark, sf), near, BOUNDS_REALTIME
     )
-    return _current(curve)
+    return curve
 
 
 @query
@@ -452,6 +473,12 @@ def quantile_map(spark, sf):
     return corrected(spark, sf, REALTIME)
 
 
+@query(mm_corrected=4)
+def quantile_map_free(spark, sf):
+    """The dashboard's correction: fits without bounds."""
+    return corrected(spark, sf, REALTIME, bounds=BOUNDS_DASHBOARD_REALTIME)
+
+
 @query
 def valid_days(spark, sf):
     near = st.nearest_cell(v.stations(spark, sf), v.cells(spark))
@@ -484,24 +511,34 @@ def compare_outer(spark, sf):
 
 @query(operational=4)
 def verify_pairs(spark, sf):
-    return paired(spark, sf)
+    forecast = corrected(spark, sf, OPERATIONAL, month=None).select(
+        "location", "valid_date", F.col("mm_corrected").alias("mm")
+    )
+    obs = observations.date_range(v.obs_recent(spark, sf), *v.RANGE)
+    return verification.pairs(forecast, obs)
 
 
 @query
 def contingency(spark, sf):
-    return verification.contingency(paired(spark, sf), "location")
+    return scores(spark, sf)[0]
 
 
 @query
 def skill_scores(spark, sf):
-    return verification.skill_scores(
-        verification.contingency(paired(spark, sf), "location"), "location"
-    )
+    return scores(spark, sf)[1]
 
 
 @query(me=4, rmse=4, mae=4, mpe=2, mape=2)
 def continuous_scores(spark, sf):
-    return verification.continuous_scores(paired(spark, sf), "location")
+    return scores(spark, sf)[2]
+
+
+@query(mm=4)
+def sample_ecdf(spark, sf):
+    """Observed days and as many draws of their fits, as one labelled table."""
+    wet = observations.month_wet(v.obs_recent(spark, sf))
+    draws = fitting.gamma_sample(fitting.gamma_fit(wet, "month"), "month")
+    return verification.labelled_ecdf({"observed": wet, "drawn": draws}, "month")
 
 
 @query
@@ -523,6 +560,11 @@ def basin_mask(spark, sf):
     return grid_and_mask(spark, sf)[1].select("ix", "iy")
 
 
+@query
+def basin_holes(spark, sf):
+    return grid_and_mask(spark, sf, holes=True)[1].select("ix", "iy")
+
+
 @query
 def idw_grid(spark, sf):
     grid, points = grid_and_mask(spark, sf)
@@ -530,7 +572,7 @@ def idw_grid(spark, sf):
     located = v.obs_recent(spark, sf).join(stations, "location").select(
         "location", "lon", "lat", F.col("obs_date").alias("valid_date"), "mm"
     )
-    return interpolation.idw(located, points, grid, n_stations=stations.count())
+    return interpolation.idw(located, points, grid)
 
 
 @query
@@ -561,4 +603,5 @@ def stream_daily(spark, sf):
 
 @query
 def stream_consensus(spark, sf):
-    return spark.read.parquet(_run_stream(spark, sf, True) + "/consensus")
+    out = _run_stream(spark, sf, True)
+    return ingest.read_consensus(spark, f"{out}/consensus", OPERATIONAL, *v.RANGE)

@@ -10,13 +10,15 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pluvia.config import GRID_LAT, GRID_LON360, INNER_LAT, INNER_LON, INNER_SIDE
+from pluvia.config import GRID_LAT, GRID_LON360, INNER_LAT, INNER_LON, INNER_SIDE, VARIABLE
 from pluvia.functions import dates, units
 
 AS_OF = dt.date(2024, 1, 15)
 RANGE = (dt.date(2023, 12, 31), dt.date(2024, 2, 29))
 OBS_RANGE = (dt.date(1996, 1, 1), dt.date(1999, 12, 31))
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+RERUN = dt.datetime(2024, 1, 16)  # first issue of the second real-time run
+HOLE = 0.4  # size of a hole in a basin
 DRY = 40.0  # event values up to this stand for a dry step
 OBS_DRY = 45.0
 
@@ -142,14 +144,27 @@ def obs_priority(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def basins(spark: SparkSession, sf: str) -> DataFrame:
+def stored_forecast(spark: SparkSession, sf: str, product: str) -> DataFrame:
+    """The forecasts as ``writers.forecast`` takes them."""
+    steps = forecast_6h(spark, sf).drop("cell_id")
+    return steps.select(F.lit(product).alias("product"), F.lit(VARIABLE).alias("variable"), "*")
+
+
+def with_nan(steps: DataFrame) -> DataFrame:
+    """Every step 7 is NaN and every step 11 NULL."""
+    nan = F.when(F.col("step") == 7, F.lit(float("nan"))).otherwise(F.col("prate"))
+    return steps.withColumn("prate", F.when(F.col("step") != 11, nan))
+
+
+def basins(spark: SparkSession, sf: str, scale: float = 1.0) -> DataFrame:
     """A hexagon per label around the middle of its places."""
     box = located(spark, sf, 0).groupBy("label").agg(
         F.min("lon").alias("w"), F.max("lon").alias("e"),
         F.min("lat").alias("s"), F.max("lat").alias("n"),
     )
     cx, cy = (F.col("w") + F.col("e")) / 2.0, (F.col("s") + F.col("n")) / 2.0
-    a, b = (F.col("e") - F.col("w")) * 0.3, (F.col("n") - F.col("s")) * 0.2
+    a = (F.col("e") - F.col("w")) * 0.3 * scale
+    b = (F.col("n") - F.col("s")) * 0.2 * scale
     corners = [(-1.0, 0.0), (-0.5, 1.0), (0.5, 1.0), (1.0, 0.0), (0.5, -1.0), (-0.5, -1.0)]
     ring = F.array(
         *[F.struct((cx + a * p).alias("x"), (cy + b * q).alias("y")) for p, q in corners]

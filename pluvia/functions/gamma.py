@@ -97,10 +97,12 @@ def _np_log_gamma(a: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + tail - np.log(product)
 
 
-def _tails(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """P(X <= x) and P(X > x) for scale 1, each accurate when small. Needs a > 0, x > 0."""
+def _log_tails(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of P(X <= x) and P(X > x) for scale 1, each accurate when small, also where the
+    tail itself is too small for a number. Needs a > 0, x > 0. NaN where the fraction does not
+    converge."""
     lower, upper = np.empty_like(x), np.empty_like(x)
-    front = np.exp(a * np.log(x) - x - _np_log_gamma(a))
+    front = a * np.log(x) - x - _np_log_gamma(a)
 
     small = x < a + 1.0
     s, v = a[small], x[small]
@@ -111,8 +113,9 @@ def _tails(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         i += 1
         term = term * v / (s + i)
         total += term
-    lower[small] = np.minimum(front[small] * total, 1.0)
-    upper[small] = 1.0 - lower[small]
+    lower[small] = np.minimum(front[small] + np.log(total), 0.0)
+    with np.errstate(divide="ignore"):
+        upper[small] = np.log(-np.expm1(lower[small]))
 
     large = ~small
     s, v = a[large], x[large]
@@ -132,26 +135,28 @@ def _tails(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         c = np.where(np.abs(c) < 1e-300, 1e-300, c)
         change = c * d
         h = h * change
-    upper[large] = np.minimum(front[large] * h, 1.0)
-    lower[large] = 1.0 - upper[large]
+    tail = np.minimum(front[large] + np.log(h), 0.0)
+    upper[large] = np.where(np.abs(change - 1.0) > 1e-12, np.nan, tail)
+    with np.errstate(divide="ignore"):
+        lower[large] = np.log(-np.expm1(upper[large]))
     return lower, upper
 
 
-def _normal_quantile(tail: np.ndarray) -> np.ndarray:
-    """Rough positive normal quantile of an upper tail <= 0.5 (error below 5e-4)."""
-    t = np.sqrt(-2.0 * np.log(tail))
+def _normal_quantile(log_tail: np.ndarray) -> np.ndarray:
+    """Rough positive normal quantile of an upper tail <= 0.5, given its logarithm."""
+    t = np.sqrt(-2.0 * log_tail)
     top = 2.515517 + t * (0.802853 + t * 0.010328)
     return t - top / (1.0 + t * (1.432788 + t * (0.189269 + t * 0.001308)))
 
 
 def _invert(a: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
-    """x with the given tails (0 < lower, upper < 1), solved on the smaller one in log scale."""
+    """x with the given logarithms of its tails, solved on the smaller one. NaN if that fails."""
     use_lower = lower <= upper
-    log_tail = np.log(np.where(use_lower, lower, upper))
-    z = _normal_quantile(np.where(use_lower, lower, upper)) * np.where(use_lower, -1.0, 1.0)
+    log_tail = np.where(use_lower, lower, upper)
+    z = _normal_quantile(log_tail) * np.where(use_lower, -1.0, 1.0)
     c = 1.0 / (9.0 * a)
     cube = a * (1.0 - c + z * np.sqrt(c)) ** 3
-    power = (np.log(lower) + _np_log_gamma(a + 1.0)) / a
+    power = (lower + _np_log_gamma(a + 1.0)) / a
     t = np.where(
         (power < np.log(0.3 * (a + 1.0))) | (cube <= 0.0), power, np.log(np.maximum(cube, 1e-300))
     )
@@ -163,12 +168,12 @@ def _invert(a: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
             break
         ai, ti = a[todo], t[todo]
         x = np.exp(ti)
-        p, q = _tails(ai, x)
+        p, q = _log_tails(ai, x)
         tail = np.where(use_lower[todo], p, q)
         sign = np.where(use_lower[todo], 1.0, -1.0)
         with np.errstate(all="ignore"):
-            gap = sign * (np.log(tail) - log_tail[todo])
-            slope = np.exp(ai * ti - x - _np_log_gamma(ai)) / tail
+            gap = sign * (tail - log_tail[todo])
+            slope = np.exp(ai * ti - x - _np_log_gamma(ai) - tail)
             bend = slope * (ai - x - sign * slope)
             move = 2.0 * gap * slope / (2.0 * slope * slope - gap * bend)
         high[todo] = np.where(gap > 0, np.minimum(high[todo], ti), high[todo])
@@ -183,6 +188,7 @@ def _invert(a: np.ndarray, lower: np.ndarray, upper: np.ndarray) -> np.ndarray:
         t[todo] = target
         # a step cubes the error, so after one below 1e-6 nothing is left to gain
         todo = todo[(bad | (np.abs(target - ti) > 1e-6)) & (gap != 0)]
+    t[todo] = np.nan
     return np.exp(t)
 
 
@@ -193,7 +199,7 @@ def np_cdf(x, shape, scale) -> np.ndarray:
     out[ok & (x <= 0)] = 0.0
     out[ok & np.isposinf(x)] = 1.0
     go = ok & (x > 0) & np.isfinite(x)
-    out[go] = _tails(shape[go], x[go] / scale[go])[0]
+    out[go] = np.exp(_log_tails(shape[go], x[go] / scale[go])[0])
     return out
 
 
@@ -204,15 +210,14 @@ def np_quantile(p, shape, scale) -> np.ndarray:
     out[ok & (p == 0)] = 0.0
     out[ok & (p == 1)] = np.inf
     go = ok & (p > 0) & (p < 1)
-    out[go] = _invert(shape[go], p[go], 1.0 - p[go]) * scale[go]
+    out[go] = _invert(shape[go], np.log(p[go]), np.log1p(-p[go])) * scale[go]
     return out
 
 
 def np_quantile_map(x, model_shape, model_scale, obs_shape, obs_scale) -> np.ndarray:
     """Quantile of the observed fit at the model fit's probability of x.
 
-    The probability is kept as two tails, so a large x does not round to 1 and its
-    quantile to infinity.
+    The probability is kept as the logarithms of its two tails, so no x is too large for it.
     """
     x, ms, mc, os_, oc = (
         np.asarray(v, dtype=float) for v in (x, model_shape, model_scale, obs_shape, obs_scale)
@@ -220,12 +225,10 @@ def np_quantile_map(x, model_shape, model_scale, obs_shape, obs_scale) -> np.nda
     out = np.full(x.shape, np.nan)
     ok = np.isfinite(x) & np.isfinite(ms) & np.isfinite(mc) & np.isfinite(os_) & np.isfinite(oc)
     out[ok & (x <= 0)] = 0.0
-    rows = np.flatnonzero(ok & (x > 0))
-    lower, upper = _tails(ms[rows], x[rows] / mc[rows])
-    out[rows] = np.where(lower <= 0, 0.0, np.inf)
-    inner = (lower > 0) & (upper > 0)
-    rows = rows[inner]
-    out[rows] = _invert(os_[rows], lower[inner], upper[inner]) * oc[rows]
+    scaled = np.divide(x, mc, out=np.zeros_like(x), where=ok)
+    out[ok & (x > 0) & (scaled <= 0)] = 0.0  # too small for a number
+    rows = np.flatnonzero(ok & (scaled > 0))
+    out[rows] = _invert(os_[rows], *_log_tails(ms[rows], scaled[rows])) * oc[rows]
     return out
 
 

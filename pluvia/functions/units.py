@@ -10,6 +10,11 @@ from pyspark.sql import functions as F
 from pluvia.config import BIN_COUNT, BIN_DOMAIN, STEP_SECONDS
 
 
+def known(value: Column) -> Column:
+    """The value, NaN as NULL: Spark orders NaN above all numbers, so it would count as rain."""
+    return F.when(~F.isnan(value), value)
+
+
 def rate_to_mm(prate: Column) -> Column:
     """Precipitation rate per second to the total of one 6-hour step."""
     return prate * float(STEP_SECONDS)
@@ -28,15 +33,16 @@ def clamp(mm: Column, tol: float) -> Column:
 def round_step(low: float, high: float, bins: int) -> float:
     """Width of about ``bins`` classes between two values, rounded to 1, 2, 5 or 10 tens.
 
-    A wider step is taken once the raw width is over 2.5 times as near to it
-    as to the step below.
+    A wider step is tried only after the narrower one was taken. It is taken if the raw width is
+    nearer to it than to the step before, whose distance counts 1.5 times, for 5 tens 2.75 times.
     """
     raw = (high - low) / bins
     tens = 10.0 ** math.floor(math.log10(raw))
     step = tens
-    for wider in (2.0, 5.0, 10.0):
-        if wider * tens - raw < 1.5 * (raw - step):
-            step = wider * tens
+    for wider, weight in ((2.0, 1.5), (5.0, 2.75), (10.0, 1.5)):
+        if wider * tens - raw >= weight * (raw - step):
+            break
+        step = wider * tens
     return step
 
 

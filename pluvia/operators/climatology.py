@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pluvia.config import REFORECAST
+from pluvia.functions import units
 
 
 def wet_days(daily: DataFrame, tol: float) -> DataFrame:
-    return daily.filter(F.col("mm") > tol)
+    return daily.filter(units.known(F.col("mm")) > tol)
 
 
 def pool(daily: DataFrame, tol: float = REFORECAST.tol) -> DataFrame:

@@ -56,7 +56,8 @@ def daily_totals(
 ) -> DataFrame:
     """Total mm per issue, cell and local day.
 
-    Partly covered first and last days count as they are. A missing step makes its day NULL.
+    Partly covered first and last days count as they are. A missing step, NULL or NaN, makes its
+    day NULL.
     ``placement='issue_hour'`` starts an issue on the day its hour names instead of the day
     its times name.
     """
@@ -66,7 +67,7 @@ def daily_totals(
         valid = dates.issue_hour_date(F.col("issue_ts"), base, valid, product.shift_hours)
     elif placement != "valid_time":
         raise ValueError(f"unknown placement: {placement}")
-    mm = units.rate_to_mm(F.col("prate"))
+    mm = units.known(units.rate_to_mm(F.col("prate")))
     rows = steps.select("issue_ts", "cell_id", valid.alias("valid_date"), mm.alias("mm"))
     totals = rows.groupBy("issue_ts", "cell_id", "valid_date").agg(whole_sum("mm").alias("mm"))
     return totals.select(

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pluvia.config import IDW_POINTS, IDW_POWER
+from pluvia.functions import units
 from pluvia.functions.spatial import np_distance, ring_edges
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -21,7 +22,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 TILE_SIDE = 32  # grid points along one side of a tile
 STATIONS_PER_BLOCK = 1024
 DAYS_PER_BLOCK = 32
-BROADCAST_POINTS = 500_000  # grid points (16 bytes each) that may go to every executor
+TILES_PER_GROUP = 4  # tiles of one task, at most 4,096 points
 
 
 @dataclass(frozen=True)
@@ -58,16 +59,26 @@ def ring_box(basins: DataFrame) -> tuple[float, float, float, float]:
     return tuple(points.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first())
 
 
+def _middle(grid: Grid) -> dict[str, Column]:
+    """Place of a point from its column and row."""
+    return {
+        "x": F.lit(grid.west) + (F.col("ix") + 0.5) * grid.step,
+        "y": F.lit(grid.south) + (F.col("iy") + 0.5) * grid.step,
+    }
+
+
+def _placed(points: DataFrame, grid: Grid) -> DataFrame:
+    tile = F.floor(F.col("iy") / TILE_SIDE) * grid.tiles_across + F.floor(F.col("ix") / TILE_SIDE)
+    return points.select(
+        "ix", "iy", tile.alias("tile"), *[c.alias(n) for n, c in _middle(grid).items()]
+    )
+
+
 def regular_grid(spark: SparkSession, grid: Grid) -> DataFrame:
     """The grid's points with their column, row and tile."""
     ix, iy = F.col("id") % grid.nx, F.floor(F.col("id") / grid.nx)
     points = spark.range(grid.nx * grid.ny).select(ix.alias("ix"), iy.alias("iy"))
-    tile = F.floor(F.col("iy") / TILE_SIDE) * grid.tiles_across + F.floor(F.col("ix") / TILE_SIDE)
-    return points.select(
-        "ix", "iy", tile.alias("tile"),
-        (F.lit(grid.west) + (F.col("ix") + 0.5) * grid.step).alias("x"),
-        (F.lit(grid.south) + (F.col("iy") + 0.5) * grid.step).alias("y"),
-    )
+    return _placed(points, grid)
 
 
 def _row_at(y: Column, grid: Grid) -> Column:
@@ -80,9 +91,11 @@ def inside_points(basins: DataFrame, grid: Grid) -> DataFrame:
     Each outline edge goes to the grid rows it spans and gives the place it crosses there.
     Between an odd crossing of a row and the next one the row is inside. The work follows
     the outlines and the points inside, not the points times the edges.
+
+    The rings of one name are one outline: a ring inside another is a hole, one beside it a part.
     """
     edge = basins.select(
-        F.monotonically_increasing_id().alias("basin"), ring_edges(F.col("ring")).alias("edges")
+        F.coalesce("name", F.lit("")).alias("basin"), ring_edges(F.col("ring")).alias("edges")
     ).select("basin", F.explode("edges").alias("edge")).select("basin", "edge.*")
     last_row, last_column = F.lit(grid.ny - 1), F.lit(grid.nx - 1)
     first = F.greatest(_row_at(F.least("y1", "y2"), grid), F.lit(0))
@@ -121,41 +134,63 @@ def inside_points(basins: DataFrame, grid: Grid) -> DataFrame:
     )
 
 
-def basin_mask(points: DataFrame, basins: DataFrame, grid: Grid) -> DataFrame:
-    """The grid points inside at least one basin."""
-    return points.join(inside_points(basins, grid), ["ix", "iy"], "left_semi")
+def basin_mask(basins: DataFrame, grid: Grid) -> DataFrame:
+    """The grid points inside at least one basin, as ``regular_grid`` has them."""
+    return _placed(inside_points(basins, grid), grid)
 
 
-def _partial_weights(power: float, metric: str):
-    """Weighted sums of one tile of points over one block of stations and days."""
+def _grid_sums(grid: Grid, power: float, metric: str):
+    """Weighted means of the points of one group of tiles over all its stations, a block of days at a
+    time. The points of a key come before its station blocks, which are added up as they pass."""
+
+    def result(key, ix, iy, sums):
+        first = key[1] * DAYS_PER_BLOCK
+        num, den, hit_mm, hit_n = sums
+        with np.errstate(divide="ignore", invalid="ignore"):
+            mm = np.where(hit_n > 0, hit_mm / hit_n, num / den)
+        point, day = np.nonzero(den + hit_n > 0)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array((first + day).astype(np.int32)), pa.array(ix[point]),
+                pa.array(iy[point]), pa.array(mm[point, day]),
+            ],
+            ["day", "ix", "iy", "mm"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key = ix = iy = sums = None
         for batch in batches:
-            for i in range(batch.num_rows):
-                points = batch.column("points")[i].values
-                block = batch.column("stations")[i].values
-                px, py = (points.field(c).to_numpy() for c in ("x", "y"))
+            heads = batch.select(["group", "day_block"]).to_pydict()
+            for i, row in enumerate(zip(heads["group"], heads["day_block"])):
+                if row != key:
+                    if sums is not None:
+                        yield result(key, ix, iy, sums)
+                    key, ix, iy, sums = row, np.empty(0, np.int64), np.empty(0, np.int64), None
+                if batch["points"][i].is_valid:
+                    found = batch["points"][i].values
+                    ix = np.concatenate([ix, found.field("ix").to_numpy()])
+                    iy = np.concatenate([iy, found.field("iy").to_numpy()])
+                    continue
+                if not len(ix):
+                    continue
+                if sums is None:
+                    sums = np.zeros((4, len(ix), DAYS_PER_BLOCK))
+                block = batch["stations"][i].values
+                px = grid.west + (ix + 0.5) * grid.step
+                py = grid.south + (iy + 0.5) * grid.step
                 place = np.stack([block.field(c).to_numpy() for c in ("lon", "lat")])
-                day = block.field("day").to_numpy()
+                day = block.field("day").to_numpy() - key[1] * DAYS_PER_BLOCK
                 place, station = np.unique(place, axis=1, return_inverse=True)
-                days, column = np.unique(day, return_inverse=True)
-                total = np.zeros((place.shape[1], len(days)))
+                total = np.zeros((place.shape[1], DAYS_PER_BLOCK))
                 count = np.zeros_like(total)
-                total[station.ravel(), column] = block.field("mm").to_numpy()
-                count[station.ravel(), column] = block.field("n").to_numpy()
+                total[station.ravel(), day] = block.field("mm").to_numpy()
+                count[station.ravel(), day] = block.field("n").to_numpy()
                 d = np_distance(px[:, None], py[:, None], place[0], place[1], metric)
                 hit = (d == 0).astype(float)
                 weight = np.where(d == 0, 0.0, 1.0 / np.where(d == 0, 1.0, d) ** power)
-                shape = len(px), len(days)
-                columns = [
-                    np.broadcast_to(days, shape), np.repeat(px, len(days)),
-                    np.repeat(py, len(days)), weight @ total, weight @ count,
-                    hit @ total, hit @ count,
-                ]
-                arrays = [pa.array(np.ascontiguousarray(c).ravel()) for c in columns]
-                yield pa.RecordBatch.from_arrays(
-                    arrays, ["day", "x", "y", "num", "den", "hit_mm", "hit_n"]
-                )
+                sums += np.stack([weight @ total, weight @ count, hit @ total, hit @ count])
+        if sums is not None:
+            yield result(key, ix, iy, sums)
 
     return run
 
@@ -166,54 +201,54 @@ def idw(
     grid: Grid,
     power: float = IDW_POWER,
     metric: str = "ellipsoid",
-    n_stations: int | None = None,
     stations_per_block: int = STATIONS_PER_BLOCK,
+    tiles_per_group: int = TILES_PER_GROUP,
 ) -> DataFrame:
     """Inverse-distance weighted mean of all stations with a value, per day and point.
 
-    ``station_days`` has ``location, lon, lat, valid_date, mm``; ``n_stations`` saves counting
-    its stations. A tile of at most 32 x 32 points meets a block of about
-    ``stations_per_block`` stations and 32 days as one row, and the weights are applied as a
-    matrix product. Blocks of the same day add up, so no task needs all stations. A point on
-    a station takes that station's value.
+    ``station_days`` has ``location, lon, lat, valid_date, mm``; missing and infinite values are left
+    out. A task has the points of one group of tiles and 32 days, and adds up all stations, which
+    pass it in blocks of about ``stations_per_block`` places: a block is sent once for each group
+    and nothing is shuffled after. A point on a station takes that station's value.
     """
-    spark = station_days.sparkSession
-    known = station_days.filter(F.col("mm").isNotNull())
-    if n_stations is None:
-        n_stations = known.select("location").distinct().count()
-    blocks = max(1, -(-n_stations // stations_per_block))
+    known = station_days.filter(F.abs(units.known(F.col("mm"))) < float("inf"))
     # one row per place and day, which bounds a block's array
     place_days = known.groupBy("lon", "lat", F.unix_date("valid_date").alias("day")).agg(
         F.sum("mm").alias("mm"), F.count("mm").cast("double").alias("n")
     )
+    places = place_days.agg(F.countDistinct("lon", "lat").alias("n"))
+    blocks = places.select(F.greatest(F.ceil(F.col("n") / stations_per_block), F.lit(1))).scalar()
+    day_block = F.floor(F.col("day") / DAYS_PER_BLOCK)
     stations = place_days.groupBy(
-        F.floor(F.col("day") / DAYS_PER_BLOCK).alias("day_block"),
-        F.pmod(F.xxhash64("lon", "lat"), F.lit(blocks)).alias("station_block"),
+        day_block.alias("day_block"),
+        F.pmod(F.xxhash64("lon", "lat"), blocks).alias("station_block"),
     ).agg(F.collect_list(F.struct("lon", "lat", "day", "mm", "n")).alias("stations"))
-    last_tile = F.lit(grid.tiles - 1).cast("bigint")
-    work = stations.withColumn(
-        "tile", F.explode(F.sequence(F.lit(0).cast("bigint"), last_tile))
+    group = F.floor(F.col("tile") / tiles_per_group)
+    tiles = points.groupBy("tile").agg(F.collect_list(F.struct("ix", "iy")).alias("points"))
+    tiles = tiles.withColumn("group", group)
+    groups = F.array_sort(F.collect_set("group"))
+    each_group = F.explode(tiles.agg(groups).scalar())
+    each_day = F.explode(place_days.agg(F.array_sort(F.collect_set(day_block))).scalar())
+    kinds = "array<struct<ix:bigint,iy:bigint>>", (
+        "array<struct<lon:double,lat:double,day:int,mm:double,n:double>>"
     )
-    tiles = points.groupBy("tile").agg(F.collect_list(F.struct("x", "y")).alias("points"))
-    if grid.nx * grid.ny <= BROADCAST_POINTS:
-        # few tiles: spread by tile and block, as a fixed count that AQE does not merge
-        tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        work = work.repartition(tasks, "tile", "day_block", "station_block")
-        tiles = F.broadcast(tiles)
-    partial = (
-        work.join(tiles, "tile")
-        .select("points", "stations")
-        .mapInArrow(
-            _partial_weights(power, metric),
-            "day int, x double, y double, num double, den double, hit_mm double, hit_n double",
+    work = stations.select(
+        each_group.alias("group"), "day_block", F.lit(1).alias("turn"),
+        F.lit(None).cast(kinds[0]).alias("points"), F.col("stations").cast(kinds[1]),
+    ).unionByName(
+        tiles.select(
+            "group", each_day.alias("day_block"), F.lit(0).alias("turn"),
+            F.col("points").cast(kinds[0]), F.lit(None).cast(kinds[1]).alias("stations"),
         )
     )
-    if blocks > 1:
-        sums = [F.sum(c).alias(c) for c in ("num", "den", "hit_mm", "hit_n")]
-        partial = partial.groupBy("day", "x", "y").agg(*sums)
-    mm = F.when(F.col("hit_n") > 0, F.col("hit_mm") / F.col("hit_n")).otherwise(
-        F.col("num") / F.col("den")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = work.repartition(tasks, "group", "day_block").sortWithinPartitions(
+        "group", "day_block", "turn"
+    )
+    sums = ordered.mapInArrow(
+        _grid_sums(grid, power, metric), "day int, ix bigint, iy bigint, mm double"
     )
-    return partial.select(
-        F.date_from_unix_date("day").alias("valid_date"), "x", "y", mm.alias("mm")
+    return sums.select(
+        F.date_from_unix_date("day").alias("valid_date"),
+        *[c.alias(n) for n, c in _middle(grid).items()], "mm",
     )

@@ -16,7 +16,8 @@ def unpivot(wide: DataFrame, date_column: str = "DateTime") -> DataFrame:
     quoted = [F.col(f"`{c}`").alias(c.replace(".", " ")) for c in stations]
     renamed = wide.select(F.col(date_column).alias("obs_date"), *quoted)
     names = [c.replace(".", " ") for c in stations]
-    return renamed.unpivot("obs_date", names, "location", "mm")
+    long = renamed.unpivot("obs_date", names, "location", "mm")
+    return long.withColumn("mm", units.known(F.col("mm")))
 
 
 def parse_wide_dates(wide: DataFrame, date_column: str = "DateTime") -> DataFrame:
@@ -38,7 +39,7 @@ def date_range(
 
 def month_wet(obs: DataFrame, month: int | None = None, tol: float = 0.0) -> DataFrame:
     """Wet observations with their month; of one month if given. All stations at once."""
-    wet = obs.filter(F.col("mm") > tol).withColumn("month", F.month("obs_date"))
+    wet = obs.filter(units.known(F.col("mm")) > tol).withColumn("month", F.month("obs_date"))
     return wet if month is None else wet.filter(F.col("month") == month)
 
 
@@ -52,4 +53,4 @@ def clamped(obs: DataFrame, tol: float) -> DataFrame:
 
 
 def maximum(obs: DataFrame, *keys: str) -> DataFrame:
-    return obs.groupBy(*keys).agg(F.max("mm").alias("max_mm"))
+    return obs.groupBy(*keys).agg(F.max(units.known(F.col("mm"))).alias("max_mm"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.functions.spatial import squared_degrees
-from pluvia.session import fits, shared_dir
+from pluvia.session import shared_dir
 
 CELLS_AS_ARRAY = 4096  # up to this many cells travel as one array
 LEAF_BITS = 6  # a leaf of the tree has 2^6 cells
@@ -26,19 +26,20 @@ def nearest_cell(
     set is searched through a tree of boxes. Both are exact and neither pairs rows.
     """
     stations, cells = (df.dropna(subset=["lon", "lat"]) for df in (stations, cells))
-    if fits(cells, max_array_cells):
-        return _nearest_in_array(stations, cells)
+    few = cells.select("cell_id", "lon", "lat").take(max_array_cells + 1)
+    if len(few) <= max_array_cells:
+        kind = cells.schema["cell_id"].dataType.simpleString()
+        return _nearest_in_array(stations, sorted(few), kind)
     return _nearest_in_tree(stations, cells)
 
 
-def _nearest_in_array(stations: DataFrame, cells: DataFrame) -> DataFrame:
+def _nearest_in_array(stations: DataFrame, rows: list, kind: str) -> DataFrame:
     """Batches of stations against all of the few cells, which travel with the function."""
-    rows = sorted(cells.select("cell_id", "lon", "lat").collect())
     ids, lon, lat = (np.array(c) for c in zip(*rows)) if rows else (np.empty(0),) * 3
 
-    @F.pandas_udf(f"cell_id {cells.schema['cell_id'].dataType.simpleString()}, distance double")
+    @F.pandas_udf(f"cell_id {kind}, distance double")
     def search(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        found = np.empty(len(x), dtype=np.int64)
+        found = np.empty(len(x), dtype=ids.dtype)
         distance = np.empty(len(x))
         for i in range(0, len(x), 512):
             dx = x.to_numpy()[i : i + 512, None] - lon
@@ -50,7 +51,7 @@ def _nearest_in_array(stations: DataFrame, cells: DataFrame) -> DataFrame:
         return pd.DataFrame({"cell_id": found, "distance": distance})
 
     if not rows:
-        return stations.limit(0).select("*", F.lit(None).cast("int").alias("cell_id"),
+        return stations.limit(0).select("*", F.lit(None).cast(kind).alias("cell_id"),
                                         F.lit(None).cast("double").alias("distance"))
     search = search.asNondeterministic()  # else a filter on its result runs it again
     found = stations.withColumn("best", search("lon", "lat"))
@@ -185,12 +186,21 @@ def _nearest_in_tree(stations: DataFrame, cells: DataFrame) -> DataFrame:
 def station_series(stations: DataFrame, consensus: DataFrame) -> DataFrame:
     """The consensus series of each station's cell; ``stations`` carries ``cell_id``.
 
-    Few cells may serve very many stations, and the result is far larger than either side, so
-    the stations are first spread over a fixed number of tasks, which AQE does not merge.
+    Few cells may serve very many stations, so a cell's series is copied for as many salts as it
+    takes to keep all tasks busy, and its stations are spread over them. A station whose cell has no
+    series stays, with a NULL day.
     """
     tasks = int(stations.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = stations.select("location", "cell_id").repartition(tasks, "location")
-    return spread.join(consensus.select("cell_id", "valid_date", "mm"), "cell_id")
+    near = stations.select("location", "cell_id")
+    cells = near.agg(F.countDistinct("cell_id").alias("n"))
+    salts = cells.select(F.ceil(F.lit(tasks) / F.greatest("n", F.lit(1))).cast("int")).scalar()
+    spread = near.withColumn("salt", F.pmod(F.hash("location"), salts))
+    copies = consensus.select("cell_id", "valid_date", "mm").withColumn(
+        "salt", F.explode(F.sequence(F.lit(0), salts - 1))
+    )
+    return spread.join(copies, ["cell_id", "salt"], "left").drop("salt").select(
+        "cell_id", "location", "valid_date", "mm"
+    )
 
 
 def forecast_export(corrected: DataFrame, stations: DataFrame, days: list) -> DataFrame:

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.config import WET_FORECAST, WET_OBSERVED
+from pluvia.functions import units
 
 
 def compare_outer(forecast: DataFrame, obs: DataFrame, *keys: str) -> DataFrame:
     """Both series on one axis; a day only one of them has keeps NULL for the other."""
-    left = forecast.select(*keys, F.col("mm").alias("forecast"))
+    left = forecast.select(*keys, units.known(F.col("mm")).alias("forecast"))
     right = obs.withColumnRenamed("obs_date", "valid_date").select(
-        *keys, F.col("mm").alias("observed")
+        *keys, units.known(F.col("mm")).alias("observed")
     )
     return left.join(right, list(keys), "full_outer")
 
 
 def pairs(forecast: DataFrame, obs: DataFrame) -> DataFrame:
-    """Forecast and observation of the same station and day."""
-    left = forecast.select("location", "valid_date", F.col("mm").alias("operational"))
+    """Forecast and observation of the same station and day; NaN counts as missing."""
+    left = forecast.select("location", "valid_date", units.known(F.col("mm")).alias("operational"))
     right = obs.select(
-        "location", F.col("obs_date").alias("valid_date"), F.col("mm").alias("registro")
+        "location", F.col("obs_date").alias("valid_date"),
+        units.known(F.col("mm")).alias("registro"),
     )
     return left.join(right, ["location", "valid_date"])
 
@@ -76,25 +80,39 @@ def continuous_scores(paired: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def ecdf(sample: DataFrame, *keys: str, bin_width: float = 0.1) -> DataFrame:
+def ecdf(sample: DataFrame, *keys: str, bins: int = 64) -> DataFrame:
     """Empirical distribution function at each distinct value of ``mm``.
 
-    Equal values are counted before the shuffle. Counts run within (key, value bin) and are
-    shifted by the sum of the bins below, so even one key with most rows spreads over tasks.
+    Equal values are counted before the shuffle. Each key's distinct values are cut at its own
+    quantiles into about ``bins`` ranges of like size, whatever their scale; counts run within a
+    range and are shifted by the ranges below, so even one key with most rows spreads over tasks.
     """
-    known = sample.filter(F.col("mm").isNotNull()).withColumn(
-        "bin", F.floor(F.col("mm") / bin_width)
-    )
-    counts = known.groupBy(*keys, "bin", "mm").agg(F.count("*").alias("n"))
+    mm = units.known(F.col("mm"))
+    group = ("group_", *keys)  # joins need a column even where there is one group only
+    known = sample.filter(mm.isNotNull()).withColumn("group_", F.lit(0))
+    counts = known.groupBy(*group, "mm").agg(F.count("*").alias("n"))
+    shares = [i / bins for i in range(1, bins)]
+    cuts = counts.groupBy(*group).agg(F.percentile_approx("mm", shares, 1000).alias("cuts"))
+    at = F.size(F.filter("cuts", lambda c: c < F.col("mm")))
+    placed = counts.join(cuts, list(group)).withColumn("bin", at).drop("cuts")
+    by_bin = Window.partitionBy(*group).orderBy("bin")
     up_to = Window.unboundedPreceding, Window.currentRow
-    by_bin = Window.partitionBy(*keys).orderBy("bin")
-    bins = known.groupBy(*keys, "bin").agg(F.count("*").alias("in_bin"))
-    bins = bins.select(
-        *keys, "bin",
+    sizes = placed.groupBy(*group, "bin").agg(F.sum("n").alias("in_bin"))
+    sizes = sizes.select(
+        *group, "bin",
         (F.sum("in_bin").over(by_bin.rowsBetween(*up_to)) - F.col("in_bin")).alias("below"),
-        F.sum("in_bin").over(Window.partitionBy(*keys)).alias("total"),
+        F.sum("in_bin").over(Window.partitionBy(*group)).alias("total"),
     )
-    inside = Window.partitionBy(*keys, "bin").orderBy("mm").rowsBetween(*up_to)
-    running = counts.withColumn("running", F.sum("n").over(inside))
+    inside = Window.partitionBy(*group, "bin").orderBy("mm").rowsBetween(*up_to)
+    running = placed.withColumn("running", F.sum("n").over(inside))
     share = (F.col("below") + F.col("running")) / F.col("total")
-    return running.join(bins, [*keys, "bin"]).select(*keys, "mm", share.alias("f"))
+    return running.join(sizes, [*group, "bin"]).select(*keys, "mm", share.alias("f"))
+
+
+def labelled_ecdf(samples: dict[str, DataFrame], *keys: str) -> DataFrame:
+    """Distribution functions of several samples (``keys``, ``mm``) under a ``sample`` label."""
+    stacked = reduce(
+        DataFrame.unionByName,
+        [df.select(F.lit(name).alias("sample"), *keys, "mm") for name, df in samples.items()],
+    )
+    return ecdf(stacked, "sample", *keys)

@@ -8,10 +8,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pluvia import schemas
 from pluvia.config import (
     BOUNDS_DASHBOARD,
     BOUNDS_REALTIME,
     IDW_POINTS,
+    OPERATIONAL,
     REALTIME,
     REFORECAST,
     VERIFY_END,
@@ -108,25 +110,28 @@ def corrected_grids(
 ) -> DataFrame:
     """Corrected station forecasts on the basins' grid, a value per day and point inside."""
     grid = interpolation.Grid.over(interpolation.ring_box(basins), n)
-    spark = corrected.sparkSession
-    points = interpolation.basin_mask(interpolation.regular_grid(spark, grid), basins, grid)
+    points = interpolation.basin_mask(basins, grid)
     located = corrected.join(stations.select("location", "lat", "lon"), "location").select(
         "location", "lon", "lat", "valid_date", F.col("mm_corrected").alias("mm")
     )
-    return interpolation.idw(located, points, grid, n_stations=stations.count())
+    return interpolation.idw(located, points, grid)
 
 
 def build_brick(
     spark: SparkSession, forecast_path: str, product: Product, out: str,
-    placement: str = "valid_time", **issues,
+    placement: str = "valid_time", first_issue: dt.datetime | None = None,
+    last_issue: dt.datetime | None = None, whole: bool = False,
 ) -> DataFrame:
     """Daily totals of one product on the inner grid, written and read back.
 
-    ``issues`` may bound the issues read (``first_issue``, ``last_issue``).
+    Only the given range of issues is read, and only that is returned: the folder may hold other
+    issues from before. With ``whole`` they go.
     """
-    steps = daily.subgrid(readers.forecast(spark, forecast_path, product.name, **issues))
-    writers.daily(daily.daily_totals(steps, product, placement), out)
-    return readers.stage(spark, out)
+    issues = first_issue, last_issue
+    steps = daily.subgrid(readers.forecast(spark, forecast_path, product.name, *issues))
+    writers.daily(daily.daily_totals(steps, product, placement), out, whole)
+    stored = readers.stage(spark, out, schemas.FORECAST_DAILY_STORED)
+    return readers.of_issues(stored.filter(F.col("product") == product.name), *issues)
 
 
 def build_reforecast(spark: SparkSession, forecast_path: str, out: str) -> None:
@@ -137,33 +142,77 @@ def build_reforecast(spark: SparkSession, forecast_path: str, out: str) -> None:
 
 
 def build_consensus(
-    spark: SparkSession, forecast_path: str, product: Product, out: str
+    spark: SparkSession, forecast_path: str, product: Product, out: str,
+    first_issue: dt.datetime | None = None, last_issue: dt.datetime | None = None,
+    whole: bool = False,
 ) -> DataFrame:
-    """Brick and consensus of one product."""
-    brick = build_brick(spark, forecast_path, product, f"{out}/daily")
+    """Brick and consensus of one product from a range of issues."""
+    brick = build_brick(
+        spark, forecast_path, product, f"{out}/daily",
+        first_issue=first_issue, last_issue=last_issue, whole=whole,
+    )
     writers.stage(vote.consensus(brick, product), f"{out}/consensus")
-    return readers.stage(spark, f"{out}/consensus")
+    return readers.stage(spark, f"{out}/consensus", schemas.CONSENSUS)
+
+
+@dataclass(frozen=True)
+class Verification:
+    """Contingency table, skill scores and continuous scores by station and month."""
+
+    table: DataFrame
+    skill: DataFrame
+    errors: DataFrame
+
+
+def build_verification(
+    spark: SparkSession, forecast_path: str, reforecast: str, obs: DataFrame,
+    stations: DataFrame, cells: DataFrame, out: str, product: Product = OPERATIONAL,
+    bounds: tuple[float, float] = BOUNDS_DASHBOARD,
+    start: dt.date = VERIFY_START, end: dt.date = VERIFY_END,
+) -> Verification:
+    """Consensus, fits and corrected series of a product, each stored once, and their scores.
+
+    Each day is corrected with the fits of its own month and counts in that month's scores.
+    ``reforecast`` is the output folder of ``build_reforecast``.
+    """
+    series = build_consensus(spark, forecast_path, product, out)
+    pool = readers.stage(spark, f"{reforecast}/climatology", schemas.CLIMATOLOGY)
+    fits = stage_fits(spark, fit_all(pool, obs, bounds), out)
+    writers.series(station_forecast(stations, cells, series, fits), f"{out}/corrected")
+    corrected = readers.stage(spark, f"{out}/corrected", schemas.CORRECTED)
+    return Verification(*station_scores(corrected, obs, start, end))
 
 
 def build_realtime(
     spark: SparkSession, forecast_path: str, reforecast: str, obs: DataFrame,
     stations: DataFrame, cells: DataFrame, basins: DataFrame, as_of: dt.date, out: str,
-    *copies: str, n: int = IDW_POINTS,
-) -> None:
-    """Real-time consensus, corrected stations, export table, day list and daily grids.
-
-    ``reforecast`` is the output folder of ``build_reforecast``; ``as_of`` names the month
-    whose fits correct all days.
+    *copies: str, first_issue: dt.datetime, last_issue: dt.datetime | None = None,
+    n: int = IDW_POINTS, bounds: tuple[float, float] = BOUNDS_REALTIME,
+) -> str:
+    """Real-time consensus, corrected stations, export table, day list and daily grids of one run.
+
+    The run has the issues from ``first_issue`` on, whatever else the forecast table holds, and its
+    days start with that issue. ``reforecast`` is the output folder of ``build_reforecast``;
+    ``as_of`` names the month whose fits correct all days: only that month is read and fitted. All
+    goes to a folder of the run below ``out``, which is returned; a run that is repeated replaces it.
     """
-    series = build_consensus(spark, forecast_path, REALTIME, out)
-    pool = readers.stage(spark, f"{reforecast}/climatology")
-    fits = stage_fits(spark, fit_all(pool, obs), out)
-    corrected = station_forecast(stations, cells, series, fits, month=as_of.month)
+    out = f"{out}/run={as_of:%Y%m%d}-{first_issue:%Y%m%d%H}"
+    series = build_consensus(
+        spark, forecast_path, REALTIME, out, first_issue, last_issue, whole=True
+    )
+    month = as_of.month
+    pool = readers.stage(spark, f"{reforecast}/climatology", schemas.CLIMATOLOGY)
+    pool = pool.filter(F.col("month") == month)
+    of_month = obs.filter(F.month("obs_date") == month)
+    fits = stage_fits(spark, fit_all(pool, of_month, bounds), out)
+    corrected = station_forecast(stations, cells, series, fits, month=month)
     writers.series(corrected, f"{out}/stations")
-    corrected = readers.stage(spark, f"{out}/stations")
+    corrected = readers.stage(spark, f"{out}/stations", schemas.CORRECTED)
     first = corrected.agg(F.min("valid_date")).first()[0]
     days = [first + dt.timedelta(days=i) for i in range(REALTIME.horizon_days)]
     export = st.forecast_export(corrected, stations, days)
     writers.forecast_table(export, f"{out}/export", *copies)
     writers.valid_days(st.valid_days(corrected), f"{out}/days")
-    writers.daily_grids(corrected_grids(corrected, stations, basins, n), f"{out}/grids")
+    grids = corrected_grids(corrected, stations, basins, n)
+    writers.stage(grids, f"{out}/grids", "valid_date", whole=True)
+    return out

@@ -20,6 +20,12 @@ FORECAST_6H = _schema(
 # as stored by writers.forecast: the base time of ``units`` is parsed once, on the way in
 FORECAST_STORED = T.StructType([*FORECAST_6H.fields, T.StructField("base_ts", _TS)])
 FORECAST_DAILY = _schema(product=_S, issue_ts=_TS, cell_id=_I, valid_date=_DATE, mm=_D)
+# as stored by writers.daily
+FORECAST_DAILY_STORED = T.StructType([*FORECAST_DAILY.fields, T.StructField("issue_month", _S)])
+# as stored by a stream: partial totals, in folders by day and by the part that brought them
+DAILY_PARTS = _schema(
+    product=_S, issue_ts=_TS, cell_id=_I, mm=_D, has_gap=T.BooleanType(), valid_date=_DATE, part=_S
+)
 CLIMATOLOGY = _schema(cell_id=_I, month=_I, mm=_D)
 CONSENSUS = _schema(
     product=_S, cell_id=_I, valid_date=_DATE, mm=_D, n_issues=_L, n_wet=_L
@@ -34,7 +40,7 @@ CORRECTED = _schema(location=_S, valid_date=_DATE, mm=_D, mm_corrected=_D)
 PAIRS = _schema(location=_S, valid_date=_DATE, operational=_D, registro=_D)
 BASIN = T.StructType(
     [
-        T.StructField("name", _S),
+        T.StructField("name", _S),  # rings of one name are its parts and holes
         T.StructField("ring", T.ArrayType(_schema(x=_D, y=_D))),
     ]
 )

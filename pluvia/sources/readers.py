@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pluvia import schemas
+from pluvia.config import VARIABLE
 from pluvia.functions import dates, text
-from pluvia.operators import observations
+from pluvia.operators import daily, observations
 
 
 def issue_list(spark: SparkSession, path: str, product: str) -> DataFrame:
@@ -42,14 +43,24 @@ def forecast(
     product: str | None = None,
     first_issue: dt.datetime | None = None,
     last_issue: dt.datetime | None = None,
+    variable: str | None = VARIABLE,
 ) -> DataFrame:
-    """6-hourly gridded forecasts written by ``writers.forecast``.
+    """6-hourly gridded forecasts of one variable, written by ``writers.forecast``.
 
-    With a product or a range of issues only their folders are read.
+    With a product or a range of issues only their folders are read. ``variable=None`` gives all.
     """
     df = spark.read.schema(schemas.FORECAST_STORED).parquet(path)
+    if variable is not None:
+        df = daily.of_variable(df, variable)
     if product is not None:
         df = df.filter(F.col("product") == product)
+    return of_issues(df, first_issue, last_issue)
+
+
+def of_issues(
+    df: DataFrame, first_issue: dt.datetime | None = None, last_issue: dt.datetime | None = None
+) -> DataFrame:
+    """Rows of a range of issues; the table is in folders by ``issue_month``."""
     if first_issue is not None:
         df = df.filter(F.col("issue_ts") >= F.lit(first_issue).cast("timestamp_ntz"))
         df = df.filter(F.col("issue_month") >= first_issue.strftime("%Y-%m"))
@@ -111,10 +122,14 @@ def index_pages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def grid_days(spark: SparkSession, path: str) -> DataFrame:
-    """The days there is a grid for, from the folder names alone."""
-    return spark.read.parquet(path).select("valid_date").distinct().orderBy("valid_date")
+    """The days there is a grid for, from the folder names alone: no file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    day = F.regexp_extract("path", r"/valid_date=(\d{4}-\d{2}-\d{2})/", 1)
+    days = files.select(day.alias("valid_date")).filter("valid_date <> ''").distinct()
+    return days.select(F.to_date("valid_date").alias("valid_date")).orderBy("valid_date")
 
 
-def stage(spark: SparkSession, path: str) -> DataFrame:
-    """A stage output written by ``writers.stage``."""
-    return spark.read.parquet(path)
+def stage(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """A stage output written by ``writers.stage``; with its schema no file is opened to find it."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)

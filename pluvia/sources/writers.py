@@ -12,20 +12,25 @@ from pyspark.sql import functions as F
 from pluvia.functions import dates
 
 
-def stage(df: DataFrame, path: str, *partition_by: str, mode: str = "overwrite") -> None:
-    """A stage output as Parquet; only the partitions present in ``df`` are replaced."""
+def stage(
+    df: DataFrame, path: str, *partition_by: str, mode: str = "overwrite", whole: bool = False
+) -> None:
+    """A stage output as Parquet; only the partitions present in ``df`` are replaced, or with
+    ``whole`` the table."""
     writer = df.hint("rebalance", *partition_by) if partition_by else df
     writer = writer.write.mode(mode)
     if partition_by:
-        writer = writer.partitionBy(*partition_by).option("partitionOverwriteMode", "dynamic")
+        writer = writer.partitionBy(*partition_by).option(
+            "partitionOverwriteMode", "static" if whole else "dynamic"
+        )
     writer.parquet(path)
 
 
-def daily(df: DataFrame, path: str) -> None:
-    """Daily totals in folders by product and issue month."""
+def daily(df: DataFrame, path: str, whole: bool = False) -> None:
+    """Daily totals in folders by product and issue month; ``whole`` as in ``stage``."""
     stage(
         df.withColumn("issue_month", dates.month_label(F.col("issue_ts"))),
-        path, "product", "issue_month",
+        path, "product", "issue_month", whole=whole,
     )
 
 
@@ -58,9 +63,13 @@ def realtime_manifest(manifest: DataFrame, path: str) -> None:
 
 
 def forecast_table(wide: DataFrame, *paths: str) -> None:
-    """The corrected forecast (a row per station) as CSV, to each destination."""
-    for path in paths:
-        wide.orderBy("location").write.mode("overwrite").csv(path, header=True)
+    """The corrected forecast (a row per station) as CSV, to each destination. It is computed for the
+    first one and copied from there."""
+    for i, path in enumerate(paths):
+        rows = wide
+        if i:
+            rows = wide.sparkSession.read.schema(wide.schema).csv(paths[0], header=True)
+        rows.orderBy("location").write.mode("overwrite").csv(path, header=True)
 
 
 def valid_days(days: DataFrame, path: str) -> None:

@@ -1,9 +1,11 @@
+import datetime as dt
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pluvia import config
 from pluvia.functions import gamma
 from pluvia.operators import correction, fitting, verification
 
@@ -164,3 +166,31 @@ def test_quantile_map_uses_the_months_fits(spark):
         ("B", 31): None,
     }
     assert run(1)[("A", 1)] == pytest.approx(6.0)
+
+
+def test_map_beyond_the_smallest_number():
+    """Tails too small for a number still have a quantile, and it keeps rising."""
+    x = np.array([700.0, 800.0, 5000.0, 1e5])
+    one = np.ones(4)
+    same = gamma.np_quantile_map(x, 0.8 * one, one, 0.8 * one, one)
+    assert np.allclose(same, x, rtol=1e-9)
+    other = gamma.np_quantile_map(x, 0.8 * one, one, 2.0 * one, 3.0 * one)
+    assert np.isfinite(other).all() and (np.diff(other) > 0).all()
+
+
+def test_nan_is_no_rain(spark):
+    from pluvia.operators import climatology, consensus, observations, verification
+
+    nan, day = float("nan"), dt.date(2024, 1, 5)
+    issue = [dt.datetime(2024, 1, i) for i in (1, 2, 3)]
+    rows = [("operational", t, 1, day, mm) for t, mm in zip(issue, (2.0, nan, 0.0))]
+    daily = spark.createDataFrame(rows, "product string, issue_ts timestamp_ntz, cell_id int, valid_date date, mm double")
+    r = consensus.vote(consensus.last_issues(daily, 12), config.OPERATIONAL).first()
+    assert (r.mm, r.n_issues, r.n_wet) == (2.0, 2, 1)
+    assert [x.mm for x in climatology.pool(daily).collect()] == [2.0]
+    obs = spark.createDataFrame([("a", day, nan), ("a", dt.date(2024, 1, 6), 3.0)], "location string, obs_date date, mm double")
+    assert observations.month_wet(obs).count() == 1
+    assert observations.maximum(obs, "location").first().max_mm == 3.0
+    forecast = obs.withColumnRenamed("obs_date", "valid_date")
+    table = verification.contingency(verification.pairs(forecast, obs), "location").first()
+    assert (table.n_hit, table.n_excluded) == (1, 1)

@@ -49,17 +49,37 @@ def test_idw_equals_brute_force_for_any_block_size(spark, metric, block):
         assert r.mm == pytest.approx(brute(rows, r.x, r.y, r.valid_date, metric), rel=1e-9)
 
 
-def test_large_grids_join_tiles_without_broadcast(spark, monkeypatch):
+def test_groups_of_tiles_do_not_matter(spark):
     df, _ = station_days(spark, n=12, days=3)
     grid = ip.Grid.over((-74.0, -68.0, -35.0, -31.0), n=3000)
     points = ip.regular_grid(spark, grid)
     few = {(r.valid_date, r.x, r.y): r.mm for r in ip.idw(df, points, grid).collect()}
-    monkeypatch.setattr(ip, "BROADCAST_POINTS", 0)
-    many = {(r.valid_date, r.x, r.y): r.mm for r in ip.idw(df, points, grid).collect()}
+    each = ip.idw(df, points, grid, tiles_per_group=1, stations_per_block=5)
+    many = {(r.valid_date, r.x, r.y): r.mm for r in each.collect()}
     assert few.keys() == many.keys() and len(few) == 3 * grid.nx * grid.ny
     assert all(few[k] == pytest.approx(many[k], rel=1e-12) for k in few)
 
 
+def test_stations_are_shuffled_once(spark):
+    df, _ = station_days(spark, n=12, days=3)
+    grid = small_grid()
+    plan = ip.idw(df, ip.regular_grid(spark, grid), grid)._jdf.queryExecution().executedPlan().toString()
+    assert "mapinarrow" in plan.lower()
+    above = plan[: plan.lower().index("mapinarrow")]
+    assert "Exchange" not in above and "BroadcastExchange" not in plan
+
+
+def test_infinite_and_missing_values_are_left_out(spark):
+    df, rows = station_days(spark, n=10, days=2)
+    bad = [("x", -71.0, -33.0, r[3], v) for r in rows[:1] for v in (float("inf"), float("nan"), None)]
+    more = df.union(spark.createDataFrame(bad, df.schema))
+    grid = small_grid()
+    points = ip.regular_grid(spark, grid)
+    got = {(r.valid_date, r.x, r.y): r.mm for r in ip.idw(more, points, grid).collect()}
+    want = {(r.valid_date, r.x, r.y): r.mm for r in ip.idw(df, points, grid).collect()}
+    assert got == pytest.approx(want, rel=1e-12)
+
+
 def test_point_on_a_station_takes_its_value(spark):
     grid = ip.Grid(west=0.0, south=0.0, step=1.0, nx=3, ny=3)
     rows = [("A", 1.5, 1.5, D(2024, 1, 1), 7.0), ("B", 0.2, 0.3, D(2024, 1, 1), 1.0)]
@@ -117,9 +137,25 @@ def test_mask_equals_brute_force(spark):
     )
     grid = ip.Grid.over((-74.0, -68.0, -35.0, -31.0), n=8000)
     points = ip.regular_grid(spark, grid)
-    kept = {(r.ix, r.iy) for r in ip.basin_mask(points, basins, grid).collect()}
+    found = ip.basin_mask(basins, grid)
+    assert found.exceptAll(points).count() == 0
+    kept = {(r.ix, r.iy) for r in found.collect()}
     expected = {
         (r.ix, r.iy) for r in points.collect() if any(ray(g, r.x, r.y) for g in rings.values())
     }
     assert kept == expected and 0 < len(kept) < grid.nx * grid.ny
     assert ip.ring_box(basins)[0] == -73.9 and ip.ring_box(basins)[3] == 11.0
+
+
+def test_rings_of_one_name_are_parts_and_holes(spark):
+    def square(w, s, side):
+        return [{"x": x, "y": y} for x, y in [(w, s), (w + side, s), (w + side, s + side), (w, s + side)]]
+
+    grid = ip.Grid(west=0.0, south=0.0, step=1.0, nx=20, ny=10)
+    rings = [("a", square(1.0, 1.0, 6.0)), ("a", square(3.0, 3.0, 2.0)), ("a", square(12.0, 1.0, 3.0)),
+             ("b", square(3.0, 3.0, 1.0))]
+    kept = {(r.ix, r.iy) for r in ip.basin_mask(spark.createDataFrame(rings, schemas.BASIN), grid).collect()}
+    big = {(x, y) for x in range(1, 7) for y in range(1, 7)}
+    hole = {(x, y) for x in range(3, 5) for y in range(3, 5)}
+    part = {(x, y) for x in range(12, 15) for y in range(1, 4)}
+    assert kept == (big - hole) | part | {(3, 3)}

@@ -78,9 +78,9 @@ def test_reforecast_then_realtime(spark, inputs):
     assert series.filter((F.col("mm") > 0) & (F.col("mm") <= 0.5)).count() == 0
 
     out, copy = f"{path}/realtime", f"{path}/copy"
-    products.build_realtime(
+    out = products.build_realtime(
         spark, f"{path}/forecast", f"{path}/reforecast", obs, table, cells, basins,
-        D(2017, 6, 4), out, copy, n=2000,
+        D(2017, 6, 4), out, copy, first_issue=T(2017, 6, 1), n=2000,
     )
     corrected = readers.stage(spark, f"{out}/stations").collect()
     assert len(corrected) == 3 * 15
@@ -149,3 +149,55 @@ def test_station_report_and_scores(spark, inputs):
         assert r.accuracy == 1.0
     for r in errors.collect():
         assert r.rmse == 0.0
+
+
+def test_each_run_has_its_own_issues(spark, inputs, tmp_path):
+    """A table that accumulates: other months, another variable, and two runs into one folder."""
+    path, obs, table, cells, basins = inputs
+    march = [T(2017, 7, 3) + dt.timedelta(hours=6 * h) for h in range(4)]
+    new = forecast(spark, "realtime", march, 80, 5)
+    other = new.withColumns({"variable": F.lit("pmax"), "prate": F.col("prate") + 1.0})
+    both = f"{tmp_path}/forecast"
+    june = readers.forecast(spark, f"{path}/forecast", "realtime").drop("base_ts", "issue_month")
+    writers.forecast(june.unionByName(new).unionByName(other), both)
+    products.build_reforecast(spark, f"{path}/forecast", f"{tmp_path}/reforecast")
+    runs = {}
+    for as_of, first in ((D(2017, 6, 4), T(2017, 6, 1)), (D(2017, 7, 3), T(2017, 7, 3))):
+        out = products.build_realtime(
+            spark, both, f"{tmp_path}/reforecast", obs, table, cells, basins, as_of,
+            f"{tmp_path}/out", first_issue=first, n=300,
+        )
+        runs[as_of.month] = out
+    days = {m: readers.stage(spark, f"{o}/consensus").agg(F.min("valid_date"), F.max("valid_date")).first()
+            for m, o in runs.items()}
+    assert tuple(days[6]) == (D(2017, 6, 1), D(2017, 6, 15))
+    assert tuple(days[7]) == (D(2017, 7, 3), D(2017, 7, 17))
+    alone = f"{tmp_path}/alone"
+    writers.forecast(new, alone)
+    want = products.build_consensus(spark, alone, config.REALTIME, f"{tmp_path}/want")
+    got = readers.stage(spark, f"{runs[7]}/consensus")
+    assert got.exceptAll(want).count() == 0 and got.count() == want.count()
+
+
+def test_run_reads_its_months_only(spark, inputs):
+    path, *_ = inputs
+    steps = readers.forecast(spark, f"{path}/forecast", "realtime", T(2017, 6, 2), T(2017, 6, 3))
+    plan = steps._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :]
+    assert "issue_month" in filters and "2017-06" in filters and "product" in filters
+
+
+def test_verification_end_to_end(spark, inputs, tmp_path):
+    path, obs, table, cells, _ = inputs
+    products.build_reforecast(spark, f"{path}/forecast", f"{tmp_path}/reforecast")
+    recent = obs.withColumn("obs_date", F.date_add("obs_date", 6200))
+    found = products.build_verification(
+        spark, f"{path}/forecast", f"{tmp_path}/reforecast", obs.unionByName(recent), table, cells,
+        str(tmp_path), config.REALTIME, start=D(2017, 6, 1), end=D(2017, 6, 15),
+    )
+    assert {(r.location, r.month) for r in found.table.collect()} == {
+        (s.location, 6) for s in table.collect()
+    }
+    counted = found.table.select(F.expr("n_hit + n_miss + n_fa + n_cn + n_excluded").alias("n")).collect()
+    assert all(0 < r.n <= 15 for r in counted)
+    assert found.skill.count() == found.errors.count() == 3

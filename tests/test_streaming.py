@@ -4,10 +4,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pluvia.config import OPERATIONAL
+from pluvia import schemas
+from pluvia.config import OPERATIONAL, REALTIME
 from pluvia.operators import consensus as vote
 from pluvia.operators.daily import daily_totals
-from pluvia.sources import writers
 from pluvia.streaming import ingest
 
 SCHEMA = "issue_ts timestamp_ntz, cell_id int, step int, prate double"
@@ -29,6 +29,10 @@ def batch_tables(spark, issues):
     return daily, vote.vote(vote.last_issues(daily, OPERATIONAL.last_n), OPERATIONAL)
 
 
+def stored_votes(spark, path, product=OPERATIONAL):
+    return spark.read.schema(schemas.CONSENSUS).parquet(path).filter(F.col("product") == product.name)
+
+
 def rounded(df):
     rows = df.select(*sorted(df.columns)).collect()
     plain = [tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in rows]
@@ -65,21 +69,79 @@ def test_any_arrival_order_gives_the_batch_result(spark, tmp_path, schema):
     run(spark, landing, out, schema)
     daily, consensus = batch_tables(spark, issues)
     assert rounded(ingest.read_daily(spark, f"{out}/daily")) == rounded(daily)
-    assert rounded(spark.read.parquet(f"{out}/consensus")) == rounded(consensus)
-    assert len(list((tmp_path / "out" / "daily").glob("batch_id=*"))) > 5
+    assert rounded(stored_votes(spark, f"{out}/consensus")) == rounded(consensus)
+    parts = {p.name for p in (tmp_path / "out" / "daily").glob("valid_date=*/part=*")}
+    assert len(parts) > 5
+
+
+def test_filled_like_the_batch(spark, tmp_path, schema):
+    issues = [issue_rows(1)[0], [(dt.datetime(2024, 2, 20), 3, 0, 1.0)]]
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for issue in issues:
+        land(spark, issue, landing)
+    run(spark, landing, out, schema)
+    steps = spark.createDataFrame([r for i in issues for r in i], SCHEMA)
+    ends = dt.date(2023, 12, 31), dt.date(2024, 2, 29)
+    want = vote.consensus(daily_totals(steps, OPERATIONAL), OPERATIONAL, *ends)
+    got = ingest.read_consensus(spark, f"{out}/consensus", OPERATIONAL, *ends)
+    assert rounded(got) == rounded(want) and got.count() == 3 * 61
+
+
+def test_new_checkpoint_and_other_product_add_to_the_tables(spark, tmp_path, schema):
+    issues = issue_rows(6)
+    out = str(tmp_path / "out")
+    for i, some in enumerate((issues[:3], issues[3:])):
+        for issue in some:
+            land(spark, issue, f"{tmp_path}/in{i}")
+        steps = ingest.forecast_stream(spark, f"{tmp_path}/in{i}", schema)
+        ingest.start_daily(
+            steps, OPERATIONAL, f"{out}/daily", f"{tmp_path}/checkpoint{i}", f"{out}/consensus"
+        ).awaitTermination()
+    steps = ingest.forecast_stream(spark, f"{tmp_path}/in0", schema)
+    ingest.start_daily(
+        steps, REALTIME, f"{out}/daily", f"{tmp_path}/checkpoint2", f"{out}/consensus"
+    ).awaitTermination()
+    daily, consensus = batch_tables(spark, issues)
+    stored = ingest.read_daily(spark, f"{out}/daily")
+    assert rounded(stored.filter("product = 'operational'")) == rounded(daily)
+    assert rounded(stored_votes(spark, f"{out}/consensus")) == rounded(consensus)
+    few = daily_totals(spark.createDataFrame([r for i in issues[:3] for r in i], SCHEMA), REALTIME)
+    assert rounded(stored.filter("product = 'realtime'")) == rounded(few)
+
+
+def test_batch_without_rows(spark, tmp_path, schema):
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    land(spark, [], landing)
+    run(spark, landing, out, schema)
+    assert ingest.read_daily(spark, f"{out}/daily").count() == 0
+    issues = issue_rows(2)
+    land(spark, issues[0] + issues[1], landing)
+    run(spark, landing, out, schema)
+    assert rounded(ingest.read_daily(spark, f"{out}/daily")) == rounded(batch_tables(spark, issues)[0])
+
+
+def test_compacted_parts_add_up_alike(spark, tmp_path, schema):
+    issues = issue_rows(6)
+    landing, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for issue in issues:
+        land(spark, issue, landing)
+    run(spark, landing, out, schema)
+    ingest.compact(spark, f"{out}/daily", f"{out}/compact")
+    assert {p.name for p in (tmp_path / "out" / "compact").glob("*/part=*")} == {"part=compacted"}
+    one, two = (ingest.read_daily(spark, f"{out}/{x}") for x in ("daily", "compact"))
+    assert rounded(one) == rounded(two)
 
 
 def test_repeated_batch_changes_nothing(spark, tmp_path):
     issues = issue_rows(4)
     daily_path, out = str(tmp_path / "daily"), str(tmp_path / "consensus")
-    days = [r[0] for r in batch_tables(spark, issues)[0].select("valid_date").distinct().collect()]
     for _ in range(2):
         steps = spark.createDataFrame([r for i in issues for r in i], SCHEMA)
-        writers.stage(ingest._partials(steps, OPERATIONAL), f"{daily_path}/batch_id=0", "valid_date")
-        ingest.update_consensus(spark, OPERATIONAL, daily_path, out, days)
+        ingest.write_partials(ingest.partials(steps, OPERATIONAL, "part-0"), daily_path)
+        ingest.update_consensus(spark, OPERATIONAL, daily_path, out, "part-0")
     daily, consensus = batch_tables(spark, issues)
     assert rounded(ingest.read_daily(spark, daily_path)) == rounded(daily)
-    assert rounded(spark.read.parquet(out)) == rounded(consensus)
+    assert rounded(stored_votes(spark, out)) == rounded(consensus)
 
 
 def test_missing_step_in_one_part_makes_the_day_null(spark, tmp_path, schema):

@@ -81,3 +81,14 @@ def test_counts_cover_at_most_the_pairs(spark):
     )
     row = verification.contingency(df, "location").first()
     assert row.n_hit + row.n_miss + row.n_fa + row.n_cn <= 500
+
+
+def test_ecdf_of_any_scale(spark):
+    """All values of a key below 0.1, and a key over many orders: both are cut into ranges."""
+    rows = [("low", i / 1e5) for i in range(3000)] + [("wide", float(10 ** (i / 100))) for i in range(900)]
+    sample = spark.createDataFrame(rows * 2, "location string, mm double")
+    got = {(r.location, r.mm): r.f for r in verification.ecdf(sample, "location").collect()}
+    for name, n in (("low", 3000), ("wide", 900)):
+        values = sorted(v for k, v in rows if k == name)
+        for i in range(0, n, 37):
+            assert got[name, values[i]] == pytest.approx((i + 1) / n)
