@@ -1,8 +1,8 @@
 """BPE encoding by forced boundaries, and decoding.
 
 Two neighbouring bytes that no token of the vocabulary holds side by side can never be merged: the
-text is cut there, each fragment is merged on its own, and the ids are concatenated. Fragments recur,
-so a worker remembers them by word.
+text is cut there, each fragment is merged on its own, and the ids are concatenated. Words recur, so a
+worker remembers their ids.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +26,10 @@ from pluvia.llm.shared import text_of
 from pluvia.llm.vocabularies import Memory, well_known
 
 IDS = "<u4"
+#: Words, and stretches without spaces, that a worker remembers; twice as many at most in memory.
+REMEMBERED = 150_000
+#: Characters of text whose ids and decoded text are held at once; a longer text is held whole.
+STEP = 1 << 20
 
 
 def byte_letters() -> list[str]:
@@ -77,9 +82,8 @@ class ForcedBoundaryBpe:
         self.tokens = [""] * (max([*vocab.values(), *self.added.values()]) + 1)
         for token, i in (vocab | self.added).items():
             self.tokens[i] = token
-        self.fragments = Memory(self._merged)
-        self.words = Memory(self._word)
-        self.chunks = Memory(self._chunk)
+        self.words = Memory(self._word, REMEMBERED)
+        self.chunks = Memory(self._chunk, REMEMBERED)
 
     def fragments_of(self, word: str) -> list[tuple[int, ...]]:
         """The symbols of a word, cut at the pairs that no token holds."""
@@ -128,7 +132,7 @@ class ForcedBoundaryBpe:
     def _word(self, word: str) -> bytes:
         ids: list[int] = []
         for fragment in self.fragments_of(word):
-            ids += self.fragments[fragment] if len(fragment) > 1 else [self.symbols[fragment[0]]]
+            ids += self._merged(fragment)
         return np.array(ids, IDS).tobytes()
 
     def _words_of(self, text: str) -> list[str]:
@@ -152,8 +156,8 @@ class ForcedBoundaryBpe:
         """The ids of a whole text. Words never cross spaces, so stretches without are encoded."""
         stretches = text.replace("\n", " ").split(" ")
         ids = b"".join(map(self.chunks.__getitem__, stretches))
-        for memory in (self.chunks, self.words, self.fragments):
-            memory.make_room()
+        self.chunks.make_room()
+        self.words.make_room()
         return np.frombuffer(ids, IDS)
 
     def decode(self, ids: np.ndarray) -> str:
@@ -174,21 +178,40 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     empty table gives an empty one.
     """
 
-    @F.pandas_udf("ids array<int>, decoded string")
-    def both(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        bpe = load(path)
-        for texts in batches:
-            ids = [bpe.encode(t) for t in texts]
-            yield pd.DataFrame(
-                {"ids": [x.astype("i4") for x in ids], "decoded": [bpe.decode(x) for x in ids]}
-            )
-
     new = ("n_tokens", "ids", "decoded")
     others = [F.col(f"`{c}`") for c in docs.columns if c not in (text, *new)]
-    made = docs.select(F.struct(*others).alias("others"), both(text_of(text)).alias("made"))
-    return made.select(
-        "others.*", F.size("made.ids").cast("long").alias("n_tokens"), "made.ids", "made.decoded"
+    rows = docs.select(F.struct(F.lit(0).alias("_"), *others).alias("others"), text_of(text).alias("text"))
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(path)
+        for batch in batches:
+            start = 0
+            while start < batch.num_rows:
+                ids, decoded, held, end = [], [], 0, start
+                while end < batch.num_rows and held < STEP:
+                    t = batch["text"][end].as_py()
+                    ids.append(bpe.encode(t).astype("i4"))
+                    decoded.append(bpe.decode(ids[-1]))
+                    held, end = held + len(t), end + 1
+                sizes = np.array(list(map(len, ids)))
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype("i4")
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch["others"].slice(start, end - start),
+                        pa.array(sizes, pa.int64()),
+                        pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids))),
+                        pa.array(decoded, pa.string()),
+                    ],
+                    names=["others", *new],
+                )
+                start = end
+
+    kind = rows.schema["others"].dataType.simpleString()
+    made = rows.mapInArrow(
+        both, f"others {kind}, n_tokens long, ids array<int>, decoded string"
     )
+    kept = [F.col(f"others.`{c}`") for c in docs.columns if c not in (text, *new)]
+    return made.select(*kept, *new)
 
 
 def digests(
