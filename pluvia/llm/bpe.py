@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from pluvia.llm.shared import text_of
@@ -206,10 +207,15 @@ def round_trip(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                 )
                 start = end
 
-    kind = rows.schema["others"].dataType.simpleString()
-    made = rows.mapInArrow(
-        both, f"others {kind}, n_tokens long, ids array<int>, decoded string"
+    schema = T.StructType(
+        [
+            T.StructField("others", rows.schema["others"].dataType),
+            T.StructField("n_tokens", T.LongType()),
+            T.StructField("ids", T.ArrayType(T.IntegerType())),
+            T.StructField("decoded", T.StringType()),
+        ]
     )
+    made = rows.mapInArrow(both, schema)
     kept = [F.col(f"others.`{c}`") for c in docs.columns if c not in (text, *new)]
     return made.select(*kept, *new)
 

@@ -28,9 +28,77 @@ SELECT page_id, url, n AS payload_bytes, sha256(html) AS payload_digest,
 FROM f
 """
 
+QUALITY = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+         list_filter(string_split(coalesce(text, ''), chr(10)),
+                     lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, words[i : i + 7] AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS i FROM d)
+), found AS (
+  SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, win) AS n FROM windows
+), covered AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM found, range(8) t(k) WHERE n > 1 GROUP BY doc_id
+), base AS (
+  SELECT d.doc_id, text, len(words) AS n_words,
+         length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+         len(lines) - len(list_distinct(lines)) AS n_dup_lines,
+         coalesce(n, 0) AS n_repeat_words
+  FROM d LEFT JOIN covered USING (doc_id)
+), judged AS (
+  SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+         len(regexp_extract_all(text, '\p{L}')) AS letters,
+         len(regexp_extract_all(text, '\p{Lu}')) AS capitals,
+         len(regexp_extract_all(text, '[!?]')) AS shouts,
+         len(string_split(text, chr(10))) AS n_lines
+  FROM base
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
+       CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
+       CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+       NOT base_failed AND NOT 10 * n_symbols > 2 * n_words AND NOT word_chars < 2 * n_words
+         AND NOT word_chars > 20 * n_words AND NOT 2 * capitals > letters
+         AND NOT 2 * letters < word_chars AND NOT 2 * shouts > n_words
+         AND NOT 100 * n_dup_lines > 50 * n_lines AS kept
+FROM judged
+"""
+
+NEAR_DEDUP = rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'),
+                                    '[^\x20\x09-\x0D]+') AS words
+  FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, words[i : i + 4] AS s
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 3, 2))) AS i FROM d)
+  WHERE len(words) > 0
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common c JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * c.n >= 85 * (x.n + y.n - c.n)
+), reached AS (
+  SELECT doc_id AS a, doc_id AS b FROM d
+  UNION
+  SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+)
+SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.b) AS component_id,
+       d.doc_id = min(r.b) AS kept
+FROM d LEFT JOIN sizes s USING (doc_id) JOIN reached r ON r.a = d.doc_id GROUP BY d.doc_id
+"""
+
 
 def statements() -> dict[str, str]:
     return {
         "op4_warc": WARC,
+        "op6_quality_rules": QUALITY,
+        "op9_near_dedup": NEAR_DEDUP,
         "op10_exact_dedup": EXACT_DEDUP,
     }
