@@ -11,8 +11,9 @@ positions at once. The language of the shortest code wins.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
 
 import numpy as np
 import pandas as pd
@@ -81,17 +82,26 @@ class KeyTable:
 
 @dataclass
 class Level:
-    """Strings of k + 1 bytes with their code lengths, contexts of k bytes with their escapes."""
+    """Strings of k + 1 bytes with their code lengths, contexts of k bytes with their escapes.
 
-    strings: np.ndarray
+    The tables that find them are made where texts are scored and are not sent along.
+    """
+
+    strings: np.ndarray  # sorted
     bits: np.ndarray  # strings x languages
-    contexts: np.ndarray
+    contexts: np.ndarray  # sorted
     escapes: np.ndarray  # contexts x languages
-    find_string: KeyTable = field(init=False)
-    find_context: KeyTable = field(init=False)
 
-    def __post_init__(self):
-        self.find_string, self.find_context = KeyTable(self.strings), KeyTable(self.contexts)
+    @functools.cached_property
+    def find_string(self) -> KeyTable:
+        return KeyTable(self.strings)
+
+    @functools.cached_property
+    def find_context(self) -> KeyTable:
+        return KeyTable(self.contexts)
+
+    def __getstate__(self) -> dict:
+        return {f.name: getattr(self, f.name) for f in fields(self)}
 
 
 class ContextTrees:
@@ -115,7 +125,7 @@ class ContextTrees:
                 escapes = np.where(total > 0, -np.log2(different / (total + different)), 0.0)
             if k:
                 below = self.levels[-1]
-                shorter = below.bits[below.find_string.find(low_bytes(own, k))]
+                shorter = below.bits[np.searchsorted(below.strings, low_bytes(own, k))]
             else:
                 shorter = 8.0
             bits = np.where(n > 0, seen, escapes[of] + shorter)
