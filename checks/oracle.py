@@ -539,7 +539,32 @@ def statements() -> dict[str, str]:
         "value_bins": s("location obs_date:day mm:6 class:int", """(SELECT *,
           CASE WHEN mm BETWEEN 2 AND 35 THEN least(floor(mm - 2) + 1, 33) END AS class
           FROM obs_recent)"""),
+        # files
+        "issue_list_file": s("issue_id product url", """(SELECT issue_id,
+          'operational' AS product, CAST(NULL AS VARCHAR) AS url FROM issues)"""),
+        "forecast_axes": s("issue_id units lat_idx:int lat:6 lon_idx:int lon:6", f"""(
+          SELECT DISTINCT {_ID}, 'hours since ' || strftime(issue_ts, '%Y-%m-%d %H:%M:%S') AS units,
+          lat_idx, lat, lon_idx, lon FROM fc6h)"""),
+        "forecast_variable": s("issue_id lat_idx:int lon_idx:int step:int prate:12",
+                               f"(SELECT {_ID}, lat_idx, lon_idx, step, prate FROM fc6h)"),
+        "wide_csv": s("location obs_date:day mm:6", """(SELECT d.obs_date, l.location, mm FROM
+          (SELECT DISTINCT obs_date FROM obs_priority) d CROSS JOIN
+          (SELECT DISTINCT location FROM obs_priority) l LEFT JOIN obs_priority o
+          ON o.obs_date = d.obs_date AND o.location = l.location)"""),
+        "station_csv": s("location lat:6 lon:6 alt:6 full", """(SELECT replace(s_name, '#', ' ')
+          AS location, lat, lon, s_acctbal AS alt, n_name AS "full" FROM supplier
+          JOIN places ON s_suppkey = vec_id JOIN nation ON s_nationkey = n_nationkey)"""),
+        "cell_csv": s("cell_id:int lat:6 lon:6",
+                      f"(SELECT vec_id + 1 AS cell_id, lat, lon FROM ({_located(3)}))"),
+        "single_station_csv": s("location obs_date:day mm:6",
+                                f"obs_hist WHERE location = '{v.STATION}'"),
+        "stage_replaced": s("product issue_id cell_id:int valid_date:day mm:6", f"""(
+          SELECT 'operational' AS product, {_ID}, * FROM daily_operational)"""),
+        "daily_grid_files": s("valid_date:day x:6 y:6 mm:6", """(SELECT obs_date AS valid_date,
+          lon AS x, lat AS y, mm FROM obs_recent JOIN stations USING (location))"""),
         # streams
+        "stream_within": s("product issue_id cell_id:int valid_date:day mm:6", f"""(
+          SELECT 'operational' AS product, {_ID}, * FROM daily_operational)"""),
         "stream_daily": s("product issue_id cell_id:int valid_date:day mm:6", f"""(
           SELECT 'operational' AS product, {_ID}, * FROM daily_operational)"""),
         "stream_consensus": s(cons, "consensus_operational"),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from checks import standins as v
-from pluvia import session
+from pluvia import schemas, session
 from pluvia.config import (
     BOUNDS_DASHBOARD_REALTIME,
     BOUNDS_REALTIME,
@@ -383,7 +383,7 @@ def obs_unpivot(spark, sf):
 
 @query
 def station_lookup(spark, sf):
-    found = observations.of_station(v.stations(spark, sf), "Supplier 000000007")
+    found = observations.of_station(v.stations(spark, sf), v.STATION)
     return found.select("location", "lat", "lon")
 
 
@@ -581,6 +581,90 @@ def value_bins(spark, sf):
     return obs.withColumn("class", units.value_class(F.col("mm")))
 
 
+# ---- files: written, then read ---------------------------------------------------------------
+
+
+@query
+def issue_list_file(spark, sf):
+    path = session.shared_dir(spark, "issues")
+    writers.issue_list(v.issues(spark, sf), path)
+    return with_id(readers.issue_list(spark, path, OPERATIONAL.name).drop("issue_id"))
+
+
+@query
+def forecast_axes(spark, sf):
+    path = session.shared_dir(spark, "forecast")
+    writers.forecast(v.stored_forecast(spark, sf, OPERATIONAL.name), path)
+    return with_id(readers.axes(readers.forecast(spark, path)))
+
+
+@query(prate=12)
+def forecast_variable(spark, sf):
+    """A table of two variables, read for one."""
+    path = session.shared_dir(spark, "forecast")
+    steps = v.stored_forecast(spark, sf, OPERATIONAL.name)
+    other = steps.withColumns({"variable": F.lit("pmax"), "prate": F.col("prate") + 1.0})
+    writers.forecast(steps.unionByName(other), path)
+    found = readers.forecast(spark, path, OPERATIONAL.name)
+    return with_id(found.select("issue_ts", "lat_idx", "lon_idx", "step", "prate"))
+
+
+@query
+def wide_csv(spark, sf):
+    path = session.shared_dir(spark, "wide")
+    wide = observations.pivot(v.obs_priority(spark, sf), v.PRIORITIES)
+    day = F.date_format("obs_date", "M/d/yyyy").alias("DateTime")
+    wide.select(day, *[f"`{c}`" for c in wide.columns if c != "obs_date"]).write.csv(path, header=True)
+    long = readers.observations_long(spark, path, v.PRIORITIES)
+    return long.select("location", "obs_date", "mm")
+
+
+@query
+def station_csv(spark, sf):
+    path = session.shared_dir(spark, "stations")
+    v.stations(spark, sf).write.csv(path, header=True)
+    return readers.stations(spark, path)
+
+
+@query
+def cell_csv(spark, sf):
+    path = session.shared_dir(spark, "cells")
+    v.many_cells(spark, sf).withColumnRenamed("cell_id", "id").write.csv(path, header=True)
+    return readers.cells(spark, path).select("cell_id", "lat", "lon")
+
+
+@query
+def single_station_csv(spark, sf):
+    path = session.shared_dir(spark, "station")
+    one = observations.of_station(v.obs_hist(spark, sf), v.STATION)
+    day = F.date_format("obs_date", "M/d/yyyy").alias("DateTime")
+    one.select(day, "mm").write.csv(path, header=True)
+    return readers.single_station(spark, path, v.STATION)
+
+
+@query
+def stage_replaced(spark, sf):
+    """Two writes of the same days: the second replaces the first."""
+    path = session.shared_dir(spark, "daily")
+    rows = totals(spark, sf, OPERATIONAL)
+    writers.daily(rows.withColumn("mm", F.col("mm") + 1.0), path)
+    writers.daily(rows, path)
+    return with_id(readers.stage(spark, path, schemas.FORECAST_DAILY_STORED).drop("issue_month"))
+
+
+@query
+def daily_grid_files(spark, sf):
+    """A grid a day, with the days taken from the folders."""
+    path = session.shared_dir(spark, "grids")
+    grid = v.obs_recent(spark, sf).join(v.stations(spark, sf), "location").select(
+        F.col("obs_date").alias("valid_date"), F.col("lon").alias("x"), F.col("lat").alias("y"), "mm"
+    )
+    writers.daily_grids(grid, path)
+    days = readers.grid_days(spark, path)
+    stored = readers.stage(spark, path, schemas.IDW_GRID)
+    return stored.join(days, "valid_date").select("valid_date", "x", "y", "mm")
+
+
 # ---- streams -----------------------------------------------------------------------------
 
 
@@ -601,6 +685,12 @@ def stream_daily(spark, sf):
     return with_id(ingest.read_daily(spark, _run_stream(spark, sf, False) + "/daily"))
 
 
+@query
+def stream_within(spark, sf):
+    """The watermarked totals over a table, where no issue is late."""
+    return with_id(ingest.daily_within(v.forecast_6h(spark, sf).drop("units"), OPERATIONAL))
+
+
 @query
 def stream_consensus(spark, sf):
     out = _run_stream(spark, sf, True)

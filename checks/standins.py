@@ -18,6 +18,7 @@ RANGE = (dt.date(2023, 12, 31), dt.date(2024, 2, 29))
 OBS_RANGE = (dt.date(1996, 1, 1), dt.date(1999, 12, 31))
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 RERUN = dt.datetime(2024, 1, 16)  # first issue of the second real-time run
+STATION = "Supplier 000000007"
 HOLE = 0.4  # size of a hole in a basin
 DRY = 40.0  # event values up to this stand for a dry step
 OBS_DRY = 45.0
