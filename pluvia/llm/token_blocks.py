@@ -30,7 +30,7 @@ from pluvia.llm.shared import stored, text_of
 from pluvia.llm.vocabularies import LibraryEncoder
 from pluvia.session import shared_dir
 
-BLOCK = 8192
+BLOCK = 32_768
 PERCENTILE = 95
 MAGIC = b"PFORIDS1"
 HEAD = struct.Struct("<IBHH")

@@ -80,29 +80,53 @@ class LibraryEncoder:
             and not steps.get("add_prefix_space")
             and not any(t["lstrip"] or t["rstrip"] for t in settings["added_tokens"])
         )
+        # Byte-level tokens have a letter for each of their bytes.
+        tokens = self.library.get_vocab(with_added_tokens=True)
+        self.sizes = np.zeros(max(tokens.values()) + 1, np.int64)
+        for token, i in tokens.items():
+            self.sizes[i] = len(token)
         self.known = Memory(self._one)
 
     def _one(self, stretch: str) -> bytes:
         return np.array(self.library.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, stretches: list[str]) -> None:
-        """The library encodes a list of stretches at once, each on its own."""
-        made = self.library.encode(stretches, is_pretokenized=True, add_special_tokens=False)
-        ids = np.array(made.ids, "<u4")
-        ends = np.searchsorted(np.array(made.word_ids, "i8"), np.arange(len(stretches)), "right")
-        start = 0
-        for stretch, end in zip(stretches, ends.tolist()):
-            self.known[stretch] = ids[start:end].tobytes()
-            start = end
+        """Encodes stretches that begin with white space and end without as one text; they are split
+        there as anywhere. Tokens cover the bytes of a text one after the other, so their lengths
+        tell to which stretch each belongs."""
+        text = "".join(stretches)
+        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        sizes = map(len, stretches) if text.isascii() else (len(s.encode()) for s in stretches)
+        places = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(list(sizes)), "right")
+        raw, known, first = ids.tobytes(), self.known, 0
+        for stretch, end in zip(stretches, (4 * places).tolist()):
+            known[stretch] = raw[first:end]
+            first = end
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.by_stretch or not text.isascii() and self.OTHER_SPACE.search(text):
             return self._one(text)
-        stretches = self.STRETCH.findall(text)
-        known, old = self.known, self.known.old
-        if new := [s for s in set(stretches) if s not in known and s not in old]:
-            self._learn(new)
-        ids = b"".join(map(known.__getitem__, stretches))
-        known.make_room()
-        return ids
+        stretches, known = self.STRETCH.findall(text), self.known
+        found = list(map(known.get, stretches))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        if gaps:
+            new: dict[str, None] = {}
+            marked = []
+            for s in dict.fromkeys(stretches[i] for i in gaps):
+                if s in known.old or not s[0].isspace() or s[-1].isspace():
+                    known[s]  # remembered from before, or alone
+                elif s[-1] in ".,;:!?" and s[-2].isalpha():
+                    marked.append(s)  # the mark is a token of its own after a letter
+                    if s[:-1] not in known and s[:-1] not in known.old:
+                        new[s[:-1]] = None
+                else:
+                    new[s] = None
+            if new:
+                self._learn(list(new))
+            for s in marked:
+                known[s] = known[s[:-1]] + known[s[-1]]
+            for i in gaps:
+                found[i] = known[stretches[i]]
+            known.make_room()
+        return b"".join(found)
