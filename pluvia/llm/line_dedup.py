@@ -246,7 +246,8 @@ def drop_repeated_runs(
     rows = docs.select(row.alias("row"), t.alias("text"))
     gone = stored(repeated_lines(rows, min_words), "lines-gone")
     packed = docs.select(F.struct("*").alias("all"), row.alias("row"))
-    found = packed.join(gone, "row", "left")  # structs are equal where both hold a null
+    # Merged at every size: the rows to change grow with the table. Structs that hold a null are equal.
+    found = packed.join(gone.hint("merge"), "row", "left")
     whole = F.col(f"all.`{text}`")
     touched = F.when(F.col("gone").isNotNull(), whole)
     cleaned = F.coalesce(without(touched, "gone"), whole)
