@@ -157,8 +157,9 @@ def prefix_pairs(sets: DataFrame, pct: int) -> DataFrame:
     """Pairs of nodes with different labels that can be similar, from ``sets`` (node, label, n,
     shingles).
 
-    Two sets of that similarity share a shingle among the first n - ceil(pct n / 100) + 1 of each, in
-    any order common to all. Rare shingles come first, so few nodes meet in one.
+    Sets of n and m shingles that similar have at least a = ceil(pct (n + m) / (100 + pct)) in common,
+    so in any order common to all, their first common shingle is among the first n - a + 1 of the one
+    and m - a + 1 of the other. Rare shingles come first, so few nodes meet in one.
     """
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -180,7 +181,7 @@ def prefix_pairs(sets: DataFrame, pct: int) -> DataFrame:
         shared.join(of, "node")
         .withColumn("rank", alone + rank)
         .filter(F.col("rank") <= length)
-        .select("shingle", "node", "label", "n")
+        .select("shingle", "node", "label", "n", "rank")
     )
     prefix = stored(prefix, "near-prefixes")
     mixed = (
@@ -190,12 +191,20 @@ def prefix_pairs(sets: DataFrame, pct: int) -> DataFrame:
         .select("shingle")
     )
     met = prefix.join(mixed, "shingle")
-    left = met.select("shingle", F.col("node").alias("a"), F.col("label").alias("la"), "n")
-    right = met.select(
-        "shingle", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("n").alias("m")
+    left, right = (
+        met.select("shingle", *[F.col(c).alias(f"{c}{i}") for c in ("node", "label", "n", "rank")])
+        for i in (1, 2)
+    )
+    common = F.ceil(pct * (F.col("n1") + F.col("n2")) / (100 + pct))
+    early = (F.col("rank1") <= F.col("n1") - common + 1) & (
+        F.col("rank2") <= F.col("n2") - common + 1
+    )
+    return (
+        left.join(right, "shingle")
+        .filter((F.col("label1") < F.col("label2")) & early)
+        .select(F.col("node1").alias("a"), F.col("node2").alias("b"))
+        .distinct()
     )
-    different = (F.col("la") < F.col("lb")) & can_reach(F.col("n"), F.col("m"), pct)
-    return left.join(right, "shingle").filter(different).select("a", "b").distinct()
 
 
 def classes(rows: DataFrame, nodes: DataFrame, pct: int) -> DataFrame:
@@ -250,7 +259,8 @@ def keep_one(
     """The rows of ``docs`` that ``near_duplicates`` keeps, with all their columns."""
     gone = judged(docs, doc_id, text, pct).filter("not kept").select("row").distinct()
     keyed = docs.select(F.struct("*").alias("all"), row_key(doc_id, text).alias("row"))
-    return keyed.join(gone, "row", "left_anti").select("all.*")
+    # Merged at every size: the rows that go grow with the table.
+    return keyed.join(gone.hint("merge"), "row", "left_anti").select("all.*")
 
 
 def row_key(doc_id: str, text: str) -> Column:
