@@ -12,6 +12,8 @@ from pluvia.llm import bpe, line_dedup, mixing, near_dedup, quality_rules
 from pluvia.llm.shared import stored, table
 
 VOCABULARY = "word_bpe_49k.json"
+#: Shingle sets that are so much alike, in percent, are near duplicates here; op9 alone asks for 85.
+NEAR_PCT = 80
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -33,7 +35,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays."""
-    return near_dedup.keep_one(docs)
+    return near_dedup.keep_one(docs, pct=NEAR_PCT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ from pluvia.llm.components import components
 from pluvia.llm.shared import stored, text_of
 
 THRESHOLD_PCT = 85
-#: 26 bands of 5 values: a pair at 0.85 shares no bucket with probability 2.4e-7.
+#: 26 bands of 5 values: a pair at 0.85 shares no bucket with probability 2.4e-7, one at 0.80 with 3.3e-5.
 BANDS, ROWS = 26, 5
 FUNCTIONS = BANDS * ROWS // 2
 #: Bytes of text hashed at once.
