@@ -3,8 +3,10 @@
 A window is the shortest stretch of lines with words, from some line on, that has ``MIN_WORDS`` words.
 Each window selects its smallest line hash (the last of equals) as a fingerprint, so two equal runs of
 that many words are sure to share one at the same place. Windows whose fingerprint occurs once in the
-corpus are done. The others are joined by content with the first window like them; the match is
-extended line by line to both sides, and the whole run is deleted from the later place.
+corpus are done. The others are looked at with each stretch that starts where they do and ends before
+the next line's window does. Any run is a union of windows and such a stretch at its end, and each of
+these has an equal one wherever the run has, so a stretch is deleted if it is not the first of its
+content: all earlier places count, without a comparison of places.
 """
 
 from __future__ import annotations
@@ -60,15 +62,11 @@ def fingerprints(hashes: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return chosen
 
 
-def context(words: np.ndarray, start: int, step: int, min_words: int) -> int:
-    """How many lines from ``start`` on in that direction stay below ``min_words`` words; a longer
-    match has a window of its own there."""
-    total = n = 0
-    while 0 <= start < len(words) and total + words[start] < min_words:
-        total += words[start]
-        start += step
-        n += 1
-    return n
+def stretch_ends(ends: np.ndarray, n_lines: int) -> list[range]:
+    """For each window where the stretches from its first line on end: with the window itself, and after
+    each line up to where the next line's window is at hand; the last window's reach the last line."""
+    after = np.maximum(np.append(ends[1:], n_lines + 1), ends + 1)
+    return [range(a, b) for a, b in zip(ends.tolist(), after.tolist())]
 
 
 def read_lines(rows: DataFrame) -> DataFrame:
@@ -104,14 +102,14 @@ def select_fingerprints(lines: DataFrame, min_words: int) -> DataFrame:
     return lines.select("hashes", "words").mapInPandas(select, "mark long")
 
 
-def cut_windows(lines: DataFrame, min_words: int) -> DataFrame:
-    """All windows: ``mark``, ``content`` (128-bit hash of its lines), ``row``, ``at`` and ``end``
-    (lines with words), and the hashes of the lines before (nearest first) and after."""
+def cut_stretches(lines: DataFrame, min_words: int) -> DataFrame:
+    """All windows and their longer stretches: the window's ``mark``, ``content`` (128-bit hash of the
+    lines), ``row``, ``at`` and ``end`` (lines with words). At most two for each line."""
     kind = lines.schema["row"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
+            columns: list[list] = [[] for _ in range(4)]
             of = []
             for i, (h, w) in enumerate(
                 zip(batch["hashes"].to_pylist(), batch["words"].to_pylist())
@@ -119,45 +117,24 @@ def cut_windows(lines: DataFrame, min_words: int) -> DataFrame:
                 hashes, words = np.frombuffer(h, "u8"), np.frombuffer(w, "i4")
                 ends = window_ends(words, min_words)
                 marks = hashes[fingerprints(hashes, ends)].astype("i8").tolist()
-                for start, end in enumerate(ends.tolist()):
-                    before = context(words, start - 1, -1, min_words)
-                    after = context(words, end, 1, min_words)
-                    row = (
-                        marks[start],
-                        xxhash.xxh3_128_digest(h[8 * start : 8 * end]),
-                        start,
-                        end,
-                        hashes[start - before : start][::-1].tobytes(),
-                        h[8 * end : 8 * (end + after)],
-                    )
-                    for column, value in zip(columns, row):
-                        column.append(value)
-                    of.append(i)
-            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+                for start, stretches in enumerate(stretch_ends(ends, len(words))):
+                    for end in stretches:
+                        content = xxhash.xxh3_128_digest(h[8 * start : 8 * end])
+                        for column, value in zip(columns, (marks[start], content, start, end)):
+                            column.append(value)
+                        of.append(i)
+            kinds = [pa.int64(), pa.binary(), pa.int32(), pa.int32()]
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds)]
             yield pa.RecordBatch.from_arrays(
                 [batch["row"].take(pa.array(of, pa.int32())), *arrays],
-                names=["row", "mark", "content", "at", "end", "before", "after"],
+                names=["row", "mark", "content", "at", "end"],
             )
 
     return lines.select("row", "hashes", "words").mapInArrow(
-        cut,
-        f"row {kind}, mark long, content binary, at int, end int, before binary, after binary",
+        cut, f"row {kind}, mark long, content binary, at int, end int"
     )
 
 
-def _shared(one: bytes, two: bytes) -> int:
-    """How many hashes two lists begin with in common."""
-    n = min(len(one), len(two)) // 8
-    differ = np.frombuffer(one, "u8", n) != np.frombuffer(two, "u8", n)
-    return int(differ.argmax()) if differ.any() else n
-
-
-@F.pandas_udf(T.IntegerType())
-def shared(one: pd.Series, two: pd.Series) -> pd.Series:
-    return pd.Series([_shared(a, b) for a, b in zip(one, two)], dtype="int32")
-
-
 def merged(ranges: list, limit: int) -> np.ndarray:
     """Marks of the lines inside the ranges."""
     edges = np.zeros(limit + 1, np.int64)
@@ -172,22 +149,15 @@ def repeated_lines(docs_rows: DataFrame, min_words: int) -> DataFrame:
     lines = stored(read_lines(docs_rows).dropDuplicates(["row"]), "lines")
     marks = select_fingerprints(lines, min_words)
     repeated = marks.groupBy("mark").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    windows = cut_windows(lines, min_words).join(repeated.select("mark"), "mark", "left_semi")
-    windows = stored(windows.drop("mark"), "line-windows")
-    first = windows.groupBy("content").agg(
-        F.min(F.struct("row", "at", F.col("before").alias("b"), F.col("after").alias("a"))).alias(
-            "first"
-        ),
-        F.count(F.lit(1)).alias("n"),
+    stretches = cut_stretches(lines, min_words).join(repeated.select("mark"), "mark", "left_semi")
+    stretches = stored(stretches.drop("mark"), "line-stretches")
+    first = stretches.groupBy("content").agg(
+        F.min(F.struct("row", "at")).alias("first"), F.count(F.lit(1)).alias("n")
     )
     later = (
-        windows.join(first.filter("n > 1").drop("n"), "content")
+        stretches.join(first.filter("n > 1").drop("n"), "content")
         .filter((F.col("row") != F.col("first.row")) | (F.col("at") != F.col("first.at")))
-        .select(
-            "row",
-            (F.col("at") - shared("before", "first.b")).alias("start"),
-            (F.col("end") + shared("after", "first.a")).alias("end"),
-        )
+        .select("row", F.col("at").alias("start"), "end")
     )
     runs = later.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("runs"))
 
@@ -228,9 +198,8 @@ def drop_repeated_runs(
 
     Places are ordered by id (null last), then by text hash, then by line. A run is a stretch of equal
     whole lines with ``min_words`` words at least; lines without words neither match nor part a run,
-    and stay. Each window that has an equal one before is matched with the first of all, and the lines
-    that both matches have in common, to both sides, go. So a line repeated in a stretch keeps its
-    first place, and shorter repeats such as a lone short line stay everywhere.
+    and stay. Each run that has an equal one at any earlier place goes whole. So a line repeated in a
+    stretch keeps its first place, and shorter repeats such as a lone short line stay everywhere.
 
     ``removed`` names an added column with the number of deleted lines. Null texts stay null, empty
     ones empty; a text that is all repeated becomes empty. Rows equal in id and text are one

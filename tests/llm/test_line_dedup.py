@@ -111,3 +111,64 @@ def test_windows_share_fingerprints():
         assert words_[s:e].sum() >= 50 > words_[s : e - 1].sum()
         low = hashes[s:e].min()
         assert m == max(i for i in range(s, e) if hashes[i] == low)
+
+
+def brute_every(rows, least):
+    """Texts without the runs that any earlier place has: every place against all before; by id."""
+    docs = [
+        [(k, x) for k, x in enumerate(text.split("\n")) if words(x)]
+        for text in (r[1] for r in sorted(rows))
+    ]
+    places = [(d, s) for d, lines in enumerate(docs) for s in range(len(lines))]
+    gone = [set() for _ in docs]
+    for p, (d, s) in enumerate(places):
+        for e, f in places[:p]:
+            n = size = 0
+            while (
+                s + n < len(docs[d]) and f + n < len(docs[e])
+                and docs[d][s + n][1] == docs[e][f + n][1]
+            ):
+                size += len(words(docs[d][s + n][1]))
+                n += 1
+            if size >= least:
+                gone[d].update(k for k, _ in docs[d][s : s + n])
+    return {
+        r[0]: "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone[d])
+        for d, r in enumerate(sorted(rows))
+    }
+
+
+def tails():
+    """Passages with tails of several lines, of which the first place has none or others."""
+    rng = random.Random(21)
+    heads = [[sentence(rng, 60)], [sentence(rng, 3), sentence(rng, 50)], [sentence(rng, 12)] * 5]
+    short = [sentence(rng, n) for n in (1, 4, 9, 20, 30)]
+    rows = []
+    for i in range(70):
+        lines = [sentence(rng, 5)]
+        for _ in range(rng.randint(1, 3)):
+            lines += rng.choices(short, k=rng.randint(0, 2)) + rng.choice(heads)
+            lines += rng.choices(short, k=rng.randint(0, 4))
+        rows.append((i, "\n".join(lines), "aa", "s"))
+    return rows
+
+
+@pytest.mark.parametrize("least", [50, 20])
+def test_runs_of_every_earlier_place_go(spark, least):
+    for rows in (tails(), passages()):
+        docs = frame(spark, rows)
+        got = ld.drop_repeated_runs(docs, min_words=least).collect()
+        assert {r.doc_id: r.text for r in got} == brute_every(rows, least)
+
+
+def test_tail_that_the_first_place_lacks_goes(spark):
+    rng = random.Random(3)
+    head, tail = sentence(rng, 60), sentence(rng, 20)
+    other = [sentence(rng, 30) for _ in range(3)]
+    rows = [
+        (0, "\n".join([head, other[0]]), "a", "s"),
+        (1, "\n".join([head, tail, other[1]]), "a", "s"),
+        (2, "\n".join([head, tail, other[2]]), "a", "s"),
+    ]
+    got = {r.doc_id: r.text for r in ld.drop_repeated_runs(frame(spark, rows)).collect()}
+    assert got == {0: rows[0][1], 1: f"{tail}\n{other[1]}", 2: other[2]}
