@@ -19,7 +19,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 SHARD_WORDS = 1 << 19
 BLOCK_WORDS = 1024
-#: Blocks that an average source has at least (down to blocks of one word).
+#: Blocks that the smallest source with words has at least (down to blocks of one word).
 BLOCKS_PER_SOURCE = 256
 
 
@@ -142,8 +142,9 @@ def plan(
     rows = stored(sized(docs, doc_id, text, source, seed, False), "mix-sizes")
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = stored(water_filled(sources, weights, max_repeats), "mix-targets")
-    block = targets.agg(F.floor(F.max("total") / (BLOCKS_PER_SOURCE * F.count(F.lit(1))))).first()[0]
-    block = max(1, min(block or 1, block_words))
+    # Quotas are computed, not listed: many blocks cost no more than few.
+    smallest = targets.agg(F.min(F.nullif("source_size", F.lit(0)))).first()[0]
+    block = max(1, min((smallest or 0) // BLOCKS_PER_SOURCE, block_words))
 
     shards = (
         in_shards(rows, targets, shard_words)

@@ -114,3 +114,19 @@ def test_empty_table_and_empty_texts(spark):
 def test_no_python_in_the_plan(spark):
     plan = mixing.mixed(frame(spark, odd_rows()))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_tiny_sources_beside_large_ones_meet_their_targets(spark):
+    """The average source has 256 blocks of 1,024 words; the small ones still get their words."""
+    sizes = {"a": 170, "b": 400, "c": 600, "d": 1600, "e": 1, "f": 900_000, "g": 1_200_000}
+    parts = [(s, k) for s, n in sizes.items() for k in [n // 100] * 100 + [n % 100]]
+    table = spark.createDataFrame(
+        [(i, k, s) for i, (s, k) in enumerate(parts)], "doc_id long, k int, source string"
+    ).selectExpr("doc_id", "trim(repeat('w ', k)) text", "source")
+    want = {sizes[s]: t for s, t in targets(sizes).items()}
+    got = mixing.plan(table).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"))
+    found = got.collect()
+    assert len(found) == len(want)
+    for r in found:
+        assert abs(r.target - want[r.source_size]) < 1e-6 * r.target
+        assert abs(r.taken - r.target) <= 0.01 * r.target + 1
