@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 _TOKEN = re.compile(
@@ -16,14 +17,22 @@ _TOKEN = re.compile(
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _PART = re.compile(r"[a-z]+")
 #: Elements whose content is no text of the page.
-SILENT = frozenset("script style title template noscript svg math iframe object".split())
+SILENT = frozenset("script style title template noscript svg iframe".split())
+#: Those of them whose content is no markup and ends at the first end tag.
+RAW = frozenset("script style title noscript iframe".split())
+#: Formulas, and the elements inside.
+MATH = frozenset(
+    "math maction menclose merror mfenced mfrac mglyph mi mmultiscripts mn mo mover mpadded mphantom "
+    "mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder "
+    "munderover none semantics annotation annotation-xml".split()
+)
 #: Elements inside a line of text; all others begin and end a block.
-INLINE = frozenset(
+INLINE = MATH | frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q ruby rt rp "
-    "s samp small span strike strong sub sup time tt u var wbr br input".split()
+    "s samp small span strike strong sub sup time tt u var wbr br input object param".split()
 )
 #: Elements without content.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that end an open element of the same kind, up to their container.
 SIBLINGS = {
     "li": frozenset(["ul", "ol", "menu"]),
@@ -51,13 +60,16 @@ def blocks_of(page: str) -> list[Block]:
 
     Unclosed and crossed elements are closed as browsers do: a new block ends an open paragraph, a list
     item ends the one before, an end tag closes all that is open inside its element. Broken markup never
-    fails: what is no tag is text.
+    fails: what is no tag is text. A skipped element without an end tag ends where its parent does; only
+    an open script or style runs to the end of the page. Formulas and the text of objects are text.
     """
     found: list[Block] = []
     tags: list[str] = []
     labels: list[str] = []
     parts: list[str] = []
     linked = links = 0
+    silent: str | None = None  # the element that is skipped
+    inside: Counter[str] = Counter()  # elements open in it
 
     def end_block() -> None:
         nonlocal linked
@@ -77,10 +89,13 @@ def blocks_of(page: str) -> list[Block]:
     while at < size:
         token = _TOKEN.match(page, at)
         if token is None:  # a tag that never ends
-            parts.append(html.unescape(page[at:]))
+            if not silent:
+                parts.append(html.unescape(page[at:]))
             break
         at = token.end()
         text, tag = token["text"], token["tag"]
+        if silent and tag is None:
+            continue
         if text is not None:
             text = html.unescape(text)
             parts.append(text)
@@ -89,6 +104,16 @@ def blocks_of(page: str) -> list[Block]:
         if tag is None:
             continue
         tag = tag.lower()
+        empty = token["rest"].endswith("/")
+        if silent and token["close"]:
+            if inside[tag] > 0:
+                inside[tag] -= 1
+                continue
+            if tag != silent and tag not in tags:
+                continue
+            ended, silent = silent, None
+            if tag == ended:
+                continue
         if token["close"]:
             if tag in tags:
                 if tag not in INLINE:
@@ -97,9 +122,21 @@ def blocks_of(page: str) -> list[Block]:
             elif tag not in INLINE:
                 end_block()
             continue
+        if empty and (silent or tag == "svg" or tag in MATH):
+            continue
+        if tag in RAW:
+            code = tag in ("script", "style")
+            start = "" if code else rf"|<{tag}\b"
+            end = re.compile(rf"</{tag}\b[^>]*>{start}", re.IGNORECASE).search(page, at)
+            if code or (end and end[0][1] == "/"):
+                at = end.end() if end else size
+                continue
+        if silent:
+            inside[tag] += tag not in VOID
+            continue
         if tag in SILENT:
-            end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else size
+            silent = tag
+            inside.clear()
             continue
         if tag not in INLINE:
             end_block()
@@ -109,7 +146,7 @@ def blocks_of(page: str) -> list[Block]:
                 last = len(tags) - 1 - tags[::-1].index(tag)
                 if not SIBLINGS[tag].intersection(tags[last:]):
                     cut(last)
-        elif tag == "br":
+        elif tag in ("br", "mtd"):
             parts.append(" ")
         if tag not in VOID:
             tags.append(tag)

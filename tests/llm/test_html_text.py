@@ -118,3 +118,29 @@ def test_fit_and_empty_table(spark):
     few = spark.createDataFrame([(i, "u", article_page(rng)) for i in range(30)], schema)
     one, two = ht.fit(few), ht.fit(few.repartition(3))
     assert all((one.p[k] == two.p[k]).all() for k in one.p)
+
+
+@pytest.mark.parametrize(
+    "page,want",
+    [
+        ('<div><svg class="i"/>icon</div><p>article</p>', ["icon", "article"]),
+        ("<p>a <math/>b</p><p>c <svg><path d='x'/><text>no</text></svg>d</p>", ["a b", "c d"]),
+        ("<svg/><p>one</p><svg><title>no</title></svg><p>two</p>", ["one", "two"]),
+        ("<svg><svg>no</svg>no</svg>yes", ["yes"]),
+        ("<div><svg><g>no</div><p>article</p>", ["article"]),
+        ("<div><noscript>no<div>no</div></div><p>article</p>", ["article"]),
+        ("<div><noscript>no</div><p>one</p><noscript>no</noscript>two", ["one", "two"]),
+        ("<noscript><!-- no </noscript>yes", ["yes"]),
+        ("<div><iframe src=x></div>yes<iframe>no</iframe>", ["yes"]),
+        ("<div><template><p>no</p></template>yes</div>", ["yes"]),
+        ("<p>out <template><p>no</p></template> more</p>", ["out more"]),
+        ("<head><title>no</head><body><p>yes</p>", ["yes"]),
+        ("<div><script>var t='</div>';no", []),
+        ("<script>w('<script src=' + x)</script>yes", ["yes"]),
+        ("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></math> then</p>", ["if x=2 then"]),
+        ("<p>see <object data=u><param name=a>the text</object> here</p>", ["see the text here"]),
+        ("<div><object><p>fallback</p></div><p>article</p>", ["fallback", "article"]),
+    ],
+)
+def test_skipped_elements_end(page, want):
+    assert texts(page) == want
