@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pluvia.llm import (
     bpe,
@@ -16,6 +17,7 @@ from pluvia.llm import (
     mixing,
     near_dedup,
     quality_rules,
+    substring_dedup,
     token_blocks,
     warc,
 )
@@ -74,6 +76,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def substring_digests(docs: DataFrame) -> DataFrame:
+    rows = substring_dedup.drop_repeated(docs)
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_digests(table(spark, sf_dir, "documents"))
+
+
 def registry() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -88,5 +99,6 @@ def registry() -> dict[str, Query]:
             op8_bpe_round_trip,
             op9_near_dedup,
             op10_exact_dedup,
+            op12_substring_dedup,
         )
     }

@@ -94,6 +94,28 @@ SELECT d.doc_id, coalesce(any_value(s.n), 0) AS n_shingles, min(r.b) AS componen
 FROM d LEFT JOIN sizes s USING (doc_id) JOIN reached r ON r.a = d.doc_id GROUP BY d.doc_id
 """
 
+SUBSTRING_DEDUP = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), windows AS (
+  SELECT doc_id, i, words[i : i + 12] AS win
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - 11)) AS i FROM d)
+), judged AS (
+  SELECT doc_id, i, doc_id > min(doc_id) OVER (PARTITION BY win) AS gone FROM windows
+), covered AS (
+  SELECT doc_id, list(DISTINCT i + k) AS places FROM judged, range(13) t(k) WHERE gone GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, len(words) AS n_words, coalesce(len(places), 0) AS n_removed,
+         CASE WHEN places IS NULL THEN words
+              ELSE [words[j] FOR j IN range(1, len(words) + 1) IF NOT list_contains(places, j)]
+         END AS rest
+  FROM d LEFT JOIN covered USING (doc_id)
+)
+SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(n_removed AS BIGINT) AS n_removed,
+       sha256(array_to_string(rest, ' ')) AS kept_sha256
+FROM kept
+"""
+
 
 def statements() -> dict[str, str]:
     return {
@@ -101,4 +123,5 @@ def statements() -> dict[str, str]:
         "op6_quality_rules": QUALITY,
         "op9_near_dedup": NEAR_DEDUP,
         "op10_exact_dedup": EXACT_DEDUP,
+        "op12_substring_dedup": SUBSTRING_DEDUP,
     }
