@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pluvia.llm import (
     bpe,
     exact_dedup,
+    hard_negatives,
     html_text,
     language_id,
     line_dedup,
@@ -76,6 +77,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def substring_digests(docs: DataFrame) -> DataFrame:
     rows = substring_dedup.drop_repeated(docs)
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
@@ -99,6 +104,7 @@ def registry() -> dict[str, Query]:
             op8_bpe_round_trip,
             op9_near_dedup,
             op10_exact_dedup,
+            op11_hard_negatives,
             op12_substring_dedup,
         )
     }
