@@ -14,14 +14,30 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+#: Whether Spark deletes the shuffle files of a query at its end.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """``df`` written below ``spark.checkpoint.dir`` and read back: lineage ends here.
 
-    The table outlives lost executors; its folder may be deleted when the session is over.
+    The table outlives lost executors; its folder may be deleted when the session is over. With
+    ``release`` the shuffle files of the write go when it is done, not when the driver next collects
+    garbage.
     """
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    before = spark.conf.get(CLEAN_UP, None)
+    try:
+        if release:
+            spark.conf.set(CLEAN_UP, "true")
+        df.write.parquet(path)
+    finally:
+        if release and before is None:
+            spark.conf.unset(CLEAN_UP)
+        elif release:
+            spark.conf.set(CLEAN_UP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -187,10 +187,12 @@ def scanned(docs: DataFrame, n: int) -> DataFrame:
 
 
 def routed(marked: DataFrame, copies: DataFrame | None = None) -> DataFrame:
-    """For each text unit the places of its shared marks, with the shard each belongs to.
+    """For each text unit the places of its shared marks, with the shard each belongs to; stored.
 
-    ``marked`` has ``doc, variant, offset, mark, place``; the result ``doc, variant, offset, routes``.
+    ``marked`` has ``mark, place`` and columns of ``UNIT``, 0 where they are missing; the result
+    ``doc, variant, offset, routes``.
     """
+    unit = [c for c in UNIT if c in marked.columns]
     shared = marked.groupBy("mark").agg(
         F.min("doc").alias("first"), F.max("doc").alias("last"),
         F.min_by("place", "doc").alias("at"),
@@ -198,12 +200,14 @@ def routed(marked: DataFrame, copies: DataFrame | None = None) -> DataFrame:
     shared = shared.filter(F.col("first") < F.col("last")).select(
         "mark", "first", F.expr(f"at div {SHARD}").alias("shard")
     )
-    found = marked.join(shared, "mark").drop("mark")
+    found = marked.join(stored(shared, "passages-marks", release=True), "mark").drop("mark")
     if copies is not None:
-        found = found.join(copies, ["doc", "variant"], "left_anti")
-    return found.groupBy(*UNIT).agg(
+        found = found.join(copies, [c for c in unit if c in copies.columns], "left_anti")
+    routes = found.groupBy(*unit).agg(
         F.collect_list(F.struct("first", "shard", "place")).alias("routes")
     )
+    zeros = {c: F.lit(0).cast("long") for c in UNIT if c not in unit}
+    return stored(routes.withColumns(zeros), "passages-routes", release=True)
 
 
 def pieces(units: DataFrame, routes: DataFrame, n: int, mark: int) -> DataFrame:
@@ -349,14 +353,19 @@ def repeated(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str
     several = stored(
         scan.groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("b"))
         .filter("a <> b").select("doc", F.lit(True).alias("several")),
-        "passages-several",
+        "passages-several", release=True,
     )
+    zero = F.lit(0).cast("long")
     if several.isEmpty():
+        key = ["doc"]
+
         def variants(df):
-            return df.withColumn("variant", F.lit(0).cast("long")).drop("same")
+            return df.withColumn("variant", zero).drop("same")
     else:
+        key = ["doc", "variant"]
+
         def variants(df):
-            apart = F.when(F.col("several"), F.col("same")).otherwise(0)
+            apart = F.when(F.col("several"), F.col("same")).otherwise(zero)
             return df.join(several, "doc", "left").withColumn("variant", apart).drop("same", "several")
 
     scan = variants(scan)
@@ -365,24 +374,23 @@ def repeated(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str
         scan.select("doc", "variant", "key", "n_words").join(least, "key")
         .filter("doc > least").select("doc", "variant", "n_words").distinct()
     )
-    marked = scan.select(
-        "doc", "variant", F.lit(0).cast("long").alias("offset"),
-        F.explode(F.arrays_zip(F.col("marks").alias("mark"), F.col("places").alias("place"))).alias("m"),
-    ).select(*UNIT, F.col("m.mark").alias("mark"), F.col("m.place").alias("place"))
-    units = variants(rows).select(
-        "doc", "variant", F.lit(0).cast("long").alias("offset"), F.col(text).alias("words")
-    ).dropDuplicates(UNIT)
-    parts = stored(pieces(units, routed(marked, copies.drop("n_words")), n, MARK), "passages-parts")
-    found = stored(matched(parts, n), "passages-found")
+    copies = stored(copies, "passages-copies", release=True)
+    marked = scan.select(*key, F.explode(F.arrays_zip("marks", "places")).alias("m")).select(
+        *key, F.col("m.marks").alias("mark"), F.col("m.places").alias("place")
+    )
+    routes = routed(marked, copies.select(*key))
+    units = variants(rows).select("doc", "variant", zero.alias("offset"), F.col(text).alias("words"))
+    units = units.dropDuplicates(UNIT)
+    parts = stored(pieces(units, routes, n, MARK), "passages-parts", release=True)
+    found = stored(matched(parts, n), "passages-found", release=True)
 
     left = found.filter("not matched").select(
         "doc", "variant", F.col("start").alias("offset"), "words"
     )
-    parts = stored(pieces(left, routed(windows(left, n)), n, n), "passages-rest")
+    rest = stored(pieces(left, routed(windows(left, n)), n, n), "passages-rest", release=True)
     spans = (
-        found.unionByName(matched(parts, n)).filter("matched").select("doc", "variant", "start", "stop")
-        .unionByName(copies.select("doc", "variant", F.lit(0).cast("long").alias("start"),
-                                   F.col("n_words").alias("stop")))
+        found.unionByName(matched(rest, n)).filter("matched").select("doc", "variant", "start", "stop")
+        .unionByName(copies.select("doc", "variant", zero.alias("start"), F.col("n_words").alias("stop")))
     )
     spans = spans.groupBy("doc", "variant").agg(
         F.collect_list(F.struct("start", "stop")).alias("spans")
