@@ -21,6 +21,7 @@ from pluvia.llm import (
     substring_dedup,
     token_blocks,
     warc,
+    whitening,
 )
 from pluvia.llm.shared import table
 
@@ -90,6 +91,12 @@ def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_digests(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond 64 bits is null here; ``whitening.whiten`` has it as a decimal."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def registry() -> dict[str, Query]:
     return {
         f.__name__: f
@@ -106,5 +113,6 @@ def registry() -> dict[str, Query]:
             op10_exact_dedup,
             op11_hard_negatives,
             op12_substring_dedup,
+            op13_whitening,
         )
     }
