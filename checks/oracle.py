@@ -171,6 +171,13 @@ def _inside(edges: str) -> str:
       GROUP BY ALL HAVING count(*) % 2 = 1)"""
 
 
+def _in_basin(points: str, key: str) -> str:
+    return f"""SELECT {key}, CAST(label AS VARCHAR) AS basin FROM (SELECT {key}, e.label
+      FROM {points} CROSS JOIN holed_edges e WHERE (y1 > lat) <> (y2 > lat)
+        AND lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1
+      GROUP BY ALL HAVING count(*) % 2 = 1)"""
+
+
 # distance on the ellipsoid, first order in the flattening
 _ELLIPSOID = """SELECT ix, iy, location, CASE WHEN s = 0 THEN 0 ELSE 2 * w * 6378.137 * (1
   + 1 / 298.257223563 * ((3 * r - 1) / (2 * c) * sf * cg - (3 * r + 1) / (2 * s) * cf * sg)) END
@@ -301,6 +308,8 @@ _STEPS = {
     "holed_edges": f"SELECT * FROM edges UNION ALL {_corners(v.HOLE)}",
     "inside": _inside("edges"),
     "inside_holed": _inside("holed_edges"),
+    "places_in": _in_basin("places", "vec_id"),
+    "stations_in": _in_basin("stations", "location"),
     "distances": _ELLIPSOID,
     "interpolated": """SELECT obs_date AS valid_date, ix, iy,
       CASE WHEN count(*) FILTER (d = 0) > 0 THEN avg(mm) FILTER (d = 0)
@@ -534,6 +543,11 @@ def statements() -> dict[str, str]:
         "regular_grid": s("ix:int iy:int x:6 y:6", "points"),
         "basin_mask": s("ix:int iy:int", "inside"),
         "basin_holes": s("ix:int iy:int", "inside_holed"),
+        "points_in_basins": s("vec_id basin", "places_in"),
+        "grid_in_basins": s("ix:int iy:int", "inside_holed"),
+        "stations_by_basin": s("basin n_stations:int n_wet:int mm:6", """(SELECT basin,
+          count(DISTINCT location) AS n_stations, count(*) AS n_wet, sum(mm) AS mm
+          FROM stations_in JOIN wet USING (location) GROUP BY basin)"""),
         "idw_grid": s("valid_date:day x:6 y:6 mm:6",
                       "(SELECT * FROM interpolated JOIN points USING (ix, iy))"),
         "value_bins": s("location obs_date:day mm:6 class:int", """(SELECT *,

@@ -32,6 +32,7 @@ from pluvia.operators import (
     interpolation,
     manifest,
     observations,
+    polygons,
     verification,
 )
 from pluvia.operators import consensus as vote
@@ -565,6 +566,40 @@ def basin_holes(spark, sf):
     return grid_and_mask(spark, sf, holes=True)[1].select("ix", "iy")
 
 
+def outlines(spark, sf) -> DataFrame:
+    """Basins with a hole each."""
+    return v.basins(spark, sf).unionByName(v.basins(spark, sf, v.HOLE))
+
+
+@query
+def points_in_basins(spark, sf):
+    """Every place with each basin it is in; holes are outside."""
+    places = v.located(spark, sf, 0).select("vec_id", "lon", "lat")
+    return polygons.points_in(places, outlines(spark, sf)).select("vec_id", "basin")
+
+
+@query
+def grid_in_basins(spark, sf):
+    """The grid's points through the join for free points: the same points as in ``basin_holes``."""
+    grid = interpolation.Grid.over(interpolation.ring_box(v.basins(spark, sf)))
+    points = interpolation.regular_grid(spark, grid)
+    return polygons.masked(points, outlines(spark, sf), "ix", "iy", x="x", y="y").select("ix", "iy")
+
+
+@query
+def stations_by_basin(spark, sf):
+    """Stations and their observations in each basin, from outlines stored as GeoJSON."""
+    path = session.shared_dir(spark, "basins")
+    writers.geojson_basins(outlines(spark, sf), path)
+    basins = readers.geojson_basins(spark, path, lines=True)
+    inside = polygons.points_in(v.stations(spark, sf), basins)
+    wet = observations.month_wet(v.obs_hist(spark, sf))
+    return inside.join(wet, "location").groupBy("basin").agg(
+        F.countDistinct("location").alias("n_stations"), F.count("*").alias("n_wet"),
+        F.sum("mm").alias("mm"),
+    )
+
+
 @query
 def idw_grid(spark, sf):
     grid, points = grid_and_mask(spark, sf)

@@ -86,7 +86,12 @@ def _row_at(y: Column, grid: Grid) -> Column:
 
 
 def inside_points(basins: DataFrame, grid: Grid) -> DataFrame:
-    """Column and row of every grid point inside at least one basin.
+    """Column and row of every grid point inside at least one basin."""
+    return inside_cells(basins, grid).select("ix", "iy").distinct()
+
+
+def inside_cells(basins: DataFrame, grid: Grid) -> DataFrame:
+    """Column and row of every grid point inside a basin, for each basin.
 
     Each outline edge goes to the grid rows it spans and gives the place it crosses there.
     Between an odd crossing of a row and the next one the row is inside. The work follows
@@ -129,8 +134,7 @@ def inside_points(basins: DataFrame, grid: Grid) -> DataFrame:
         .filter("start <= stop")
         .withColumn("ix", F.explode(F.sequence("start", "stop")))
         .filter((x >= F.col("from")) & (x < F.col("to")))
-        .select("ix", "iy")
-        .distinct()
+        .select("basin", "ix", "iy")
     )
 
 

@@ -114,6 +114,35 @@ def basins(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.BASIN).json(path)
 
 
+def geojson_basins(
+    spark: SparkSession, path: str, name: str = "NOMBRE", lines: bool = False
+) -> DataFrame:
+    """Outlines from GeoJSON: ``name, ring``, a row for each ring of each polygon, holes too.
+
+    A file is a FeatureCollection; with ``lines`` each line is a Feature. ``name`` is the property that
+    names a polygon. The parts of a MultiPolygon share the name, as the rings of a polygon do. The point
+    that closes a ring is left out. Features of other geometry types have no ring and give no row.
+    """
+    feature = "struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>"
+    text = spark.read.text(path, wholetext=not lines)
+    if lines:
+        features = text.select(F.from_json("value", feature).alias("f"))
+    else:
+        collection = F.from_json("value", f"features array<{feature}>")
+        features = text.select(F.explode(collection["features"]).alias("f"))
+    shape, rings = "array<array<array<double>>>", F.col("f.geometry.coordinates")
+    polygons = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json(rings, shape))).when(
+        F.col("f.geometry.type") == "MultiPolygon", F.from_json(rings, f"array<{shape}>")
+    )
+    found = features.select(
+        F.col("f.properties")[name].alias("name"), F.explode(F.flatten(polygons)).alias("ring")
+    )
+    closed = F.element_at("ring", 1) == F.element_at("ring", -1)
+    opened = F.when(closed, F.slice("ring", 1, F.size("ring") - 1)).otherwise(F.col("ring"))
+    points = F.transform(opened, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
+    return found.filter(F.size("ring") > 1).select("name", points.alias("ring"))
+
+
 def index_pages(spark: SparkSession, path: str) -> DataFrame:
     """Saved index pages, one whole file each."""
     return spark.read.text(path, wholetext=True).select(

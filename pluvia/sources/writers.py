@@ -84,3 +84,17 @@ def daily_grids(grid: DataFrame, path: str) -> None:
 def series(df: DataFrame, path: str) -> None:
     """A station or cell series as Parquet in day order within files."""
     df.sortWithinPartitions("valid_date").write.mode("overwrite").parquet(path)
+
+
+def geojson_basins(basins: DataFrame, path: str, name: str = "NOMBRE") -> None:
+    """Outlines as GeoJSON, a Feature a line; the rings of one name become one Polygon, whose holes the
+    even-odd rule finds whatever their order."""
+    point = lambda p: F.array(p["x"], p["y"])
+    ring = F.transform(F.concat("ring", F.slice("ring", 1, 1)), point)
+    outlines = basins.filter(F.size("ring") > 0).groupBy("name").agg(F.collect_list(ring).alias("rings"))
+    feature = F.struct(
+        F.lit("Feature").alias("type"),
+        F.create_map(F.lit(name), F.col("name")).alias("properties"),
+        F.struct(F.lit("Polygon").alias("type"), F.col("rings").alias("coordinates")).alias("geometry"),
+    )
+    outlines.select(F.to_json(feature).alias("value")).write.mode("overwrite").text(path)
