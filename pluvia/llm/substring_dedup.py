@@ -18,6 +18,7 @@ of a shard with its streams, so a shard that a third of all documents share is s
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
 from collections import OrderedDict
@@ -118,35 +119,68 @@ def ranges(inside: list[bool]) -> Iterator[tuple[int, int]]:
         yield start, len(inside)
 
 
-def hashed_words(text: bytes) -> np.ndarray:
-    """A hash for each word, worked out about ``STEP`` bytes at a time."""
-    parts, at = [], 0
+@functools.lru_cache(2)
+def powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd number and of its inverse, modulo 2**64."""
+    both = (int(sh.BASE), pow(int(sh.BASE), -1, 1 << 64))
+    up, down = (np.cumprod(np.r_[np.uint64(1), np.full(size - 1, x, np.uint64)]) for x in both)
+    return up, down
+
+
+def hashed_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word. Words that differ in the case of A-Z alone have one hash."""
+    letters = np.frombuffer(data, np.uint8)
+    up, down = powers(1 << max(20, len(data).bit_length()))
+    inside = np.zeros(len(data) + 2, bool)
+    inside[1:-1] = ~sh.SPACE[letters]
+    starts, ends = np.flatnonzero(inside[1:] != inside[:-1]).reshape(-1, 2).T
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(sh.CODES[letters] * up[: len(data)], out=sums[1:])
+    return sh.mixed((sums[ends] - sums[starts]) * down[starts]), starts
+
+
+def hashed_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of some short texts or of a long one, and where each text's words end."""
+    if len(texts) > 1:
+        words, starts = hashed_words(b" ".join(texts))
+        return words, np.searchsorted(starts, np.cumsum([len(t) + 1 for t in texts]))
+    text, parts, at = texts[0], [np.empty(0, np.uint64)], 0
     while at < len(text):
         cut = BREAK.search(text, at + STEP)
         end = cut.start() if cut else len(text)
-        parts.append(sh.word_hashes(np.frombuffer(text, np.uint8, end - at, at))[0])
+        parts.append(hashed_words(text[at:end])[0])
         at = end
-    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+    words = np.concatenate(parts)
+    return words, np.array([len(words)])
+
+
+def sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
+    """``pick`` (minimum or maximum) of each ``width`` neighbours."""
+    done = 1
+    while done < width:
+        step = min(done, width - done)
+        x, done = pick(x[:-step], x[step:]), done + step
+    return x
 
 
 def marks(words: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and place of each mark of the texts that end at ``ends`` among the hashed ``words``."""
-    windows = len(words) - n + 1
-    if windows < 1:
+    """Hash and place of each mark of the texts that end at ``ends`` among the hashed ``words``.
+
+    A run of words is a mark if it has the smallest hash of a window, several if they tie.
+    """
+    if len(words) < n:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     grams = np.zeros(len(words) - MARK + 1, np.uint64)
     for j in range(MARK):
         grams += words[j : j + len(grams)] * STEPS[j]
-    grams = sh.mixed(grams)
-    least, place = grams[:windows].copy(), np.arange(windows)
-    for j in range(1, n - MARK + 1):
-        other = grams[j : j + windows]
-        less = other < least
-        least[less] = other[less]
-        place[less] = np.flatnonzero(less) + j
-    first = np.arange(windows)
-    whole = first + n <= ends[np.searchsorted(ends, first, "right")]
-    place = np.unique(place[whole])
+    grams = sh.mixed(grams) | np.uint64(1)
+    width = n - MARK + 1
+    least = sliding(grams, width, np.minimum)
+    for end in ends:  # windows that reach into the next text
+        least[max(0, end - n + 1) : end] = 0
+    around = np.zeros(len(least) + 2 * (width - 1), np.uint64)
+    around[width - 1 : width - 1 + len(least)] = least
+    place = np.flatnonzero(sliding(around, width, np.maximum) == grams)
     return grams[place], place
 
 
@@ -158,10 +192,9 @@ def scanned(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             texts = [t.encode() for t in batch["text"].to_pylist()]
             for a, b in slices(texts):
-                hashes = [hashed_words(t) for t in texts[a:b]]
-                counts = np.array([len(h) for h in hashes])
-                ends = np.cumsum(counts)
-                found, places = marks(np.concatenate(hashes), ends, n)
+                words, ends = hashed_texts(texts[a:b])
+                counts = np.diff(ends, prepend=0)
+                found, places = marks(words, ends, n)
                 cuts = np.searchsorted(places, np.r_[0, ends])
                 places = places - np.repeat(ends - counts, np.diff(cuts))
                 lists = [
@@ -350,11 +383,11 @@ def repeated(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str
     rows = docs.select(F.col(f"`{doc_id}`").alias(doc_id), text_of(text).alias(text))
     rows = named(rows).filter("doc IS NOT NULL")
     scan = stored(scanned(rows.select("doc", "same", F.col(text).alias("text")), n), "passages")
-    several = stored(
-        scan.groupBy("doc").agg(F.min("key").alias("a"), F.max("key").alias("b"))
-        .filter("a <> b").select("doc", F.lit(True).alias("several")),
-        "passages-several", release=True,
+    again = scan.groupBy("doc").agg(
+        F.count("*").alias("n"), (F.min("key") != F.max("key")).alias("several")
     )
+    again = stored(again.filter("n > 1").drop("n"), "passages-again", release=True)
+    several = again.filter("several")
     zero = F.lit(0).cast("long")
     if several.isEmpty():
         key = ["doc"]
@@ -380,7 +413,8 @@ def repeated(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str
     )
     routes = routed(marked, copies.select(*key))
     units = variants(rows).select("doc", "variant", zero.alias("offset"), F.col(text).alias("words"))
-    units = units.dropDuplicates(UNIT)
+    if not again.isEmpty():
+        units = units.dropDuplicates(UNIT)
     parts = stored(pieces(units, routes, n, MARK), "passages-parts", release=True)
     found = stored(matched(parts, n), "passages-found", release=True)
 
@@ -412,11 +446,11 @@ def kept_words(texts: pd.Series, spans: pd.Series) -> pd.DataFrame:
     """Number of words, number of words that go, and the others joined by one space."""
     rows = []
     for text, gone in zip(texts, spans):
-        words = text.encode().split()
-        keep = np.ones(len(words), bool)
-        for span in () if gone is None else gone:
-            keep[span["start"] : span["stop"]] = False
-        rest = [words[i] for i in np.flatnonzero(keep)]
+        words, rest, at = text.encode().split(), [], 0
+        for start, stop in sorted((x["start"], x["stop"]) for x in (() if gone is None else gone)):
+            rest += words[at:start]
+            at = max(at, stop)
+        rest += words[at:]
         rows.append((len(words), len(words) - len(rest), b" ".join(rest).decode()))
     return pd.DataFrame(rows, columns=["n_words", "n_removed", "text"])
 

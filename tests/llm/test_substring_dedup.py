@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from pluvia.llm import substring_dedup as sd
@@ -122,9 +123,29 @@ def test_automaton_has_the_longest_matches():
 def test_words_hashed_in_steps(monkeypatch):
     rng = random.Random(19)
     text = sentence(rng, 3000).encode()
-    whole = sd.hashed_words(text).tolist()
+    whole = sd.hashed_texts([text])[0].tolist()
+    assert len(set(whole)) == len(set(text.split()))
     monkeypatch.setattr(sd, "STEP", 100)
-    assert sd.hashed_words(text).tolist() == whole and len(whole) == 3000
+    assert sd.hashed_texts([text])[0].tolist() == whole and len(whole) == 3000
+    parts = [text[:1500], b"", text[1500:]]
+    words, ends = sd.hashed_texts(parts)
+    assert ends.tolist() == [len(parts[0].split()), len(parts[0].split()), len(words)]
+    assert sd.hashed_texts([b""])[0].tolist() == [] == sd.hashed_texts([b" ", b""])[0].tolist()
+
+
+def test_marks_belong_to_windows():
+    """Every window has a mark that depends on its own words only."""
+    rng = np.random.default_rng(21)
+    words = rng.integers(0, 30, 800).astype(np.uint64)
+    ends = np.array([0, 100, 105, 105, 400, 800])
+    found, places = sd.marks(words, ends, 13)
+    least = {}
+    grams = {p: h for h, p in zip(found.tolist(), places.tolist())}
+    for a, b in zip([0, *ends], ends):
+        for i in range(a, b - 12):
+            inside = [grams[p] for p in range(i, i + 9) if p in grams]
+            least.setdefault(tuple(words[i : i + 13].tolist()), set()).add(min(inside))
+    assert all(len(x) == 1 for x in least.values()) and len(places) < 400
 
 
 def test_query_digest(spark):
