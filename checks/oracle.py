@@ -204,6 +204,12 @@ _STEPS = {
       SELECT unnest(generate_series(CAST(CAST(min(ts) AS DATE) - 5 AS TIMESTAMP),
         CAST(CAST(max(ts) AS DATE) + 5 AS TIMESTAMP) + INTERVAL 18 HOUR, INTERVAL 6 HOUR))
       AS ts FROM events)""",
+    "alarms": f"""SELECT issue_id, due, CASE WHEN a > due THEN 'late' WHEN a IS NULL
+      AND due < (SELECT max(ts) FROM events) THEN 'missing' END AS status,
+      CAST(floor(epoch(a)) - epoch(due) AS BIGINT) AS late_seconds
+      FROM (SELECT issue_id, issue_ts, issue_ts + to_seconds({v.LATENCY.seconds}) AS due FROM expected)
+      LEFT JOIN (SELECT date_trunc('day', ts) + to_hours(6 * (hour(ts) // 6)) AS issue_ts, min(ts) AS a
+        FROM events GROUP BY 1) USING (issue_ts)""",
     "links": """SELECT page_id, unnest(l) AS link, generate_subscripts(l, 1) - 1 AS pos
       FROM (SELECT page_id, regexp_extract_all(html, '<a href="(.*?)"', 1) AS l FROM pages)""",
     "daily_reforecast": _daily(12),
@@ -582,4 +588,7 @@ def statements() -> dict[str, str]:
         "stream_daily": s("product issue_id cell_id:int valid_date:day mm:6", f"""(
           SELECT 'operational' AS product, {_ID}, * FROM daily_operational)"""),
         "stream_consensus": s(cons, "consensus_operational"),
+        "stream_votes": s(cons, "(SELECT 'operational' AS product, * FROM vote_operational)"),
+        "stream_alarms": s("issue_id status due:time late_seconds:int", "alarms WHERE status IS NOT NULL"),
+        "overdue_issues": s("issue_id status due:time late_seconds:int", "alarms WHERE status IS NOT NULL"),
     }

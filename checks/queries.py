@@ -39,7 +39,7 @@ from pluvia.operators import consensus as vote
 from pluvia.operators import stations as st
 from pluvia.plans import products
 from pluvia.sources import readers, writers
-from pluvia.streaming import ingest
+from pluvia.streaming import ingest, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 _REGISTRY: dict[str, Query] = {}
@@ -730,3 +730,45 @@ def stream_within(spark, sf):
 def stream_consensus(spark, sf):
     out = _run_stream(spark, sf, True)
     return ingest.read_consensus(spark, f"{out}/consensus", OPERATIONAL, *v.RANGE)
+
+
+@query
+def stream_votes(spark, sf):
+    """The votes of keyed state, over the stream of events."""
+    events = v.table(spark, sf, "events")
+    stream = ingest.forecast_stream(spark, sf, events.schema, pathGlobFilter="events.parquet")
+    out = session.shared_dir(spark, "votes")
+    steps = v.from_events(stream).drop("units")
+    stateful.start_votes(steps, OPERATIONAL, f"{out}/votes", f"{out}/checkpoint").awaitTermination()
+    return stateful.read_votes(spark, f"{out}/votes")
+
+
+def _alarm_columns(alarms: DataFrame) -> DataFrame:
+    late = F.unix_seconds(F.col("arrived").cast("timestamp")) - F.unix_seconds(F.col("due").cast("timestamp"))
+    return alarms.select(
+        "issue_id", "status", F.col("due").cast("timestamp_ntz").alias("due"), late.alias("late_seconds")
+    )
+
+
+@query
+def stream_alarms(spark, sf):
+    """Issues that no event, or only a late one, belongs to, raised by timers while events come."""
+    events = v.table(spark, sf, "events")
+    out = session.shared_dir(spark, "alarms")
+    writers.stage(v.expected_issues(spark, sf), f"{out}/expected")
+    planned = spark.readStream.schema("issue_id string, issue_ts timestamp_ntz").parquet(f"{out}/expected")
+    stream = ingest.forecast_stream(spark, sf, events.schema, pathGlobFilter="events.parquet")
+    run = stateful.start_alarms(
+        planned, v.arrivals(stream), v.LATENCY, f"{out}/alarms", f"{out}/checkpoint"
+    )
+    run.awaitTermination()
+    return _alarm_columns(stateful.read_alarms(spark, f"{out}/alarms"))
+
+
+@query
+def overdue_issues(spark, sf):
+    """The same alarms from the stored tables."""
+    events = v.table(spark, sf, "events")
+    now = events.agg(F.max("ts")).scalar()
+    came = v.arrivals(events).withColumn("arrived", F.col("arrived").cast("timestamp_ntz"))
+    return _alarm_columns(manifest.overdue(v.expected_issues(spark, sf), came, v.LATENCY, now))

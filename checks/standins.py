@@ -18,6 +18,7 @@ RANGE = (dt.date(2023, 12, 31), dt.date(2024, 2, 29))
 OBS_RANGE = (dt.date(1996, 1, 1), dt.date(1999, 12, 31))
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 RERUN = dt.datetime(2024, 1, 16)  # first issue of the second real-time run
+LATENCY = dt.timedelta(minutes=3)  # after which an issue is late
 STATION = "Supplier 000000007"
 HOLE = 0.4  # size of a hole in a basin
 DRY = 40.0  # event values up to this stand for a dry step
@@ -50,6 +51,13 @@ def from_events(events: DataFrame) -> DataFrame:
     )
 
 
+def arrivals(events: DataFrame) -> DataFrame:
+    """When something of an issue came: each event's time."""
+    quarter = F.floor(F.hour("ts") / 6) * 6
+    at = F.to_date("ts").cast("timestamp_ntz") + F.make_dt_interval(hours=quarter)
+    return events.select(dates.issue_id(at).alias("issue_id"), F.col("ts").cast("timestamp").alias("arrived"))
+
+
 def forecast_6h(spark: SparkSession, sf: str) -> DataFrame:
     return from_events(table(spark, sf, "events"))
 

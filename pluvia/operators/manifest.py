@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,24 @@ def manifest_slice(manifest: DataFrame, first: int, last: int) -> DataFrame:
     return manifest.orderBy("issue_id").offset(first - 1).limit(last - first + 1)
 
 
+def overdue(
+    expected: DataFrame, arrivals: DataFrame, latency: dt.timedelta, now: Column
+) -> DataFrame:
+    """Issues that were not there in time, as known at ``now``: ``issue_id, status, due, arrived``.
+
+    ``expected`` (``issue_id, issue_ts``) are due ``latency`` after their time. ``arrivals``
+    (``issue_id, arrived``) may have many rows an issue, of which the first counts. An issue is ``late``
+    if that is after the due time, and ``missing`` if there is none and the due time is over.
+    """
+    first = arrivals.groupBy("issue_id").agg(F.min("arrived").alias("arrived"))
+    due = F.col("issue_ts") + F.expr(f"INTERVAL {int(latency.total_seconds())} SECONDS")
+    status = F.when(F.col("arrived") > F.col("due"), "late").when(
+        F.col("arrived").isNull() & (F.col("due") < now), "missing"
+    )
+    known = expected.select("issue_id", due.alias("due")).distinct().join(first, "issue_id", "left")
+    return known.select("issue_id", status.alias("status"), "due", "arrived").filter("status IS NOT NULL")
+
+
 def issue_ordinal(issues: DataFrame) -> DataFrame:
     """Position (from 1) of each issue in time order.
 

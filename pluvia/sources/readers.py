@@ -140,7 +140,8 @@ def geojson_basins(
     closed = F.element_at("ring", 1) == F.element_at("ring", -1)
     opened = F.when(closed, F.slice("ring", 1, F.size("ring") - 1)).otherwise(F.col("ring"))
     points = F.transform(opened, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))
-    return found.filter(F.size("ring") > 1).select("name", points.alias("ring"))
+    ring = points.cast(schemas.BASIN["ring"].dataType)
+    return found.filter(F.size("ring") > 1).select("name", ring.alias("ring"))
 
 
 def index_pages(spark: SparkSession, path: str) -> DataFrame:
