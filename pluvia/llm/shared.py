@@ -40,6 +40,19 @@ def stored(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Reading tasks at most; beyond that each takes more.
+MOST_TASKS = 50_000
+
+
+def dealt(ranges: DataFrame, n: int, a_task: int, *keys: str) -> DataFrame:
+    """``n`` small rows that each stand for a large piece of work, dealt out to tasks: ``a_task`` each,
+    fewer where there are cores to spare. The number is fixed, as AQE would put such small rows
+    together in one task."""
+    cores = ranges.sparkSession.sparkContext.defaultParallelism
+    tasks = min(max(-(-n // a_task), 2 * cores), n, MOST_TASKS)
+    return ranges.repartition(max(1, tasks), *keys)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

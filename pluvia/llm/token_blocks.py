@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pluvia.llm.shared import stored, text_of
+from pluvia.llm.near_dedup import slices
+from pluvia.llm.shared import dealt, stored, text_of
 from pluvia.llm.vocabularies import LibraryEncoder
 from pluvia.session import shared_dir
 
@@ -35,8 +36,9 @@ PERCENTILE = 95
 MAGIC = b"PFORIDS1"
 HEAD = struct.Struct("<IBHH")
 TRAILER = struct.Struct("<qqq8s")
-#: Ids that one reading task takes from a file.
+#: Ids of a range that is read at once, and ranges that a task reads.
 CHUNK = 1 << 20
+CHUNKS_A_TASK = 8
 
 
 def pack(values: np.ndarray, width: int) -> np.ndarray:
@@ -205,7 +207,7 @@ def write(
     def to_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode
+        part, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode_all
         end = np.array([end_id], "<u4").tobytes()
         store, base = fs.FileSystem.from_uri(folder)
         writer = out = None
@@ -215,8 +217,10 @@ def write(
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.ids"
                 out = store.open_output_stream(f"{base}/{name}")
                 writer = Writer(out)
-            for i, t in zip(batch["doc_id"].to_pylist(), batch["text"]):
-                writer.add(i, encode(t.as_py()) + end)
+            numbers, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
+            for a, b in slices(texts):
+                for i, ids in zip(numbers[a:b], encode(texts[a:b])):
+                    writer.add(i, ids + end)
         if writer:
             size = writer.close()
             out.close()
@@ -281,7 +285,8 @@ def _read(files: DataFrame, field: str, use) -> DataFrame:
         "path", "base",
         F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("ids") / CHUNK))).alias("chunk"),
     )
-    spread = chunks.repartition(F.col("path"), F.col("chunk"))
+    n = files.agg(F.sum(F.floor(F.col("ids") / CHUNK) + 1)).first()[0] or 0
+    spread = dealt(chunks, n, CHUNKS_A_TASK, "path", "chunk")
     return spread.mapInPandas(from_file, f"doc_id long, start long, n_tokens long, {field}")
 
 

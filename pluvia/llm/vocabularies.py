@@ -87,15 +87,19 @@ class LibraryEncoder:
             self.sizes[i] = len(token)
         self.known = Memory(self._one)
 
+    def _ids(self, text: str) -> np.ndarray:
+        found = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
+        return np.array(found, "<u4")
+
     def _one(self, stretch: str) -> bytes:
-        return np.array(self.library.encode(stretch, add_special_tokens=False).ids, "<u4").tobytes()
+        return self._ids(stretch).tobytes()
 
     def _learn(self, stretches: list[str]) -> None:
         """Encodes stretches that begin with white space and end without as one text; they are split
         there as anywhere. Tokens cover the bytes of a text one after the other, so their lengths
         tell to which stretch each belongs."""
         text = "".join(stretches)
-        ids = np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
+        ids = self._ids(text)
         sizes = map(len, stretches) if text.isascii() else (len(s.encode()) for s in stretches)
         places = np.searchsorted(np.cumsum(self.sizes[ids]), np.cumsum(list(sizes)), "right")
         raw, known, first = ids.tobytes(), self.known, 0
@@ -103,30 +107,47 @@ class LibraryEncoder:
             known[stretch] = raw[first:end]
             first = end
 
+    def _know(self, stretches: set[str]) -> None:
+        """Sees to it that all of these are remembered; new ones are learned in one call."""
+        known, old = self.known, self.known.old
+        new = stretches.difference(known)
+        for s in new.intersection(old):
+            known[s] = old.pop(s)
+            new.discard(s)
+        alone = [s for s in new if not s[0].isspace() or s[-1].isspace()]
+        for s in alone:
+            known[s]  # the library's own ids
+        new.difference_update(alone)
+        # after a letter the mark is a token of its own
+        marked = [s for s in new if s[-1] in ".,;:!?" and s[-2].isalpha()]
+        new.difference_update(marked)
+        for s in {s[:-1] for s in marked}.difference(known, new):
+            if s in old:
+                known[s] = old.pop(s)
+            else:
+                new.add(s)
+        if new:
+            self._learn(list(new))
+        for s in marked:
+            known[s] = known[s[:-1]] + known[s[-1]]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers. New stretches of all texts
+        are learned together, so a slice of about a megabyte costs one call."""
+        split = [
+            self.STRETCH.findall(t)
+            if self.by_stretch and (t.isascii() or not self.OTHER_SPACE.search(t))
+            else None
+            for t in texts
+        ]
+        known = self.known
+        self._know({s for pieces in split if pieces for s in pieces})
+        found = [
+            self._one(t) if pieces is None else b"".join(map(known.__getitem__, pieces))
+            for t, pieces in zip(texts, split)
+        ]
+        known.make_room()
+        return found
+
     def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not self.by_stretch or not text.isascii() and self.OTHER_SPACE.search(text):
-            return self._one(text)
-        stretches, known = self.STRETCH.findall(text), self.known
-        found = list(map(known.get, stretches))
-        gaps = [i for i, ids in enumerate(found) if ids is None]
-        if gaps:
-            new: dict[str, None] = {}
-            marked = []
-            for s in dict.fromkeys(stretches[i] for i in gaps):
-                if s in known.old or not s[0].isspace() or s[-1].isspace():
-                    known[s]  # remembered from before, or alone
-                elif s[-1] in ".,;:!?" and s[-2].isalpha():
-                    marked.append(s)  # the mark is a token of its own after a letter
-                    if s[:-1] not in known and s[:-1] not in known.old:
-                        new[s[:-1]] = None
-                else:
-                    new[s] = None
-            if new:
-                self._learn(list(new))
-            for s in marked:
-                known[s] = known[s[:-1]] + known[s[-1]]
-            for i in gaps:
-                found[i] = known[stretches[i]]
-            known.make_room()
-        return b"".join(found)
+        return self.encode_all([text])[0]

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pluvia.llm.shared import stored, text_of
+from pluvia.llm.shared import dealt, stored, text_of
 from pluvia.session import shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
@@ -29,6 +29,7 @@ VERSION = b"WARC/1.1"
 #: Payloads of fewer bytes are never replaced by a revisit.
 MIN_REVISIT = 100
 SPLIT_BYTES = 1 << 20
+RANGES_A_TASK = 32
 READ_BYTES = 1 << 18
 GZIP_LEVEL = 4
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -166,9 +167,15 @@ def with_revisits(
         .filter("n > 1")
         .select("key", "first")
     )
+    # short payloads refer to nothing: their rows are spread by id, or the empty one would be a hot key
+    apart = F.unhex(F.sha2(F.concat(F.lit("id "), F.coalesce(F.col("id").cast("string"), "url", F.lit(""))), 256))
+    long = F.octet_length("payload") >= MIN_REVISIT
+    rows = rows.withColumn("digest", F.lower(F.hex("key"))).withColumn(
+        "key", F.when(long, F.col("key")).otherwise(apart)
+    )
     refers = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
     return rows.join(first, "key", "left").select(
-        "id", "url", "payload", F.lower(F.hex("key")).alias("digest"), refers.alias("refers_to")
+        "id", "url", "payload", "digest", refers.alias("refers_to")
     )
 
 
@@ -264,7 +271,8 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES, payload: bool = False
         "path", "bytes", "start",
         F.least(F.col("start") + split_bytes, F.col("bytes")).alias("end"),
     )
-    return ranges.repartition("path", "start").mapInPandas(from_ranges, schema)
+    n = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 0
+    return dealt(ranges, n, RANGES_A_TASK, "path", "start").mapInPandas(from_ranges, schema)
 
 
 def write_and_read(

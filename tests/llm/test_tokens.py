@@ -174,3 +174,26 @@ def test_other_files_go_to_the_library_whole():
     assert not encoder.by_stretch
     want = encoder.library.encode("A b  C", add_special_tokens=False).ids
     assert np.frombuffer(encoder.encode("A b  C"), "<u4").tolist() == want
+
+
+def test_texts_learned_together(library):
+    """Slices of texts, with stretches that were remembered, forgotten and new."""
+    encoder = LibraryEncoder(BYTES)
+    encoder.known.limit = 40
+    texts = ODD + [r[1] for r in odd_rows() if r[1]] + ["a,b, c. d", ",", " ,", "x\n\n, y;", "word, word word."]
+    for k in (1, 3, len(texts)):
+        for a in range(0, len(texts), k):
+            got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_all(texts[a : a + k])]
+            assert got == [ids_of(library, BYTES, t) for t in texts[a : a + k]]
+    assert encoder.encode_all([]) == []
+
+
+def test_files_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tb, "CHUNK", 500)
+    monkeypatch.setattr(tb, "CHUNKS_A_TASK", 2)
+    docs = frame(spark, odd_rows())
+    files = tb.write(docs, str(tmp_path / "ids"), BYTES, 2)
+    n = files.agg({"ids": "sum"}).first()[0]
+    read = tb.read(files)
+    assert read.rdd.getNumPartitions() >= n / 1000 > 8
+    assert read.count() == docs.count()

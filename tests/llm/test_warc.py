@@ -90,3 +90,14 @@ def test_ids():
     for i in ("1", "a b<>/é", "null"):
         assert warc.id_of(warc.record_urn(i)) == i
     assert warc.id_of(warc.record_urn(None)) is None and warc.id_of(None) is None
+
+
+def test_archives_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "RANGES_A_TASK", 2)
+    pages = spark.createDataFrame(
+        [(i, f"http://x/{i}", f"{i} " * 400) for i in range(300)], "page_id long, url string, html string"
+    )
+    files = warc.write(pages, str(tmp_path / "warc"))
+    read = warc.read(files, split_bytes=512)
+    assert read.rdd.getNumPartitions() >= files.agg({"bytes": "sum"}).first()[0] / 1024 > 8
+    assert read.count() == 300
