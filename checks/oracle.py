@@ -580,6 +580,14 @@ def statements() -> dict[str, str]:
                                 f"obs_hist WHERE location = '{v.STATION}'"),
         "stage_replaced": s("product issue_id cell_id:int valid_date:day mm:6", f"""(
           SELECT 'operational' AS product, {_ID}, * FROM daily_operational)"""),
+        "stage_added": s("product issue_id cell_id:int valid_date:day mm:6", f"""(
+          SELECT 'operational' AS product, {_ID}, * FROM daily_operational)"""),
+        "forecast_added": s("issue_id lat_idx:int lon_idx:int step:int prate:12",
+                            f"(SELECT {_ID}, lat_idx, lon_idx, step, prate FROM fc6h)"),
+        "listed_issues": s("issue_id issue_ts:time", "issues"),
+        "polygon_rings": s("source name i:int n:int west:6 north:6", """(SELECT source,
+          CAST(label AS VARCHAR) AS name, i, count(*) AS n, min(x1) AS west, max(y1) AS north
+          FROM holed_edges, (VALUES ('geojson'), ('rows')) x(source) GROUP BY ALL)"""),
         "daily_grid_files": s("valid_date:day x:6 y:6 mm:6", """(SELECT obs_date AS valid_date,
           lon AS x, lat AS y, mm FROM obs_recent JOIN stations USING (location))"""),
         # streams

@@ -684,9 +684,53 @@ def stage_replaced(spark, sf):
     rows = totals(spark, sf, OPERATIONAL)
     writers.daily(rows.withColumn("mm", F.col("mm") + 1.0), path)
     writers.daily(rows, path)
-    return with_id(readers.stage(spark, path, schemas.FORECAST_DAILY_STORED).drop("issue_month"))
+    return with_id(readers.daily_totals(spark, path).drop("issue_month"))
 
 
+@query
+def stage_added(spark, sf):
+    """Daily totals written in two runs, the issues of odd and of even days: both stay."""
+    path = session.shared_dir(spark, "daily")
+    rows = totals(spark, sf, OPERATIONAL)
+    for odd in (1, 0):
+        writers.daily(rows.filter(F.dayofmonth("issue_ts") % 2 == odd), path)
+    return with_id(readers.daily_totals(spark, path).drop("issue_month"))
+
+
+@query(prate=12)
+def forecast_added(spark, sf):
+    """Forecasts written issue hour by issue hour, the last one twice."""
+    path = session.shared_dir(spark, "forecast")
+    steps = v.stored_forecast(spark, sf, OPERATIONAL.name)
+    for hour in (0, 6, 12, 18, 18):
+        writers.forecast(steps.filter(F.hour("issue_ts") == hour), path)
+    found = readers.forecast(spark, path, OPERATIONAL.name)
+    return with_id(found.select("issue_ts", "lat_idx", "lon_idx", "step", "prate"))
+
+
+@query
+def listed_issues(spark, sf):
+    """Issues by the names of the files that hold them, a file an issue."""
+    out = session.shared_dir(spark, "listing")
+    steps = v.stored_forecast(spark, sf, OPERATIONAL.name)
+    writers.forecast(steps, f"{out}/forecast")
+    return readers.issue_folders(spark, f"{out}/forecast")
+
+
+@query
+def polygon_rings(spark, sf):
+    """Rings written as GeoJSON and as rows, read from both."""
+    out = session.shared_dir(spark, "rings")
+    writers.geojson_basins(outlines(spark, sf), f"{out}/geojson")
+    outlines(spark, sf).write.json(f"{out}/rows")
+    both = readers.geojson_basins(spark, f"{out}/geojson", lines=True).withColumn(
+        "source", F.lit("geojson")
+    ).unionByName(readers.basins(spark, f"{out}/rows").withColumn("source", F.lit("rows")))
+    corner = both.select("source", "name", F.posexplode("ring").alias("i", "p"))
+    return corner.groupBy("source", "name", "i").agg(
+        F.count("*").alias("n"), F.min("p.x").alias("west"), F.max("p.y").alias("north")
+    )
+
 @query
 def daily_grid_files(spark, sf):
     """A grid a day, with the days taken from the folders."""

@@ -130,8 +130,7 @@ def build_brick(
     issues = first_issue, last_issue
     steps = daily.subgrid(readers.forecast(spark, forecast_path, product.name, *issues))
     writers.daily(daily.daily_totals(steps, product, placement), out, whole)
-    stored = readers.stage(spark, out, schemas.FORECAST_DAILY_STORED)
-    return readers.of_issues(stored.filter(F.col("product") == product.name), *issues)
+    return readers.daily_totals(spark, out, product.name, *issues)
 
 
 def build_reforecast(spark: SparkSession, forecast_path: str, out: str) -> None:

@@ -37,6 +37,15 @@ def listed_issues(spark: SparkSession, path: str) -> DataFrame:
     return files.select(issue.alias("issue_id"), dates.parse_issue(issue).alias("issue_ts"))
 
 
+def issue_folders(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of the issues that ``writers.forecast`` or ``daily`` stored, from the folder names alone: no
+    file is opened."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    issue = F.regexp_extract("path", r"/issue=(\d{10})/", 1)
+    ids = files.select(issue.alias("issue_id")).filter("issue_id <> ''").distinct()
+    return ids.select("issue_id", dates.parse_issue(F.col("issue_id")).alias("issue_ts"))
+
+
 def forecast(
     spark: SparkSession,
     path: str,
@@ -49,7 +58,7 @@ def forecast(
 
     With a product or a range of issues only their folders are read. ``variable=None`` gives all.
     """
-    df = spark.read.schema(schemas.FORECAST_STORED).parquet(path)
+    df = spark.read.schema(schemas.FORECAST_STORED).parquet(path).drop("issue")
     if variable is not None:
         df = daily.of_variable(df, variable)
     if product is not None:
@@ -57,6 +66,21 @@ def forecast(
     return of_issues(df, first_issue, last_issue)
 
 
+def daily_totals(
+    spark: SparkSession,
+    path: str,
+    product: str | None = None,
+    first_issue: dt.datetime | None = None,
+    last_issue: dt.datetime | None = None,
+) -> DataFrame:
+    """Daily totals written by ``writers.daily``; with a product or a range of issues only their
+    folders are read."""
+    df = spark.read.schema(schemas.FORECAST_DAILY_STORED).parquet(path).drop("issue")
+    if product is not None:
+        df = df.filter(F.col("product") == product)
+    return of_issues(df, first_issue, last_issue)
+
+
 def of_issues(
     df: DataFrame, first_issue: dt.datetime | None = None, last_issue: dt.datetime | None = None
 ) -> DataFrame:

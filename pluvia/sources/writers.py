@@ -26,28 +26,39 @@ def stage(
     writer.parquet(path)
 
 
+#: Folders of stored forecasts and daily totals: readers prune by product and month, and a write replaces
+#: the issues that it brings and no others.
+ISSUE_FOLDERS = ("product", "issue_month", "issue")
+
+
+def _by_issue(df: DataFrame) -> DataFrame:
+    ts = F.col("issue_ts")
+    return df.withColumns({"issue_month": dates.month_label(ts), "issue": dates.issue_id(ts)})
+
+
 def daily(df: DataFrame, path: str, whole: bool = False) -> None:
-    """Daily totals in folders by product and issue month; ``whole`` as in ``stage``."""
-    stage(
-        df.withColumn("issue_month", dates.month_label(F.col("issue_ts"))),
-        path, "product", "issue_month", whole=whole,
-    )
+    """Daily totals in folders by product, issue month and issue.
+
+    Each issue of ``df`` replaces what is stored of that issue; the other issues of its month stay. With
+    ``whole`` the table is replaced.
+    """
+    stage(_by_issue(df), path, *ISSUE_FOLDERS, whole=whole)
 
 
 def forecast(df: DataFrame, path: str) -> None:
-    """6-hourly forecasts in folders by product and issue month, ordered for cell slices.
+    """6-hourly forecasts in folders by product, issue month and issue, ordered for cell slices.
 
-    The base time is parsed from ``units`` here, so that no later pass over the steps does.
+    Each issue of ``df``, with all its variables, replaces what is stored of that issue; the other issues
+    of its month stay. The base time is parsed from ``units`` here, so that no later pass over the steps
+    does.
     """
-    by_month = df.withColumn("issue_month", dates.month_label(F.col("issue_ts"))).withColumn(
-        "base_ts", dates.parse_units(F.col("units"))
-    )
+    by_issue = _by_issue(df).withColumn("base_ts", dates.parse_units(F.col("units")))
     (
-        by_month.hint("rebalance", "product", "issue_month")
-        .sortWithinPartitions("product", "issue_month", "lat_idx", "lon_idx", "issue_ts", "step")
+        by_issue.hint("rebalance", *ISSUE_FOLDERS)
+        .sortWithinPartitions(*ISSUE_FOLDERS, "lat_idx", "lon_idx", "step")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("product", "issue_month")
+        .partitionBy(*ISSUE_FOLDERS)
         .parquet(path)
     )
 

@@ -123,3 +123,26 @@ def test_daily_stage_by_product_and_month(spark, tmp_path, product):
     assert sorted(os.listdir(f"{path}/product={product}")) == [
         "issue_month=2012-01", "issue_month=2012-02"
     ]
+    stored = f"{path}/product={product}/issue_month=2012-02"
+    assert os.listdir(stored) == ["issue=2012020100"]
+
+
+def test_other_issues_of_a_month_stay(spark, tmp_path):
+    """Two issues of one day written one after the other, one of them again: the reader has both."""
+    path = str(tmp_path / "daily")
+
+    def rows(hour, mm):
+        return spark.createDataFrame(
+            [("realtime", T(2012, 1, 1, hour), 1, D(2012, 1, d), mm) for d in (2, 3)], schemas.FORECAST_DAILY
+        )
+
+    for hour, mm in ((0, 1.0), (6, 2.0), (0, 3.0)):
+        writers.daily(rows(hour, mm), path)
+    got = readers.daily_totals(spark, path, "realtime")
+    assert sorted((r.issue_ts.hour, r.mm) for r in got.collect()) == [(0, 3.0), (0, 3.0), (6, 2.0), (6, 2.0)]
+    assert readers.daily_totals(spark, path, "realtime", T(2012, 1, 1, 6)).count() == 2
+    assert "issue" not in got.columns
+    ids = [r.issue_id for r in readers.issue_folders(spark, path).orderBy("issue_id").collect()]
+    assert ids == ["2012010100", "2012010106"]
+    writers.daily(rows(18, 4.0), path, whole=True)
+    assert readers.daily_totals(spark, path).count() == 2
