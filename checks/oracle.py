@@ -496,6 +496,9 @@ def statements() -> dict[str, str]:
         "gamma_fit": s("location month:int n:int shape:6 scale:6", "obs_free"),
         "gamma_fit_bounded": s("location month:int n:int shape:6 scale:6",
                                f"({_bounded_fit('obs_free', 'location, month', 3.3)})"),
+        "gamma_fit_merged": s("location month:int n:int shape:6 scale:6",
+                              f"({_bounded_fit('obs_free', 'location, month', 3.3)})"),
+        "model_fit_merged": s("cell_id:int month:int n:int shape:6 scale:6", "model_fit"),
         "params_table": s("location month:int n:int shape:6 scale:6 source", "both_fits"),
         "cdf_curve": s("location month:int source i:int x:6 f:6", f"""(SELECT *,
           {_cdf('x', 'shape', 'scale')} AS f FROM (SELECT *, i * 0.1 AS x FROM (

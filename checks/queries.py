@@ -428,6 +428,31 @@ def gamma_fit_bounded(spark, sf):
     return fitting.gamma_fit(wet, "location", "month", lower=3.3)
 
 
+@query
+def gamma_fit_merged(spark, sf):
+    """Bounded fits from stored sums of years that come in two runs, one year twice."""
+    path = session.shared_dir(spark, "sums")
+    wet = observations.month_wet(v.obs_hist(spark, sf))
+    year = F.year("obs_date")
+    for rows in (wet.filter(year % 2 == 0), wet.filter(year % 2 == 1), wet.filter(year == 1995)):
+        fitting.store_sums(rows, F.year("obs_date"), path, "location", "month")
+    return fitting.refit(spark, path, "location", "month", lower=3.3)
+
+
+@query
+def model_fit_merged(spark, sf):
+    """The model's bounded fits from sums by day of issue, compacted before the last of them come."""
+    out = session.shared_dir(spark, "pool")
+    pool = climatology.wet_days(totals(spark, sf, REFORECAST), REFORECAST.tol).filter(
+        F.month("issue_ts") == F.month("valid_date")
+    ).withColumn("month", F.month("valid_date"))
+    day, last = F.to_date("issue_ts"), F.dayofmonth("issue_ts") > 20
+    fitting.store_sums(pool.filter(~last), day, f"{out}/days", "cell_id", "month")
+    fitting.compact_sums(spark, f"{out}/days", f"{out}/all", "start", "cell_id", "month")
+    fitting.store_sums(pool.filter(last), day, f"{out}/all", "cell_id", "month")
+    return fitting.refit(spark, f"{out}/all", "cell_id", "month", lower=0.5)
+
+
 @query
 def params_table(spark, sf):
     near = st.nearest_cell(v.stations(spark, sf), v.cells(spark))

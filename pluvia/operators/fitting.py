@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pluvia.functions import gamma
 from pluvia.operators import climatology
+from pluvia.sources import writers
+
+
+SUMS = ("n", "total", "total_log", "max_mm")
 
 
 def gamma_fit(sample: DataFrame, *keys: str, lower: float = 0.0) -> DataFrame:
@@ -15,10 +19,60 @@ def gamma_fit(sample: DataFrame, *keys: str, lower: float = 0.0) -> DataFrame:
     The sample is reduced to three averages per key before any shuffle; the iteration then
     runs on one row per key. Below two values, or if all are equal, both are NULL.
     """
+    return fit_of_stats(climatology.stats(sample, *keys), *keys, lower=lower)
+
+
+def batch_sums(sample: DataFrame, batch: Column, *keys: str) -> DataFrame:
+    """What a fit needs of a sample, a row for each key and batch: ``n, total, total_log, max_mm``.
+
+    Rows of one key add up to those of its batches together, so they can be stored and merged.
+    """
+    return sample.groupBy(*keys, batch.cast("string").alias("batch")).agg(
+        F.count("mm").alias("n"), F.sum("mm").alias("total"),
+        F.sum(F.ln("mm")).alias("total_log"), F.max("mm").alias("max_mm"),
+    )
+
+
+def merged(sums: DataFrame, *keys: str) -> DataFrame:
+    """``batch_sums`` of any batches as the statistics of their samples together."""
+    added = sums.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in SUMS[:3]], F.max("max_mm").alias("max_mm")
+    )
+    return added.filter("n > 0").select(
+        *keys, "n", (F.col("total") / F.col("n")).alias("mean"),
+        (F.col("total_log") / F.col("n")).alias("mean_log"), "max_mm",
+    )
+
+
+def store_sums(sample: DataFrame, batch: Column, path: str, *keys: str) -> None:
+    """Adds the batches of a sample to the stored sums. A batch that is there already is replaced, so a
+    replay changes nothing; a batch must come whole."""
+    writers.stage(batch_sums(sample, batch, *keys), path, "batch")
+
+
+def stored_sums(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def refit(spark: SparkSession, path: str, *keys: str, lower: float = 0.0) -> DataFrame:
+    """``gamma_fit`` of all stored batches, from one row a key and batch; no history is read."""
+    return fit_of_stats(merged(stored_sums(spark, path), *keys), *keys, lower=lower)
+
+
+def compact_sums(spark: SparkSession, path: str, out: str, batch: str, *keys: str) -> None:
+    """All stored batches as one, in another folder to which later ones can be added."""
+    sums = stored_sums(spark, path)
+    added = sums.groupBy(*keys).agg(
+        *[F.sum(c).alias(c) for c in SUMS[:3]], F.max("max_mm").alias("max_mm")
+    )
+    writers.stage(added.withColumn("batch", F.lit(batch)), out, "batch", whole=True)
+
+
+def fit_of_stats(stats: DataFrame, *keys: str, lower: float = 0.0) -> DataFrame:
+    """``gamma_fit`` from the size, mean and mean logarithm of each key."""
     gap = F.ln("mean") - F.col("mean_log")
     fit = (
-        climatology.stats(sample, *keys)
-        .withColumn("gap", F.when((F.col("n") >= 2) & (gap > 1e-12), gap))
+        stats.withColumn("gap", F.when((F.col("n") >= 2) & (gap > 1e-12), gap))
         .withColumn("shape", gamma.mle_shape("gap"))
         .withColumn("scale", F.col("mean") / F.col("shape"))
     )

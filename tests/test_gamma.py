@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import numpy as np
 import pytest
@@ -194,3 +195,39 @@ def test_nan_is_no_rain(spark):
     forecast = obs.withColumnRenamed("obs_date", "valid_date")
     table = verification.contingency(verification.pairs(forecast, obs), "location").first()
     assert (table.n_hit, table.n_excluded) == (1, 1)
+
+
+def test_merged_sums_fit_like_the_whole_sample(spark, tmp_path):
+    rng = random.Random(31)
+    rows = [("a" if i % 3 else "b", f"m{i % 7}", rng.gammavariate(0.8, 4.0)) for i in range(3000)]
+    rows += [("one", "m1", 2.0), ("equal", "m1", 3.0), ("equal", "m2", 3.0)]
+    df = spark.createDataFrame(rows, "key string, load string, mm double")
+    path, load = str(tmp_path / "sums"), F.col("load")
+
+    def fits(got):
+        return {r.key: (r.n, r.shape, r.scale) for r in got.collect()}
+
+    def same(got, want):
+        assert got.keys() == want.keys()
+        for k in want:  # no fit is None in both
+            assert [x or -1.0 for x in got[k]] == pytest.approx([x or -1.0 for x in want[k]], rel=1e-9), k
+
+    seen = df.limit(0)
+    for loads in (["m0", "m1"], ["m2"], ["m3", "m4", "m5"], ["m2", "m0"], ["m6"]):  # some again
+        part = df.filter(load.isin(loads))
+        fitting.store_sums(part, load, path, "key")
+        seen = seen.unionByName(part).distinct()
+        for lower in (0.0, 0.9):
+            same(fits(fitting.refit(spark, path, "key", lower=lower)),
+                 fits(fitting.gamma_fit(seen, "key", lower=lower)))
+    fitting.compact_sums(spark, path, str(tmp_path / "one"), "all", "key")
+    assert fitting.stored_sums(spark, str(tmp_path / "one")).count() == 4
+    same(fits(fitting.refit(spark, str(tmp_path / "one"), "key")), fits(fitting.gamma_fit(df, "key")))
+    plan = fitting.refit(spark, path, "key")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "sums" in plan
+
+
+def test_merged_sums_of_nothing(spark):
+    none = spark.createDataFrame([], "key string, mm double")
+    sums = fitting.batch_sums(none, F.lit("x"), "key")
+    assert fitting.merged(sums, "key").count() == 0
