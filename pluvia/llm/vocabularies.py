@@ -7,13 +7,17 @@ import json
 import re
 import sys
 import unicodedata
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import regex
 from tokenizers import Tokenizer
 
 #: Pieces that a worker remembers; twice as many at most are in memory.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
+#: Characters whose new pieces are learned together; few enough for a processor's cache.
+TOGETHER = 1 << 13
 
 
 class Memory(dict):
@@ -107,24 +111,26 @@ class LibraryEncoder:
             known[stretch] = raw[first:end]
             first = end
 
-    def _know(self, stretches: set[str]) -> None:
-        """Sees to it that all of these are remembered; new ones are learned in one call."""
+    def _know(self, new: set[str]) -> None:
+        """Remembers these stretches; those that are not remembered from before are learned in one call."""
         known, old = self.known, self.known.old
-        new = stretches.difference(known)
-        for s in new.intersection(old):
+        for s in [s for s in new if s in old]:
             known[s] = old.pop(s)
             new.discard(s)
-        alone = [s for s in new if not s[0].isspace() or s[-1].isspace()]
+        # after a letter the mark is a token of its own
+        marked, alone = [], []
+        for s in new:
+            if not s[0].isspace() or s[-1].isspace():
+                alone.append(s)
+            elif s[-1] in ".,;:!?" and s[-2].isalpha():
+                marked.append(s)
         for s in alone:
             known[s]  # the library's own ids
-        new.difference_update(alone)
-        # after a letter the mark is a token of its own
-        marked = [s for s in new if s[-1] in ".,;:!?" and s[-2].isalpha()]
-        new.difference_update(marked)
-        for s in {s[:-1] for s in marked}.difference(known, new):
+        new.difference_update(alone, marked)
+        for s in {s[:-1] for s in marked}.difference(new):
             if s in old:
                 known[s] = old.pop(s)
-            else:
+            elif s not in known:
                 new.add(s)
         if new:
             self._learn(list(new))
@@ -132,22 +138,40 @@ class LibraryEncoder:
             known[s] = known[s[:-1]] + known[s[-1]]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers. New stretches of all texts
-        are learned together, so a slice of about a megabyte costs one call."""
-        split = [
-            self.STRETCH.findall(t)
-            if self.by_stretch and (t.isascii() or not self.OTHER_SPACE.search(t))
-            else None
-            for t in texts
-        ]
+        """The ids of each text as little-endian unsigned 32-bit integers. New stretches are learned
+        together for some texts at a time, ``TOGETHER`` characters: one call costs as much as many."""
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= TOGETHER:
+                out += self._encode(group)
+                group, size = [], 0
+        return out + self._encode(group)
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        stretches: list[str] = []
+        ends: list[int] = []  # of each text among the stretches; -1 for a text that goes whole
+        for t in texts:
+            if self.by_stretch and (t.isascii() or not self.OTHER_SPACE.search(t)):
+                stretches += self.STRETCH.findall(t)
+                ends.append(len(stretches))
+            else:
+                ends.append(-1)
         known = self.known
-        self._know({s for pieces in split if pieces for s in pieces})
-        found = [
-            self._one(t) if pieces is None else b"".join(map(known.__getitem__, pieces))
-            for t, pieces in zip(texts, split)
-        ]
-        known.make_room()
-        return found
+        found = list(map(known.get, stretches))
+        new = set(compress(stretches, map(is_, found, repeat(None))))
+        if new:
+            self._know(new)
+            found = list(map(known.__getitem__, stretches))
+            known.make_room()
+        out, first = [], 0
+        for t, end in zip(texts, ends):
+            out.append(self._one(t) if end < 0 else b"".join(found[first:end]))
+            first = max(first, end)
+        return out
 
     def encode(self, text: str) -> bytes:
-        return self.encode_all([text])[0]
+        return self._encode([text])[0]
