@@ -20,13 +20,16 @@ from pyspark.sql import functions as F
 
 from pluvia.llm.bilstm import BiLstm
 from pluvia.llm.html_blocks import Block, blocks_of
-from pluvia.llm.shared import text_of
+from pluvia.llm.shared import drawn, text_of
 from pluvia.llm.shingles import word_hashes
 
 PATH_SIZE, WORD_SIZE, SIZES = 192, 32, 6
 HIDDEN = 16
 #: Pages from which the labeller is trained, about, and how often it sees a batch of layouts.
 SAMPLE_PAGES = 200
+#: Sampled pages are at most so long, and train as they are up to so many blocks: a page of the sample is
+#: driver memory, and long pages would fill the batches. Pages of any length are extracted.
+SAMPLE_CHARS, SAMPLE_BLOCKS = 50_000, 80
 STEPS = 350
 BATCH = 24
 #: Blocks and padding scored at once.
@@ -238,7 +241,7 @@ def trained(sample: list[str], steps: int = STEPS, seed: int = 7) -> BiLstm:
     """A labeller from the html of sampled pages. Equal samples give equal labellers."""
     rng = random.Random(seed)
     parsed = [blocks_of(page) for page in sample]
-    own = [(b, y) for b in parsed if b and len(b) <= 80 and (y := named_article(b)) is not None]
+    own = [(b, y) for b in parsed if b and len(b) <= SAMPLE_BLOCKS and (y := named_article(b)) is not None]
     layouts = Layouts([b.text for page in parsed for b in page], seed)
     model = BiLstm(PATH_SIZE + WORD_SIZE + SIZES, HIDDEN, seed)
 
@@ -261,14 +264,14 @@ def fit(
     pages: DataFrame, page_id: str = "page_id", html: str = "html", sample_pages: int = SAMPLE_PAGES
 ) -> BiLstm:
     """A labeller trained on about ``sample_pages`` pages with html, chosen by a hash of the row; the
-    driver gets these and no more than twice as many."""
-    rows = pages.filter(F.length(F.col(f"`{html}`")).between(1, 50_000)).select(
+    driver gets these and no more than twice as many. Pages longer than ``SAMPLE_CHARS`` are not drawn,
+    and those of more than ``SAMPLE_BLOCKS`` blocks give their texts to the made layouts only."""
+    rows = pages.filter(F.length(F.col(f"`{html}`")).between(1, SAMPLE_CHARS)).select(
         F.xxhash64(F.col(f"`{page_id}`"), F.col(f"`{html}`")).alias("place"),
         F.col(f"`{html}`").alias("html"),
     )
-    million = 1_000_000
-    share = int(min(1.0, sample_pages / max(rows.count(), 1)) * million)
-    chosen = rows.filter(F.pmod("place", F.lit(million)) < share).limit(2 * sample_pages).collect()
+    share = F.lit(min(1.0, sample_pages / max(rows.count(), 1)))
+    chosen = rows.filter(drawn(F.col("place"), share)).limit(2 * sample_pages).collect()
     return trained([r["html"] for r in sorted(chosen, key=lambda r: (r["place"], r["html"]))])
 
 

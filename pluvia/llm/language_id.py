@@ -189,12 +189,10 @@ def prepared(text: Column) -> Column:
 def sample(labelled: DataFrame, rows_per_language: int) -> DataFrame:
     """About so many rows of each language (``lang``, ``text``), chosen by a hash of the row."""
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
-    million = 1_000_000
-    share = F.lit(0)
+    share = F.lit(0.0)
     for lang, n in sizes.items():
-        part = int(min(1.0, rows_per_language / n) * million)
-        share = F.when(F.col("lang") == lang, part).otherwise(share)
-    return labelled.filter(F.pmod(F.xxhash64("key", "text"), F.lit(million)) < share)
+        share = F.when(F.col("lang") == lang, min(1.0, rows_per_language / n)).otherwise(share)
+    return labelled.filter(drawn(F.xxhash64("key", "text"), share))
 
 
 def fit(labelled: DataFrame, rows_per_language: int = SAMPLE_ROWS, order: int = ORDER) -> ContextTrees:

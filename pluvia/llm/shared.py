@@ -57,6 +57,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def drawn(place: Column, share: Column) -> Column:
+    """Whether a row is in a sample of that share (0 to 1), by its 64-bit hash. Steps are of 2e-16, so
+    that a bounded sample of a table of any size has rows."""
+    million = F.pmod(place, F.lit(1_000_000)) + F.shiftrightunsigned(place, 32) / 2.0**32
+    return million / 1e6 < share
+
+
 def text_of(column: str) -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(f"`{column}`"), F.lit(""))

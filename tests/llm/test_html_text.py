@@ -1,11 +1,15 @@
 import random
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from pluvia.llm import html_text as ht
 from pluvia.llm.bilstm import BiLstm
 from pluvia.llm.html_blocks import Block, blocks_of
+from pluvia.llm.shared import drawn
 from tests.llm.helpers import sentence
 
 
@@ -144,3 +148,46 @@ def test_fit_and_empty_table(spark):
 )
 def test_skipped_elements_end(page, want):
     assert texts(page) == want
+
+
+@pytest.mark.parametrize(
+    "page,n_blocks",
+    [
+        ("<a " * 300_000, 1),  # tags that never end
+        ('<a href="x' * 100_000, 1),
+        (("<a '" + '<b "') * 100_000 + ">", 1),
+        ("<!x" * 300_000, 1),
+        ("<title>" * 100_000, 0),
+        ("<title>x" + "</title " * 100_000, 0),
+        ("<div>x" * 100_000, 100_000),  # elements that stay open
+        ("".join(f"<div class=c{i}>x" for i in range(30_000)), 30_000),
+    ],
+)
+def test_broken_and_very_long_pages_take_time_and_memory_in_proportion(page, n_blocks):
+    tracemalloc.start()
+    start = time.process_time()
+    found = blocks_of(page)
+    took, most = time.process_time() - start, tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == n_blocks and took < 60 and most < 300e6
+    assert max((len(b.path) for b in found), default=0) <= 512
+
+
+def test_quotes_that_hide_the_end_of_a_tag():
+    texts = lambda page: [b.text for b in blocks_of(page)]
+    assert texts("<p title='a > b'>x</p>y") == ["x", "y"]
+    assert texts('<p title="it\'s > 1">x') == ["x"]
+    assert texts("<p title='open>x</p>") == ["<p title='open>x"]
+    assert texts('1 < 2 <b>3</b> "4" > 5') == ['1 < 2 3 "4" > 5']
+
+
+def test_samples_of_tables_of_any_size(spark):
+    """The share of a bounded sample of ten thousand million rows draws about as many as it should."""
+    places = spark.range(1_000_000).select(F.xxhash64("id").alias("place"))
+    for share in (0.3, 0.0123, 1e-4, 1.0):
+        n = places.filter(drawn(F.col("place"), F.lit(share))).count()
+        assert abs(n - 1e6 * share) <= 5 * (1e6 * share) ** 0.5 * (share < 1)
+    # all in the first millionth: a finer share takes its part of them
+    near = spark.range(4000).select((F.expr(f"id * {1 << 50} div 1000000 * 1000000")).alias("place"))
+    assert 3200 < near.filter(drawn(F.col("place"), F.lit(2e-7))).count() < 3350
+    assert near.filter(drawn(F.col("place"), F.lit(0.0))).count() == 0
