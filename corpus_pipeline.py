@@ -1,4 +1,8 @@
-"""A training corpus from ``documents``: quality rules, line dedup, near dedup, source mix, BPE."""
+"""A training corpus from ``documents``: quality rules, line dedup, near dedup, source mix, BPE.
+
+Every stage takes an empty table (and gives one), null and empty texts, rows that are there more than
+once and further columns of any name, which it passes on; each says what becomes of them.
+"""
 
 from __future__ import annotations
 
@@ -24,27 +28,34 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that the rules reject go."""
+    """Rows that the rules reject go, among them those with a null or empty text. Equal rows share their
+    verdict."""
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts lose the runs of lines that an earlier place has; no row goes."""
+    """Texts lose the runs of lines that an earlier place has; no row goes. Earlier is a smaller id, then
+    a place further up; rows without an id come last, rows of equal id and text lose the same lines. A
+    null text stays null."""
     return _counted(line_dedup.drop_repeated_runs(docs))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, that with the smallest id; of equal rows one.
+    Texts without words are in no group and stay."""
     return near_dedup.keep_one(docs, pct=NEAR_PCT)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them; a row taken in part has only the words taken."""
+    """Rows as often as the mix takes them, three times at most; a row taken in part has only the words
+    taken. Rows without words are not taken. A null source is a source like others; equal rows are
+    taken each by itself."""
     return _counted(mixing.mixed(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each row's ids, their number, and the text that they decode to, in place of its text."""
+    """Each row's ids, their number, and the text that they decode to, in place of its text. A null text
+    counts as empty and has no ids."""
     return bpe.round_trip(docs, public_tokenizers.path(VOCABULARY))
 
 
