@@ -549,6 +549,8 @@ def statements() -> dict[str, str]:
         "ecdf": s("location mm:6 f:6", """(SELECT DISTINCT location, mm, cume_dist() OVER (
           PARTITION BY location ORDER BY mm) AS f FROM obs_hist)"""),
         # grid
+        "ecdf_sketch": s("location share:6 n:int within", """(SELECT location, d / 10.0 AS share,
+          count(*) AS n, true AS within FROM obs_hist, range(1, 10) t(d) GROUP BY location, d)"""),
         "regular_grid": s("ix:int iy:int x:6 y:6", "points"),
         "basin_mask": s("ix:int iy:int", "inside"),
         "basin_holes": s("ix:int iy:int", "inside_holed"),

@@ -572,6 +572,28 @@ def ecdf(spark, sf):
     return verification.ecdf(v.obs_hist(spark, sf), "location")
 
 
+@query
+def ecdf_sketch(spark, sf):
+    """Deciles from stored sketches of years, beside the exact ranks of the values they give."""
+    path = session.shared_dir(spark, "sketches")
+    obs = v.obs_hist(spark, sf)
+    year = F.year("obs_date")
+    for rows in (obs.filter(year < 1996), obs.filter(year >= 1996), obs.filter(year == 1994)):
+        writers.stage(verification.batch_sketches(rows, year, "location"), path, "batch")
+    sketches = verification.merged_sketches(readers.stage(spark, path), "location")
+    deciles = verification.sketch_quantiles(
+        sketches, "location", shares=tuple(i / 10 for i in range(1, 10))
+    )
+    given, mm = F.col("given"), F.col("mm")
+    exact = obs.join(deciles.withColumnRenamed("mm", "given"), "location").groupBy(
+        "location", "share", "n"
+    ).agg(F.avg((mm < given).cast("double")).alias("below"), F.avg((mm <= given).cast("double")).alias("upto"))
+    off = F.greatest(F.col("below") - F.col("share"), F.col("share") - F.col("upto"))
+    return exact.select(
+        "location", "share", "n", (off <= 3 * verification.sketch_error()).alias("within")
+    )
+
+
 # ---- grid --------------------------------------------------------------------------------
 
 

@@ -97,6 +97,51 @@ def _np_log_gamma(a: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + tail - np.log(product)
 
 
+#: Terms between two looks at which elements are done; the others go on without them.
+_TERMS = 8
+
+
+def _lower_series(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sum of x^i / (a (a+1) ... (a+i)), for x < a + 1."""
+    out, place = np.empty_like(x), np.arange(x.size)
+    term = 1.0 / a
+    total, i = term.copy(), 0
+    while place.size:
+        for i in range(i + 1, i + 1 + _TERMS):
+            term = term * x / (a + i)
+            total += term
+        open_ = term > total * 1e-17
+        if not open_.all():
+            out[place[~open_]] = total[~open_]
+            place, a, x, term, total = (v[open_] for v in (place, a, x, term, total))
+    return out
+
+
+def _fraction(a: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The continued fraction of the upper tail, for x >= a + 1. NaN where it does not converge."""
+    out, place = np.full_like(x, np.nan), np.arange(x.size)
+    b = x + 1.0 - a
+    c = np.full_like(x, 1e300)
+    d = 1.0 / b
+    h, i = d.copy(), 0
+    while place.size and i < 100_000:
+        for i in range(i + 1, i + 1 + _TERMS):
+            an = -i * (i - a)
+            b = b + 2.0
+            d = an * d + b
+            d = 1.0 / np.where(np.abs(d) < 1e-300, 1e-300, d)
+            c = b + an / c
+            c = np.where(np.abs(c) < 1e-300, 1e-300, c)
+            change = c * d
+            h = h * change
+        open_ = np.abs(change - 1.0) > 1e-15
+        near = np.abs(change - 1.0) <= 1e-12
+        out[place[near]] = h[near]
+        if not open_.all():
+            place, a, b, c, d, h = (v[open_] for v in (place, a, b, c, d, h))
+    return out
+
+
 def _log_tails(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Logarithms of P(X <= x) and P(X > x) for scale 1, each accurate when small, also where the
     tail itself is too small for a number. Needs a > 0, x > 0. NaN where the fraction does not
@@ -105,38 +150,12 @@ def _log_tails(a: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     front = a * np.log(x) - x - _np_log_gamma(a)
 
     small = x < a + 1.0
-    s, v = a[small], x[small]
-    term = 1.0 / s
-    total = term.copy()
-    i = 0
-    while term.size and np.any(term > total * 1e-17):
-        i += 1
-        term = term * v / (s + i)
-        total += term
-    lower[small] = np.minimum(front[small] + np.log(total), 0.0)
+    lower[small] = np.minimum(front[small] + np.log(_lower_series(a[small], x[small])), 0.0)
     with np.errstate(divide="ignore"):
         upper[small] = np.log(-np.expm1(lower[small]))
 
     large = ~small
-    s, v = a[large], x[large]
-    b = v + 1.0 - s
-    c = np.full_like(v, 1e300)
-    d = 1.0 / b
-    h = d.copy()
-    change = np.zeros_like(v)
-    i = 0
-    while v.size and np.any(np.abs(change - 1.0) > 1e-15) and i < 100_000:
-        i += 1
-        an = -i * (i - s)
-        b = b + 2.0
-        d = an * d + b
-        d = 1.0 / np.where(np.abs(d) < 1e-300, 1e-300, d)
-        c = b + an / c
-        c = np.where(np.abs(c) < 1e-300, 1e-300, c)
-        change = c * d
-        h = h * change
-    tail = np.minimum(front[large] + np.log(h), 0.0)
-    upper[large] = np.where(np.abs(change - 1.0) > 1e-12, np.nan, tail)
+    upper[large] = np.minimum(front[large] + np.log(_fraction(a[large], x[large])), 0.0)
     with np.errstate(divide="ignore"):
         lower[large] = np.log(-np.expm1(upper[large]))
     return lower, upper

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.config import Product
-from pluvia.functions import dates, units
+from pluvia.functions import dates
 
 KEYS = ("product", "cell_id", "valid_date")
 
@@ -21,7 +21,8 @@ def last_issues(daily: DataFrame, n: int) -> DataFrame:
     so a key with very many issues costs no more than one with few.
     """
     newest = Window.partitionBy(*KEYS).orderBy(F.desc("issue_ts"))
-    present = daily.filter(units.known(F.col("mm")).isNotNull())
+    mm = F.col("mm")
+    present = daily.filter(mm.isNotNull()).filter(~F.isnan(mm))  # the first reaches the scan
     ranked = present.withColumn("rank", F.row_number().over(newest))
     return ranked.filter(F.col("rank") <= n)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pluvia.config import WET_FORECAST, WET_OBSERVED
@@ -116,3 +116,49 @@ def labelled_ecdf(samples: dict[str, DataFrame], *keys: str) -> DataFrame:
         [df.select(F.lit(name).alias("sample"), *keys, "mm") for name, df in samples.items()],
     )
     return ecdf(stacked, "sample", *keys)
+
+
+#: Size of a sketch. Its rank error is below ``sketch_error`` for 99 of 100 ranks asked.
+SKETCH_SIZE = 800
+
+
+def sketch_error(size: int = SKETCH_SIZE) -> float:
+    """The error of a rank, as a share of the sample, that one in a hundred exceeds (a fixed property of
+    this kind of sketch: 2.296 / size ** 0.9021). Samples of up to ``size`` values are exact."""
+    return 2.296 / size**0.9021
+
+
+def batch_sketches(sample: DataFrame, batch: Column, *keys: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """A quantile sketch of ``mm`` for each key and batch, a few kilobytes whatever the sample's size.
+
+    The sketches of a key's batches merge, so the distribution of all history costs one row a batch.
+    NULL and NaN are left out. Sketches draw at random: two of one sample may differ within the error.
+    """
+    known = sample.withColumn("mm", units.known(F.col("mm"))).filter("mm IS NOT NULL")
+    return known.groupBy(*keys, batch.cast("string").alias("batch")).agg(
+        F.kll_sketch_agg_double("mm", F.lit(size)).alias("sketch")
+    )
+
+
+def merged_sketches(sketches: DataFrame, *keys: str, size: int = SKETCH_SIZE) -> DataFrame:
+    """One sketch a key from those of any batches."""
+    return sketches.groupBy(*keys).agg(F.kll_merge_agg_double("sketch", F.lit(size)).alias("sketch"))
+
+
+def sketch_quantiles(sketches: DataFrame, *keys: str, shares: tuple[float, ...]) -> DataFrame:
+    """``share, n, mm``: the value that this share of each key's sample does not exceed, about."""
+    asked = [float(x) for x in shares]
+    found = F.kll_sketch_get_quantile_double("sketch", F.array(*map(F.lit, asked)))
+    pairs = F.arrays_zip(F.array(*map(F.lit, asked)).alias("share"), found.alias("mm"))
+    return sketches.select(
+        *keys, F.kll_sketch_get_n_double("sketch").alias("n"), F.explode(pairs).alias("q")
+    ).select(*keys, "q.share", "n", "q.mm")
+
+
+def sketch_cdf(sketches: DataFrame, values: DataFrame, *keys: str, steps: int = 1000) -> DataFrame:
+    """``values`` (keys, ``mm``) with ``f``, the share of the key's sample that is not larger, about: the
+    sketch's error and one of ``steps`` steps."""
+    ranks = F.array(*[F.lit(i / steps) for i in range(1, steps + 1)])
+    curves = sketches.select(*keys, F.kll_sketch_get_quantile_double("sketch", ranks).alias("curve_"))
+    upto = F.size(F.filter("curve_", lambda q: q <= F.col("mm"))) / float(steps)
+    return values.join(curves, list(keys)).withColumn("f", upto).drop("curve_")

@@ -1,3 +1,4 @@
+import bisect
 import datetime as dt
 
 import numpy as np
@@ -92,3 +93,37 @@ def test_ecdf_of_any_scale(spark):
         values = sorted(v for k, v in rows if k == name)
         for i in range(0, n, 37):
             assert got[name, values[i]] == pytest.approx((i + 1) / n)
+
+
+def test_merged_sketches_are_within_their_error(spark):
+    n, size = 60_000, 200
+    rows = spark.range(n).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("key"), (F.col("id") % 11).alias("load"),
+        F.when(F.col("id") % 1000 != 7, (F.col("id") * 7919 % n).cast("double")).alias("mm"),
+    )
+    sketches = verification.batch_sketches(rows, F.col("load"), "key", size=size)
+    assert sketches.count() == 22
+    merged = verification.merged_sketches(sketches, "key", size=size).cache()
+    shares = tuple(i / 20 for i in range(1, 20))
+    exact = {k: sorted(r.mm for r in rows.filter(f"key = '{k}' AND mm IS NOT NULL").collect()) for k in "ab"}
+    limit = 3 * verification.sketch_error(size)
+    found = verification.sketch_quantiles(merged, "key", shares=shares).collect()
+    assert len(found) == 38
+    for r in found:
+        own = exact[r.key]
+        assert r.n == len(own)
+        assert abs(bisect.bisect_right(own, r.mm) / len(own) - r.share) <= limit
+    asked = spark.createDataFrame([(k, float(x)) for k in "ab" for x in range(0, n, 5000)], "key string, mm double")
+    for r in verification.sketch_cdf(merged, asked, "key").collect():
+        assert abs(bisect.bisect_right(exact[r.key], r.mm) / len(exact[r.key]) - r.f) <= limit + 1e-3
+
+
+def test_sketch_of_a_small_sample_is_exact(spark):
+    rows = [("a", float(x)) for x in (3, 1, 2, 2, 9)] + [("a", float("nan")), ("a", None), ("b", 4.0)]
+    sample = spark.createDataFrame(rows, "key string, mm double")
+    sketches = verification.merged_sketches(verification.batch_sketches(sample, F.lit(1), "key"), "key")
+    got = verification.sketch_quantiles(sketches, "key", shares=(0.2, 0.6, 1.0)).collect()
+    assert sorted((r.key, r.share, r.n, r.mm) for r in got) == [
+        ("a", 0.2, 5, 1.0), ("a", 0.6, 5, 2.0), ("a", 1.0, 5, 9.0),
+        ("b", 0.2, 1, 4.0), ("b", 0.6, 1, 4.0), ("b", 1.0, 1, 4.0),
+    ]
