@@ -26,7 +26,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pluvia.llm.near_dedup import slices
 from pluvia.llm.shared import dealt, stored, text_of
 from pluvia.llm.vocabularies import LibraryEncoder
 from pluvia.session import shared_dir
@@ -207,7 +206,7 @@ def write(
     def to_file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode_all
+        part, encode = TaskContext.get().partitionId(), encoder(vocabulary).encode_column
         end = np.array([end_id], "<u4").tobytes()
         store, base = fs.FileSystem.from_uri(folder)
         writer = out = None
@@ -217,10 +216,8 @@ def write(
                 name = f"part-{part:06d}-{uuid.uuid4().hex}.ids"
                 out = store.open_output_stream(f"{base}/{name}")
                 writer = Writer(out)
-            numbers, texts = batch["doc_id"].to_pylist(), batch["text"].to_pylist()
-            for a, b in slices(texts):
-                for i, ids in zip(numbers[a:b], encode(texts[a:b])):
-                    writer.add(i, ids + end)
+            for i, ids in zip(batch["doc_id"].to_pylist(), encode(batch["text"])):
+                writer.add(i, ids + end)
         if writer:
             size = writer.close()
             out.close()

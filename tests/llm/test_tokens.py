@@ -3,13 +3,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyarrow import fs
 from tokenizers import Tokenizer
 
-from pluvia.llm import bpe, token_blocks as tb
+from pluvia.llm import bpe, token_blocks as tb, vocabularies
 from pluvia.llm.vocabularies import LibraryEncoder, Memory
 from tests.llm.helpers import frame, odd_rows, rows_of
 
@@ -197,3 +198,44 @@ def test_files_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
     read = tb.read(files)
     assert read.rdd.getNumPartitions() >= n / 1000 > 8
     assert read.count() == docs.count()
+
+
+def test_a_piece_is_looked_up_once_for_many_texts(library):
+    """Not once for each place where it stands."""
+    asked = []
+
+    class Counted(Memory):
+        def get(self, piece, default=None):
+            asked.append(piece)
+            return super().get(piece, default)
+
+    encoder = LibraryEncoder(BYTES)
+    encoder.known = Counted(encoder._one)
+    texts = ["the cat, the dog. été, the" * 50, "", "the cat, a    b", "dog, the cat."] * 20
+    got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_all(texts)]
+    assert got == [ids_of(library, BYTES, t) for t in texts]
+    assert len(asked) < 20
+
+
+@settings(max_examples=150, deadline=None)
+@given(
+    texts=st.lists(
+        st.lists(
+            st.sampled_from(
+                ["a", "é", "Ж", "日", "1", "'s", ".", ",", "!", " ", "  ", "\n", "\xa0", "\x1c", "\u3000",
+                 "the", "<|endoftext|>", "\U0001f600", "\u0301"]
+            ),
+            max_size=12,
+        ).map("".join),
+        max_size=8,
+    ),
+    step=st.sampled_from([1, 12, 1 << 22]),
+)
+def test_many_texts_at_once_on_any_text(library, texts, step):
+    encoder = tb.encoder(BYTES)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(vocabularies, "STEP", step)
+        got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode_all(texts)]
+    assert got == [ids_of(library, BYTES, t) for t in texts]
+    column = pa.array(["not of the slice ", *texts, None])[1:-1]
+    assert [len(b) for b in encoder.encode_column(column)] == [4 * len(ids) for ids in got]
